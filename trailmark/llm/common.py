@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,3 +126,39 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         found = step.select(F.col("a").alias("node"), "p").join(up, "p", "left").select("node", F.coalesce("r", "p").alias("root"))
         found = scratch.save(found, "roots")
     return found
+
+
+def block_pairs(rows: DataFrame, key: str, member: str, count: str, block: int) -> DataFrame:
+    """Rows of a bucket dealt to pairs of blocks, so that no task holds a large bucket.
+
+    A bucket of ``count`` rows has ceil(count / block) blocks by the member's hash. Each row
+    goes once to every pair (pi, pj) that its block is in; side is 1 in the pair's second block.
+    """
+    blocks = F.ceil(F.col(count) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(member, key), F.col("_blocks")).cast("int")
+    out = rows.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    out = out.withColumn("pi", F.least("_own", "_other")).withColumn("pj", F.greatest("_own", "_other"))
+    return out.withColumn("side", (F.col("_own") != F.col("pi")).cast("int")).drop("_blocks", "_own", "_other")
+
+
+def run_bounds(*columns: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys, and the end."""
+    n = len(columns[0])
+    change = np.zeros(n, bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    change[:1] = True
+    return np.append(np.flatnonzero(change), n)
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 and links a-b, the least node of each node's component."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bytebpe, license_scan
+from . import bytebpe, itq, jaccard_join, license_scan
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_itq_dedup": itq.op1_itq_dedup,
         "op2_byte_bpe": bytebpe.op2_byte_bpe,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_license_scan": license_scan.op6_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_itq_dedup": itq.oracle(),
+        "op5_jaccard_join": jaccard_join.oracle(),
         "op6_license_scan": license_scan.oracle(),
     }
