@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bytebpe, itq, jaccard_join, license_scan
+from . import bytebpe, itq, jaccard_join, language_id, license_scan, pivot_topk
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_itq_dedup": itq.op1_itq_dedup,
         "op2_byte_bpe": bytebpe.op2_byte_bpe,
+        "op3_language_id": language_id.op3_language_id,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_license_scan": license_scan.op6_license_scan,
+        "op9_pivot_topk": pivot_topk.op9_pivot_topk,
     }
 
 
@@ -21,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_itq_dedup": itq.oracle(),
         "op5_jaccard_join": jaccard_join.oracle(),
         "op6_license_scan": license_scan.oracle(),
+        "op9_pivot_topk": pivot_topk.oracle(),
     }
