@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -29,8 +29,24 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+class _Index(dict):
+    """Numbers of words, in order of their first use; the words since the last look are fresh."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
-    """encode(texts) -> (ids, bounds): text k's ids are ids[bounds[k]:bounds[k + 1]]."""
+    """encode(texts) -> (ids, bounds): text k's ids are ids[bounds[k]:bounds[k + 1]].
+
+    The library lower-cases, so words are looked up with ASCII capitals lowered. A word of
+    letters and one full stop or comma is the ids of its letters, then the stop's.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,50 +54,82 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[list(ends)] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Index()
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        first = len(self.flat)
-        self.flat = np.concatenate([self.flat, flat])
-        self.starts = np.concatenate([self.starts, first + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+    def _call(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of words of letters: one pre-token each, so many can share a call."""
+        ids = np.fromiter((i for x in self._call([" ".join(words[k : k + 200]) for k in range(0, len(words), 200)]) for i in x), np.uint32)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words) or len(ids) and at[-1] != len(ids):  # a letter that the library sees otherwise
+            return self._each(words)
+        return ids, np.diff(at, prepend=0)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._call(words)
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _learn(self) -> None:
+        """Ids of the fresh words."""
+        fresh = [w.decode() for w in self.known.fresh]
+        self.known.fresh.clear()
+        stop = [w[-1] if w[-1] in ".," and w[:-1].isalpha() else "" for w in fresh]
+        stems = [w[:-1] if c else w for w, c in zip(fresh, stop, strict=True)]
+        number = {w: k for k, w in enumerate(dict.fromkeys(stems))}
+        plain = [w for w in number if w.isalpha()]
+        other = [w for w in number if not w.isalpha()]
+        a, b = self._letters(plain), self._each([*other, ".", ","])
+        flat, lengths = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        starts = np.cumsum(lengths) - lengths
+        row = {w: k for k, w in enumerate([*plain, *other])}
+        at = np.fromiter((row[w] for w in stems), np.int64, len(stems))
+        tail = np.fromiter(({"": -1, ".": len(lengths) - 2, ",": len(lengths) - 1}[c] for c in stop), np.int64, len(stop))
+        both = np.stack([at, tail], axis=1).reshape(-1)
+        kept = both >= 0
+        part = np.where(kept, lengths[both], 0)
+        new = flat[spans(starts[both[kept]], part[kept])]
+        each = part.reshape(-1, 2).sum(axis=1)
+        base = len(self.flat)
+        self.flat = np.concatenate([self.flat, new])
+        self.starts = np.concatenate([self.starts, base + np.cumsum(each) - each])
+        self.lengths = np.concatenate([self.lengths, each])
 
     def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by end_id if one is given; None counts as empty."""
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        known, index, counts, fresh = self.known, [], np.zeros(len(texts), np.int64), []
+        index, counts = [], np.zeros(len(texts), np.int64)
+        number = self.known.__getitem__
         for k, text in enumerate(texts):
-            words = text.split() if text else []
+            words = text.lower().split() if text else []
             counts[k] = len(words)
-            for word in words:
-                if word not in known:
-                    known[word] = len(known)
-                    fresh.append(word)
-            index.extend(map(known.__getitem__, words))
-        if fresh:
-            self._learn(fresh)
+            index.extend(map(number, words))
+        if self.known.fresh:
+            self._learn()
         at = np.array(index, np.int64)
-        lengths = self.lengths[at] if len(at) else np.zeros(0, np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        pick = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total) if total else np.zeros(0, np.int64)
-        ids = self.flat[pick]
-        words_to = np.concatenate([[0], np.cumsum(counts)])
-        bounds = np.concatenate([[0], ends])[words_to]
+        lengths = self.lengths[at]
+        ids = self.flat[spans(self.starts[at], lengths)]
+        bounds = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
         if end_id is None:
             return ids, bounds
-        out = np.full(total + len(texts), end_id, np.uint32)
-        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        out[np.arange(total) + owner] = ids
+        out = np.full(len(ids) + len(texts), end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(bounds))] = ids
         return out, bounds + np.arange(len(texts) + 1)
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[k] .. starts[k] + lengths[k] - 1 of all k, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
