@@ -132,7 +132,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CH
             for chunk, k, start, end in zip(b["chunk"].to_pylist(), b["k"].to_pylist(), b["start"].to_pylist(), b["end"].to_pylist(), strict=True):
                 base = k * chunk_chars
                 ids.append(c.encode(chunk[start - base : None if end is None else end - base]))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["k"], pa.array(ids, pa.binary())], ["doc_id", "key", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], b["k"], b["n"], pa.array(ids, pa.binary())], ["doc_id", "key", "k", "n", "ids"])
 
     def joined(batches):
         for b in batches:
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CH
 
     short = docs.where(one_chunk).mapInArrow(whole, f"doc_id {kind}, ids binary")
     cut = docs.where(several).mapInArrow(cut_up, f"doc_id {kind}, key binary, k int, n int, chunk string")
-    cut = scratch.save(cut.repartition("key", "k"), "chunks")  # chunks of one text go to many tasks
+    cut = scratch.save(cut.repartition("doc_id", "key", "k"), "chunks")  # chunks of one text go to many tasks
     # rows that share doc_id and text have the same chunks: each is handled once, and counted
     marks = cut.mapInArrow(scan, f"doc_id {kind}, key binary, k int, n int, head array<long>, tail array<long>")
     marks = scratch.save(marks.groupBy("key", "k").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail")), "marks")
@@ -151,16 +151,14 @@ def encode(docs: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CH
     starts = seams.select("key", (F.col("k") + 1).alias("k"), F.col("at").alias("start"))
     ends = seams.select("key", "k", F.col("at").alias("end"))
     apart = cut.join(lost, "key", "left_anti").join(starts, ["key", "k"], "left").join(ends, ["key", "k"], "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long")))
-    coded = apart.mapInArrow(pieces, f"doc_id {kind}, key binary, k int, ids binary")
-    each = coded.groupBy("doc_id", "key", "k").agg(F.first("ids").alias("ids"), F.count("*").alias("copies"))
-    parts = each.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("s"), F.first("copies").alias("copies"))
-    parts = parts.select("doc_id", F.col("s.ids").alias("parts"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    coded = apart.mapInArrow(pieces, f"doc_id {kind}, key binary, k int, n int, ids binary")
+    parts = coded.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("s"), (F.count("*") / F.first("n")).cast("int").alias("copies"))
+    parts = parts.select("doc_id", F.col("s.ids").alias("parts"), F.explode(F.sequence(F.lit(1), "copies")))
     stitched = parts.select("doc_id", "parts").mapInArrow(joined, f"doc_id {kind}, ids binary")
     # a text without a shared boundary somewhere: all its chunks again as one text
-    alone = cut.join(lost, "key", "left_semi").select("doc_id", "key", "k", F.substring("chunk", 1, chunk_chars).alias("chunk"))
-    alone = alone.groupBy("doc_id", "key", "k").agg(F.first("chunk").alias("chunk"), F.count("*").alias("copies"))
-    alone = alone.groupBy("doc_id", "key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "chunk"))), lambda s: s["chunk"]), "").alias("text"), F.first("copies").alias("copies"))
-    alone = alone.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "text")
+    alone = cut.join(lost, "key", "left_semi").select("doc_id", "key", "k", "n", F.substring("chunk", 1, chunk_chars).alias("chunk"))
+    alone = alone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("k", "chunk"))).alias("s"), (F.count("*") / F.first("n")).cast("int").alias("copies"))
+    alone = alone.select("doc_id", F.array_join("s.chunk", "").alias("text"), F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "text")
     return short.union(stitched).union(alone.mapInArrow(whole, f"doc_id {kind}, ids binary"))
 
 
