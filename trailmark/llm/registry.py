@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bytebpe, itq, jaccard_join, language_id, license_scan, pivot_topk, repair_ids
+from . import bytebpe, hilbert_pack, itq, jaccard_join, language_id, license_scan, pivot_topk, repair_ids
 
 
 def queries() -> dict[str, Callable]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable]:
         "op6_license_scan": license_scan.op6_license_scan,
         "op8_repair_ids": repair_ids.op8_repair_ids,
         "op9_pivot_topk": pivot_topk.op9_pivot_topk,
+        "op10_hilbert_pack": hilbert_pack.op10_hilbert_pack,
     }
 
 
