@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bytebpe, hilbert_pack, itq, jaccard_join, language_id, license_scan, pivot_topk, repair_ids
+from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, language_id, license_scan, pivot_topk, repair_ids
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op3_language_id": language_id.op3_language_id,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_license_scan": license_scan.op6_license_scan,
+        "op7_brown_lm": brown_lm.op7_brown_lm,
         "op8_repair_ids": repair_ids.op8_repair_ids,
         "op9_pivot_topk": pivot_topk.op9_pivot_topk,
         "op10_hilbert_pack": hilbert_pack.op10_hilbert_pack,
