@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, language_id, license_scan, pivot_topk, repair_ids
+import corpus_pipeline
+
+from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, kneser_ney, language_id, license_scan, pivot_topk, repair_ids
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_itq_dedup": itq.op1_itq_dedup,
         "op2_byte_bpe": bytebpe.op2_byte_bpe,
         "op3_language_id": language_id.op3_language_id,
+        "op4_kneser_ney": kneser_ney.op4_kneser_ney,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_license_scan": license_scan.op6_license_scan,
         "op7_brown_lm": brown_lm.op7_brown_lm,
@@ -22,7 +26,8 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return whole | {
         "op1_itq_dedup": itq.oracle(),
         "op5_jaccard_join": jaccard_join.oracle(),
         "op6_license_scan": license_scan.oracle(),
