@@ -8,11 +8,15 @@ other white space included, and decides the rest.
 from __future__ import annotations
 
 import os
+import string
+from itertools import chain
 
 import numpy as np
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 500_000
+#: ASCII punctuation but the apostrophe, which may begin a contraction.
+TAIL = string.punctuation.replace("'", "")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -45,7 +49,8 @@ class WordEncoder:
     """encode(texts) -> (ids, bounds): text k's ids are ids[bounds[k]:bounds[k + 1]].
 
     The library lower-cases, so words are looked up with ASCII capitals lowered. A word of
-    letters and one full stop or comma is the ids of its letters, then the stop's.
+    letters with punctuation behind them is the ids of the letters, then the punctuation's: to
+    the pre-tokenizer a run of letters and a run of marks without an apostrophe are one each.
     """
 
     def __init__(self, path: str):
@@ -54,6 +59,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # the words are kept here
         ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[list(ends)] = True
@@ -84,24 +91,30 @@ class WordEncoder:
         """Ids of the fresh words."""
         fresh = [w.decode() for w in self.known.fresh]
         self.known.fresh.clear()
-        stop = [w[-1] if w[-1] in ".," and w[:-1].isalpha() else "" for w in fresh]
-        stems = [w[:-1] if c else w for w, c in zip(fresh, stop, strict=True)]
-        number = {w: k for k, w in enumerate(dict.fromkeys(stems))}
-        plain = [w for w in number if w.isalpha()]
-        other = [w for w in number if not w.isalpha()]
-        a, b = self._letters(plain), self._each([*other, ".", ","])
-        flat, lengths = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        # parts: letters alone, then whatever else stands in the words
+        stems = [w.rstrip(TAIL) for w in fresh]
+        plain: dict[str, int] = {}
+        other: dict[str, int] = {}
+        head, tail = [], []
+        for w, stem in zip(fresh, stems, strict=True):
+            if stem.isalpha():
+                head.append(plain.setdefault(stem, len(plain)))
+                rest = w[len(stem) :]
+                tail.append(-1 - other.setdefault(rest, len(other)) if rest else 0)
+            else:
+                head.append(-1 - other.setdefault(w, len(other)))
+                tail.append(0)
+        a, b = self._letters(list(plain)), self._each(list(other))
+        flat = np.concatenate([a[0], b[0], np.zeros(0, np.uint32)])
+        lengths = np.concatenate([a[1], b[1], [0]])  # the last: no part
         starts = np.cumsum(lengths) - lengths
-        row = {w: k for k, w in enumerate([*plain, *other])}
-        at = np.fromiter((row[w] for w in stems), np.int64, len(stems))
-        tail = np.fromiter(({"": -1, ".": len(lengths) - 2, ",": len(lengths) - 1}[c] for c in stop), np.int64, len(stop))
-        both = np.stack([at, tail], axis=1).reshape(-1)
-        kept = both >= 0
-        part = np.where(kept, lengths[both], 0)
-        new = flat[spans(starts[both[kept]], part[kept])]
+        at = np.stack([np.array(head, np.int64), np.array(tail, np.int64)], axis=1)
+        at[:, 1][at[:, 1] == 0] = -1 - len(other)
+        at = np.where(at < 0, len(plain) - 1 - at, at).reshape(-1)
+        part = lengths[at]
         each = part.reshape(-1, 2).sum(axis=1)
         base = len(self.flat)
-        self.flat = np.concatenate([self.flat, new])
+        self.flat = np.concatenate([self.flat, flat[spans(starts[at], part)]])
         self.starts = np.concatenate([self.starts, base + np.cumsum(each) - each])
         self.lengths = np.concatenate([self.lengths, each])
 
@@ -109,15 +122,11 @@ class WordEncoder:
         """Ids of all texts one after another, each followed by end_id if one is given; None counts as empty."""
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        index, counts = [], np.zeros(len(texts), np.int64)
-        number = self.known.__getitem__
-        for k, text in enumerate(texts):
-            words = text.lower().split() if text else []
-            counts[k] = len(words)
-            index.extend(map(number, words))
+        words = [text.lower().split() if text else [] for text in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.known.fresh:
             self._learn()
-        at = np.array(index, np.int64)
         lengths = self.lengths[at]
         ids = self.flat[spans(self.starts[at], lengths)]
         bounds = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
