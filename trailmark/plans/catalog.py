@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import search, store, texts
+
+QUERIES = search.QUERIES | texts.QUERIES | store.QUERIES
+ORACLE = search.ORACLE | texts.ORACLE | store.ORACLE
