@@ -143,8 +143,8 @@ class SqliteSource(DataSource):
     def schema(self) -> StructType:
         return self.TABLES[self.options["table"]]
 
-    def reader(self, kind: StructType) -> SqliteReader:
-        return SqliteReader(kind, dict(self.options))
+    def reader(self, schema: StructType) -> SqliteReader:
+        return SqliteReader(schema, dict(self.options))
 
 
 def sqlite_table(spark: SparkSession, path: str, table: str, columns: StructType | None = None) -> DataFrame | None:
