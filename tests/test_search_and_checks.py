@@ -133,3 +133,18 @@ def test_training_dataset_is_the_same_in_any_number_of_partitions(spark):
     many = [r.messages for r in training.dataset(chunks.repartition(9), "S", 20, 7, 12).collect()]
     assert one == many and len(one) == 39 and all(len(m) == 3 for m in one)
     assert training.as_json(training.dataset(chunks, "é", 1, 0, 0)).first().value.startswith('{"messages":[{"role":"system","content":"é"}')
+
+
+def test_service(spark):
+    from trailmark.operators import service
+
+    store = fx.STORE.frame(spark)
+    row = service.info(None, store.select("id", "vector")).first()
+    assert (row.chunk_count, row.dimension, row.threshold, row.top_k) == (3, 4, 0.35, 3)
+    asked = spark.createDataFrame([(1, "how to treat a wound", [1.0, 0.0, 0.0, 0.0]), (2, "engine", [0.0, 0.0, 0.0, 1.0]), (3, " \t", [1.0, 0.0, 0.0, 0.0])], "query_id long, question string, vector array<double>")
+    got = {r.query_id: r for r in service.ask(store.select("id", "vector"), store, asked, 1).collect()}
+    assert set(got) == {1, 2}
+    assert got[1].answer == "[Source: Fixture Manual, Section 1.1, p. 10]\nApply direct pressure to the wound." and not got[1].was_modified
+    assert got[2].result == "noConfidentMatch" and got[2].citation is None and got[2].answer == "NO_MATCHING_PROTOCOL_FOUND"
+    unsafe = service.ask(store.select("id", "vector"), store, asked, 1, generate=lambda p: F.concat(F.lit("The diagnosis is: "), p)).collect()
+    assert all(r.answer == safety.REPLACEMENT and r.matched_patterns == ["diagnosis_is"] for r in unsafe)
