@@ -15,7 +15,7 @@ def every_segmentation(vocabulary, word, probs):
         at = [0, *[k + 1 for k, c in enumerate(cuts) if c], len(word)]
         product = 1.0
         for a, b in itertools.pairwise(at):
-            p = vocabulary.table.get(word[a:b], -1) if b - a <= li.LONGEST_PIECE else -1
+            p = vocabulary.ids.get(word[a:b], -1) if b - a <= li.LONGEST_PIECE else -1
             if p < 0 and b - a == 1:
                 p = vocabulary.size - 1
             product *= probs[p] if p >= 0 else 0.0
@@ -26,15 +26,15 @@ def every_segmentation(vocabulary, word, probs):
 def test_the_forward_sum_is_the_sum_over_all_segmentations():
     vocabulary, rng = li.pieces(li.vocabulary_path()), np.random.default_rng(0)
     probs = rng.random((vocabulary.size, 2))
-    words = ["▁the", "▁étreaux", "▁x", "▁⛰⛰a", "▁heeninter"]
+    words = ["▁the", "▁étreaux", "▁x", "▁⛰⛰a", "▁東京は世", "▁heeninter", "▁"]
     counts = np.array([[2.0, 1.0]] * len(words))
     logs, expected = li.forward(vocabulary, words, probs, counts)
     for k, w in enumerate(words):
         for lang in (0, 1):
             assert math.exp(logs[k, lang]) == pytest.approx(every_segmentation(vocabulary, w, probs[:, lang]), rel=1e-9)
     single = li.forward(vocabulary, ["▁the"], probs, np.ones((1, 2)))[1]
-    whole = probs[vocabulary.table["▁the"]] / np.exp(li.forward(vocabulary, ["▁the"], probs)[0][0])
-    assert np.allclose(single[vocabulary.table["▁the"]], whole)
+    whole = probs[vocabulary.ids["▁the"]] / np.exp(li.forward(vocabulary, ["▁the"], probs)[0][0])
+    assert np.allclose(single[vocabulary.ids["▁the"]], whole)
     assert np.all(expected.sum(axis=0) > 0)
 
 

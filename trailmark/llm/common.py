@@ -48,6 +48,18 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps between batches and tasks; another key takes its place, so
+    that the stages of a job don't pile up in a worker that runs them all."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def uniform(*columns) -> F.Column:
     """A number in [0, 1) that depends on the columns' values only; for bounded samples."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -28,14 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import append, fold
-from .common import Scratch, uniform
+from .common import Scratch, held, uniform
 
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANGUAGE, ROUNDS, SMOOTHING = 4_000, 3, 0.1
-LONGEST_WORD, LONGEST_PIECE, CACHE_WORDS = 64, 16, 300_000
+LONGEST_WORD, LONGEST_PIECE, CACHE_WORDS = 64, 16, 200_000
 UNKNOWN = "und"
-_PIECES: dict[str, Pieces] = {}
-_SCORERS: dict[str, Scorer] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -45,13 +43,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 class Pieces:
-    """The vocabulary's pieces, and the arcs that they make over words."""
+    """The vocabulary's pieces as a trie that all words walk at once."""
+
+    #: The most frequent characters have a column each in a dense table of steps; others are searched.
+    DENSE = 128
 
     def __init__(self, path: str):
         import sentencepiece
@@ -60,37 +59,60 @@ class Pieces:
         listed = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         listed = sorted({p.lower() for p in listed if 0 < len(p) <= LONGEST_PIECE})
         self.size = len(listed) + 1  # the last: a character that is no piece
-        #: Piece ids; -1: only the beginning of a piece.
-        self.table: dict[str, int] = {}
-        for p in listed:
-            for k in range(1, len(p)):
-                self.table.setdefault(p[:k], -1)
-        self.table.update({p: i for i, p in enumerate(listed)})
-
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """(word, start, end, piece) of all arcs, in order of the words."""
-        get, unknown = self.table.get, self.size - 1
-        which, starts, ends, ids = [], [], [], []
-        for w, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                single = False
-                for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                    p = get(word[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        which.append(w)
-                        starts.append(i)
-                        ends.append(j)
-                        ids.append(p)
-                        single |= j == i + 1
-                if not single:
-                    which.append(w)
-                    starts.append(i)
-                    ends.append(i + 1)
-                    ids.append(unknown)
-        return tuple(np.array(x, np.int64) for x in (which, starts, ends, ids))
+        self.ids = {p: i for i, p in enumerate(listed)}
+        chars = Counter(c for p in listed for c in p)
+        self.code = np.zeros(0x110000, np.int32)  # 0: a character of no piece
+        for k, (c, _) in enumerate(chars.most_common()):
+            self.code[ord(c)] = k + 1
+        self.wide = len(chars) + 1
+        steps: dict[tuple[int, int], int] = {}
+        self.piece = [-1]
+        for p, i in self.ids.items():
+            node = 0
+            for c in p:
+                node = steps.setdefault((node, int(self.code[ord(c)])), len(self.piece))
+                if node == len(self.piece):
+                    self.piece.append(-1)
+            self.piece[node] = i
+        self.piece = np.array(self.piece, np.int64)
+        self.dense = np.zeros((len(self.piece), self.DENSE), np.int32)
+        for (node, c), to in steps.items():
+            if c < self.DENSE:
+                self.dense[node, c] = to
+        rare = sorted((node * self.wide + c, to) for (node, c), to in steps.items() if c >= self.DENSE)
+        self.rare = np.array([k for k, _ in rare] or [-1], np.int64), np.array([t for _, t in rare] or [0], np.int64)
+
+    def _step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = np.where(code < self.DENSE, self.dense[node, np.minimum(code, self.DENSE - 1)], 0).astype(np.int64)
+        far = np.flatnonzero(code >= self.DENSE)
+        if len(far):
+            keys = node[far] * self.wide + code[far]
+            at = np.minimum(np.searchsorted(self.rare[0], keys), len(self.rare[0]) - 1)
+            out[far] = np.where(self.rare[0][at] == keys, self.rare[1][at], 0)
+        return out
+
+    def arcs(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For the lengths 1, 2, ..: (places of the first characters in all words joined, pieces)."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        code = self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        n = len(code)
+        left = np.repeat(np.cumsum(length), length) - np.arange(n)
+        at, node, out = np.arange(n), np.zeros(n, np.int64), []
+        for k in range(LONGEST_PIECE):
+            going = left[at] > k
+            at, node = at[going], node[going]
+            if not len(at):
+                break
+            node = self._step(node, code[at + k])
+            if k == 0:
+                piece = np.where(node > 0, self.piece[node], -1)
+                out.append((at, np.where(piece < 0, self.size - 1, piece)))
+            going = node > 0
+            at, node = at[going], node[going]
+            if k:
+                whole = self.piece[node] >= 0
+                out.append((at[whole], self.piece[node[whole]]))
+        return out
 
 
 def split_words(text: str | None) -> list[str]:
@@ -106,38 +128,41 @@ def split_words(text: str | None) -> list[str]:
 
 def forward(vocabulary: Pieces, words: list[str], probs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """log of the sum over all segmentations, (words, languages); and with counts (words,
-    languages) given, the pieces' expected counts (pieces, languages)."""
-    n_langs = probs.shape[1]
-    length = np.array([len(w) for w in words], np.int64)
-    offset = np.cumsum(length + 1) - (length + 1)
-    which, starts, ends, ids = vocabulary.arcs(words)
-    alpha = np.zeros((int((length + 1).sum()), n_langs))
-    alpha[offset] = 1.0
-    by_end = np.argsort(ends.astype(np.int16), kind="stable")
-    limits = np.searchsorted(ends[by_end], np.arange(1, int(length.max(initial=0)) + 2))
-    for a, b in zip(limits[:-1], limits[1:], strict=True):
-        at = by_end[a:b]
-        part = alpha[offset[which[at]] + starts[at]] * probs[ids[at]]
-        heads = np.flatnonzero(np.append(True, which[at][1:] != which[at][:-1])) if b > a else np.zeros(0, np.int64)
-        if len(heads):
-            alpha[offset[which[at][heads]] + ends[at][heads]] = np.add.reduceat(part, heads)
-    total = alpha[offset + length]
+    languages) given, the pieces' expected counts (pieces, languages).
+
+    alpha has a place before each character and one behind each word. All words advance
+    together, one end of an arc at a time; to one place leads at most one arc of a length.
+    """
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), length)
+    first = np.cumsum(length) - length
+    inside = np.arange(len(word)) - first[word]
+    arcs = vocabulary.arcs(words)
+    groups = []  # (end within the word, length, places, pieces)
+    for k, (at, piece) in enumerate(arcs):
+        end = (inside[at] + k + 1).astype(np.int16)
+        order = np.argsort(end, kind="stable")
+        cuts = np.flatnonzero(np.diff(end[order])) + 1
+        groups += [(int(end[o[0]]), k + 1, at[o] + word[at[o]], piece[o]) for o in np.split(order, cuts) if len(o)]
+    groups.sort(key=lambda g: g[0])
+    alpha = np.zeros((len(word) + len(words), probs.shape[1]))
+    start = first + np.arange(len(words))
+    alpha[start] = 1.0
+    for _, k, at, piece in groups:
+        alpha[at + k] += alpha[at] * probs[piece]
+    total = alpha[start + length]
     with np.errstate(divide="ignore"):
         logs = np.log(total)
     if counts is None:
         return logs, None
-    beta = np.zeros_like(alpha)
-    beta[offset + length] = 1.0
-    by_start = np.argsort(starts.astype(np.int16), kind="stable")
-    limits = np.searchsorted(starts[by_start], np.arange(0, int(length.max(initial=0)) + 1))
-    for a, b in reversed(list(zip(limits[:-1], limits[1:], strict=True))):
-        at = by_start[a:b]
-        if len(at):
-            part = beta[offset[which[at]] + ends[at]] * probs[ids[at]]
-            heads = np.flatnonzero(np.append(True, which[at][1:] != which[at][:-1]))
-            beta[offset[which[at][heads]] + starts[at][heads]] = np.add.reduceat(part, heads)
-    weight = (counts / total)[which] * alpha[offset[which] + starts] * probs[ids] * beta[offset[which] + ends]
-    expected = np.stack([np.bincount(ids, weight[:, k], vocabulary.size) for k in range(n_langs)], axis=1)
+    beta, expected = np.zeros_like(alpha), np.zeros((vocabulary.size, probs.shape[1]))
+    beta[start + length] = counts / total
+    for _, k, at, piece in sorted(groups, key=lambda g: g[1] - g[0]):
+        part = beta[at + k] * probs[piece]
+        beta[at] += part
+        part *= alpha[at]
+        for lang in range(probs.shape[1]):
+            expected[:, lang] += np.bincount(piece, part[:, lang], vocabulary.size)
     return logs, expected
 
 
@@ -214,15 +239,15 @@ def learn(labelled: DataFrame, path: str | None = None, docs_per_language: int =
     size = pieces(path).size
     probs = np.full((size, len(languages)), 1 / size)
     for _ in range(rounds):
-        held = labelled.sparkSession.sparkContext.broadcast(probs)  # pieces times languages
+        sent = labelled.sparkSession.sparkContext.broadcast(probs)  # pieces times languages
 
-        def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             vocabulary, total = pieces(path), np.zeros((size, len(languages)))
             for b in batches:
                 for at in range(0, b.num_rows, 20_000):
                     part = b.slice(at, 20_000)
                     n = np.stack([part.column(k + 1).to_numpy() for k in range(len(languages))], axis=1).astype(float)
-                    total += forward(vocabulary, part.column(0).to_pylist(), held.value, n)[1]
+                    total += forward(vocabulary, part.column(0).to_pylist(), sent.value, n)[1]
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -230,23 +255,20 @@ def learn(labelled: DataFrame, path: str | None = None, docs_per_language: int =
         for r in words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[r["piece"], r["lang"]] += r["n"]
         probs = counts / counts.sum(axis=0)
-        held.destroy()
+        sent.destroy()
     return Model(path, languages, probs)
 
 
 def predict(docs: DataFrame, model: Model, predicted: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs(text, ...) with two more columns: the likeliest language, and its posterior."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     mark = uuid.uuid4().hex
 
     def each(b: pa.RecordBatch) -> list:
-        m = held.value
+        m = sent.value
         if not m.languages:
             return [[UNKNOWN] * b.num_rows, [0.0] * b.num_rows]
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(pieces(m.path), m.probs)
-        logs, letters = _SCORERS[mark].score(b["text"].to_pylist())
+        logs, letters = held(mark, lambda: Scorer(Pieces(m.path), m.probs)).score(b["text"].to_pylist())
         best = logs.argmax(axis=1)
         posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
         return [[m.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], np.where(letters, posterior, 0.0)]

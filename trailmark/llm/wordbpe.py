@@ -13,11 +13,12 @@ from itertools import chain
 
 import numpy as np
 
+from .common import held
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: ASCII punctuation but the apostrophe, which may begin a contraction.
 TAIL = string.punctuation.replace("'", "")
-_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -27,10 +28,8 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder a Python worker and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder that a Python worker keeps for a vocabulary file."""
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 class _Index(dict):
