@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -157,3 +159,22 @@ STEPS = Fixture(
         (3, ""),
     ],
 )
+
+
+def _answer(*pages: tuple[str, str, int]) -> str:
+    """An image-info answer of (title, licence, source width) pages."""
+    return json.dumps({"query": {"pages": [{"title": t, "imageinfo": [{"url": "full", "thumburl": "thumb", "descriptionurl": "page", "width": w, "height": 600, "thumbwidth": 640, "thumbheight": 480, "extmetadata": {"LicenseShortName": {"value": lic}, "Artist": {"value": "<b>Some  One</b>"}}}]} for t, lic, w in pages]}})
+
+
+ANSWERS = Fixture(
+    "slug string, category_pos int, body string",
+    [
+        ("ivy", 0, _answer(("File:b.jpg", "CC BY 4.0", 1200), ("File:a.png", "<i>CC0</i>", 800), ("File:a map.png", "CC0", 900), ("File:c.jpg", "CC BY-ND 4.0", 900), ("File:d.jpg", "CC0", 799))),
+        ("ivy", 1, _answer(("File:b.jpg", "CC BY 4.0", 1200), ("File:e.JPEG", "Public domain", 1000), ("File:f.jpeg", "Public domain", 1000))),
+        ("viper", 0, "{}"),
+    ],
+)
+RESOLVED = Fixture(
+    "slug string, ordinal int, title string, license string, attribution string, thumb_url string, width int",
+    [("ivy", 0, "File:a.png", "CC0", "Some One", "thumb", 640), ("ivy", 1, "File:b.jpg", "CC BY 4.0", "Some One", "thumb", 640), ("ivy", 2, "File:e.JPEG", "Public domain", "Some One", "thumb", 640)],
+)

@@ -82,6 +82,14 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     return validation.norms(_corpus(spark, sf)).select("id", F.round("norm", 6).alias("norm"), "unit")
 
 
+def vector_masked_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector averaged with its reverse and a masked row, at unit length."""
+    v = F.col("vector")
+    rows = F.array(v, F.reverse(v), F.transform(v, lambda x: x * 0 + 9))
+    mean = vc.masked_mean(rows, F.array(F.lit(1), F.lit(1), F.lit(0)))
+    return _corpus(spark, sf).select("id", F.round(vc.norm(mean), 6).alias("mean_norm"), F.round(vc.norm(vc.normalize(mean)), 6).alias("unit_norm"))
+
+
 def vector_dim_check(spark: SparkSession, sf: str) -> DataFrame:
     return validation.dimensions(_corpus(spark, sf))
 
@@ -119,7 +127,7 @@ b AS (SELECT query_id, max(sim) AS best FROM t GROUP BY 1)"""
 _OTHERS, _ALL = _TOP.format(join="c.vec_id <> q.vec_id"), _TOP.format(join="true")
 _CITED = r"""d AS (SELECT doc_id AS id, '[Source: ' || source || ', p. ' || (doc_id + 1) || ']' AS citation, text, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS flat FROM documents)"""
 
-QUERIES = {f.__name__: f for f in (vector_topk_batch, vector_topk_gate, vector_gate_summary, search_cited, prompt_assembly, excerpt_prompts, fixture_search, vector_norms, vector_dim_check, vector_parity, vector_codec_roundtrip, wordpiece_encode, images_for_hits)}
+QUERIES = {f.__name__: f for f in (vector_topk_batch, vector_topk_gate, vector_gate_summary, search_cited, prompt_assembly, excerpt_prompts, fixture_search, vector_norms, vector_masked_mean, vector_dim_check, vector_parity, vector_codec_roundtrip, wordpiece_encode, images_for_hits)}
 ORACLE = {
     "vector_topk_batch": f"WITH {_OTHERS} SELECT query_id, rank, id, round(sim, 4) AS similarity FROM t",
     "vector_topk_gate": f"""WITH {_OTHERS} SELECT b.query_id, CASE WHEN best >= 0.35 THEN 'match' ELSE 'noConfidentMatch' END AS result,
@@ -142,6 +150,8 @@ ORACLE = {
         (3, 'match', 1, 1, 0.5), (3, 'match', 2, 2, 0.5), (4, 'match', 1, 1, 0.5), (4, 'match', 2, 2, 0.5), (4, 'match', 3, 3, 0.5), (5, 'noConfidentMatch', NULL, NULL, NULL), (6, 'match', 1, 1, 1.0),
         (7, 'noConfidentMatch', NULL, NULL, NULL), (8, 'noConfidentMatch', NULL, NULL, NULL)) AS t(query_id, result, rank, id, similarity)""",
     "vector_norms": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 1e-3 AS \"unit\" FROM embeddings",
+    "vector_masked_mean": """WITH m AS (SELECT vec_id AS id, list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), lambda p: (p[1] + p[2]) / 2) AS m FROM embeddings)
+        SELECT id, round(sqrt(list_dot_product(m, m)), 6) AS mean_norm, 1.0::DOUBLE AS unit_norm FROM m""",
     "vector_dim_check": "SELECT count(*) AS n, min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim, min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings WHERE embedding IS NOT NULL",
     "vector_parity": """WITH v AS (SELECT vec_id::VARCHAR AS text, embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda x: round(x, 6)) AS b FROM embeddings)
         SELECT text, round(list_dot_product(a, b), 4) AS similarity, list_dot_product(a, b) >= 0.999 AS ok FROM v""",

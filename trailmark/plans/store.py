@@ -142,6 +142,21 @@ def transcript_final(spark: SparkSession, sf: str) -> DataFrame:
     return ts.transcripts(_events(spark, sf), 12 * 3600, ["user_id"])
 
 
+def transcript_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's transcript as it stands after the last event."""
+    events = ts.meaningful(_events(spark, sf)).withColumnRenamed("user_id", "key")
+    return ts.latest(events).select(F.col("key").alias("user_id"), "text")
+
+
+def card_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixture's cards as the card table of a store that replaces a pack."""
+    sources, chunks = _store(spark, sf)
+    cards = fx.CARDS.frame(spark)
+    vectors = cards.select("slug", vc.to_float32_le(F.array(F.lit(1.0))).alias("embedding"))
+    _, _, out = corpus.replace_pack(sources, chunks, cards, filename="cards", title="", publisher="", license_text="", citation_prefix="Hazard Card", embeddings=vectors)
+    return out.select("id", "chunk_id", "slug", "field_response", "do_not")
+
+
 _DOCS = """m AS (SELECT filename, row_number() OVER (ORDER BY filename) AS id FROM (SELECT DISTINCT source AS filename FROM documents WHERE NOT source LIKE '%9')),
 c AS (SELECT row_number() OVER (ORDER BY source, doc_id) AS id, m.id AS source_id, source, doc_id, text, CASE WHEN lang <> 'es' THEN '2.1 Notes in ' || upper(lang) END AS section,
   '[Source: Manual ' || source || CASE WHEN lang <> 'es' THEN ', Section 2.1 Notes in ' || upper(lang) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ', p. 1]' ELSE ', pp. 1-2]' END AS citation,
@@ -162,7 +177,7 @@ _QS = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in training.QUESTIO
 _BAIT = ", ".join("({}, '{}', '{}')".format(k, q.replace("'", "''"), w) for k, (q, w) in enumerate(training.BAIT))
 _NL2 = "chr(10) || chr(10)"
 
-QUERIES = {f.__name__: f for f in (chunk_ids, sources_with_chunks, unmanifested, corpus_facts, section_summary, meta_upsert, pack_replace, orphan_labels, duplicate_texts, steps_extract, training_grounded, training_refusal, training_deflect, messages_json, conversation_concat, keyword_chunks, transcript_final)}
+QUERIES = {f.__name__: f for f in (chunk_ids, sources_with_chunks, unmanifested, corpus_facts, section_summary, meta_upsert, pack_replace, orphan_labels, duplicate_texts, steps_extract, training_grounded, training_refusal, training_deflect, messages_json, conversation_concat, keyword_chunks, transcript_final, transcript_latest, card_store)}
 _CARD_ROWS = """cd AS (SELECT * FROM (VALUES (1, '[Source: Hazard Card - Fixture Ivy (Hedera exempli); derived from Manual A]',
   'Fixture Ivy (Hedera exempli). Hazard: Contact dermatitis.' || chr(10) || 'Where found: Everywhere.' || chr(10) || 'Field identification: Three leaflets.' || chr(10) || 'Field response checklist: 1. Wash the skin. 2. Remove clothing.' || chr(10) || 'Identification must be confirmed by the responder against the reference images; this assistant does not identify species.'),
   (2, '[Source: Hazard Card - Fixture Viper (Vipera exempli); derived from Manual B]',
@@ -210,4 +225,7 @@ ORACLE = {
         s AS (SELECT *, CAST(sum(CASE WHEN pt IS NULL OR epoch_us(ts) - epoch_us(pt) > 43200000000 OR pk = 'final' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM g),
         l AS (SELECT user_id, session, last(text ORDER BY ts, event_id) AS text, last(kind ORDER BY ts, event_id) AS kind, count(*) AS n_events FROM s WHERE kind <> 'error' GROUP BY 1, 2)
         SELECT user_id, session, text, CASE WHEN kind = 'final' THEN 'final' ELSE 'timeout' END AS ended_by, n_events FROM l""",
+    "transcript_latest": """WITH e AS (SELECT * FROM events WHERE event_type <> 'error') SELECT user_id, arg_max(props, ts) AS text FROM e GROUP BY 1""",
+    "card_store": f"""WITH {_DOCS} SELECT n AS id, (SELECT count(*) FROM c) + n AS chunk_id, slug, field_response, do_not FROM (VALUES (1::BIGINT, 'fixture-ivy', 'Wash the skin.' || chr(10) || 'Remove clothing.', ''),
+        (2, 'fixture-viper', 'Keep still.', 'Do not cut.' || chr(10) || 'Do not suck.')) AS t(n, slug, field_response, do_not)""",
 }

@@ -92,6 +92,12 @@ def image_pick(spark: SparkSession, sf: str) -> DataFrame:
     return licensing.pick_images(good).select("slug", "ordinal", "title", "license")
 
 
+def image_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """Image-info answers to the first admitted images of each card."""
+    found = licensing.pick_images(licensing.resolve_category(fx.ANSWERS.frame(spark)))
+    return found.select("slug", "ordinal", "title", "license", "attribution", "thumb_url", "width")
+
+
 def license_report(spark: SparkSession, sf: str) -> DataFrame:
     return licensing.license_report(image_pick(spark, sf))
 
@@ -147,7 +153,7 @@ outs AS (SELECT doc, i, 1 AS o, out1 AS c FROM st WHERE out1 IS NOT NULL UNION A
 ch AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY i, o) - 1)::INTEGER AS seq, md5(list_aggregate(list_transform(c, lambda x: x.l), 'string_agg', chr(10))) AS text_md5,
   NULL::VARCHAR AS section, 1::INTEGER AS page_start, 1::INTEGER AS page_end, list_sum(list_transform(c, lambda x: x.t))::INTEGER AS token_count FROM outs)"""
 
-QUERIES = {f.__name__: f for f in (line_clean, boilerplate_lines, boilerplate_strip, html_clean, heading_detect, heading_fixture, citation_format, chunk_greedy, chunk_stats, safety_filter, safety_summary, license_gate, image_pick, license_report)}
+QUERIES = {f.__name__: f for f in (line_clean, boilerplate_lines, boilerplate_strip, html_clean, heading_detect, heading_fixture, citation_format, chunk_greedy, chunk_stats, safety_filter, safety_summary, license_gate, image_pick, image_resolve, license_report)}
 _PICK = rf"""{fx.IMAGES.values("i")},
 good AS (SELECT * FROM i WHERE regexp_matches(title, '(?i)\.(jpg|jpeg|png)$') AND NOT regexp_matches(title, '{licensing.NAME_DENYLIST.replace("(?iU)", "(?i)")}')
   AND regexp_matches(trim(license), '(?i)^(public domain|cc0|cc[-\s]?pd|cc by[-\s]?(sa[-\s]?)?\d)') AND coalesce(width, 0) >= 800 AND url <> ''),
@@ -169,5 +175,6 @@ ORACLE = {
     "license_gate": f"""WITH {fx.LICENCES.values("l")}, n AS (SELECT regexp_extract(text, '(?i)(CC BY[-A-Z ]*[0-9.]*[0-9]|Apache License|MIT License|General Public License|public domain|CC0)', 1) AS license FROM documents)
         SELECT license, allowed FROM l UNION ALL SELECT license, regexp_matches(license, '(?i)^(public domain|cc0|cc[-\\s]?pd|cc by[-\\s]?(sa[-\\s]?)?\\d)') AS allowed FROM n WHERE license <> ''""",
     "image_pick": f"WITH {_PICK} SELECT * FROM pick WHERE ordinal < 3",
+    "image_resolve": f"WITH {fx.RESOLVED.values('r')} SELECT * FROM r",
     "license_report": f"WITH {_PICK} SELECT slug, count(*) AS n_images, string_agg(DISTINCT license, ', ' ORDER BY license) AS licenses FROM pick WHERE ordinal < 3 GROUP BY 1",
 }
