@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, block_pairs, components, local_roots, run_bounds, runs
 
 WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.999
-COORDINATES, LEAF, BLOCK, DEPTH = 64, 96, 512, 8
+COORDINATES, LEAF, BLOCK, DEPTH = 64, 96, 256, 8
 #: Least chance that a run brings a pair of the least similarity together: two levels of splits.
 RUN_RECALL = 0.6
 _MULTIPLY = np.random.default_rng(1).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
