@@ -88,52 +88,54 @@ class Coder:
         return (parts * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
 
 
-def _prepared(vectors: DataFrame) -> DataFrame:
-    """(vec_id, digest, vector as doubles) with nulls for vectors that link with nothing."""
-    kind = vectors.schema["vec_id"].dataType.simpleString()
+def _unit_rows(raw: pa.Array, kind: str) -> list[np.ndarray | None]:
+    """Vectors at rest as doubles of length one; None for null."""
+    return [None if not x.is_valid else _unit(np.frombuffer(x.as_buffer(), kind)) for x in raw]
+
+
+def _unit(vector: np.ndarray) -> np.ndarray:
+    x = vector.astype(np.float64)
+    return unit(x / np.abs(x).max())  # no overflow of squares
+
+
+def _prepared(vectors: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, digest, vector at rest) with nulls for vectors that link with nothing."""
+    id_kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, raw = [], []
             for v in b["embedding"]:
-                x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                ok = x is not None and len(x) and np.isfinite(x).all() and np.any(x)
-                x = (x / np.abs(x).max() + 0.0 if ok else None)  # no overflow of squares; -0 becomes 0
-                ok = ok and np.isfinite(x).all()
-                raw.append(unit(x).tobytes() if ok else None)
-                digests.append(hashlib.blake2b(raw[-1], digest_size=16).digest() if ok else None)
-            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "digest", "unit"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(each, f"vec_id {kind}, digest binary, unit binary")
-
+                x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(kind) + 0  # -0 becomes 0
+                ok = x is not None and len(x) and np.isfinite(x).all() and np.any(x) and np.isfinite(u := _unit(x)).all()
+                raw.append(x.tobytes() if ok else None)
+                digests.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if ok else None)
+            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "digest", "vector"])
 
-def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Rows of each width: (places, matrix)."""
-    sizes = np.array([len(x.as_buffer()) // 8 for x in column])
-    return {int(w): (at, np.stack([np.frombuffer(column[int(k)].as_buffer()) for k in at])) for w in np.unique(sizes) for at in [np.flatnonzero(sizes == w)]}
+    return vectors.select("vec_id", "embedding").mapInArrow(each, f"vec_id {id_kind}, digest binary, vector binary")
 
 
-def _bucketed(groups: DataFrame, coder: Coder) -> DataFrame:
-    """A row for every vector and table: its bucket, its codes of all tables, itself."""
+def _coded(groups: DataFrame, coder: Coder, kind: str) -> DataFrame:
+    """groups with the codes of all tables, and the buckets that these are."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                for width, (at, units) in _matrix(b["unit"]).items():
-                    codes = coder.codes(units).astype(np.int32)
-                    n, tables = codes.shape
-                    rows = np.repeat(np.arange(n), tables)
-                    part = b.take(pa.array(at)).take(pa.array(rows))
-                    table = np.tile(np.arange(tables, dtype=np.int64), n)
-                    bucket = (np.int64(width) << 40) + (table << 32) + codes.reshape(-1).astype(np.int64)
-                    raw = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), part["digest"], part["n"], raw, part["unit"]], ["bucket", "digest", "n", "codes", "unit"])
+                units = _unit_rows(b["vector"], kind)
+                widths = np.array([len(u) for u in units])
+                for width in np.unique(widths).tolist():
+                    at = np.flatnonzero(widths == width)
+                    part = b.take(pa.array(at))
+                    codes = coder.codes(np.stack([units[k] for k in at])).astype(np.int32)
+                    table = np.arange(codes.shape[1], dtype=np.int64)
+                    buckets = (np.int64(width) << 40) + (table << 32) + codes
+                    yield pa.RecordBatch.from_arrays([part["digest"], part["n"], part["vector"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))], ["digest", "n", "vector", "codes", "buckets"])
 
-    return groups.select("digest", "n", "unit").mapInArrow(each, "bucket long, digest binary, n long, codes binary, unit binary")
+    return groups.select("digest", "n", "vector").mapInArrow(each, "digest binary, n long, vector binary, codes binary, buckets array<long>")
 
 
-def _linked(similarity: float):
+def _linked(similarity: float, kind: str):
     """Links and local roots of the vectors of each bucket (block pair)."""
 
     def pairs(s: int, e: int, side: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,13 +149,13 @@ def _linked(similarity: float):
         for table in runs(batches, ["bucket", "pi", "pj"]):
             table = table.combine_chunks()
             bucket, pi, pj, side, n = (table[k].to_numpy() for k in ("bucket", "pi", "pj", "side", "n"))
-            digests, raw, codes = table["digest"].combine_chunks(), table["unit"].combine_chunks(), table["codes"].combine_chunks()
+            digests, raw, codes = table["digest"].combine_chunks(), table["vector"].combine_chunks(), table["codes"].combine_chunks()
             bounds = run_bounds(bucket, pi, pj)
             out: dict[str, list] = {"digest": [], "links": [], "root": []}
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if e - s < 2 or pi[s] != pj[s] and (side[s] == side[e - 1]):
                     continue
-                units = np.stack([np.frombuffer(raw[k].as_buffer()) for k in range(s, e)])
+                units = np.stack(_unit_rows(raw.slice(s, e - s), kind))
                 a, b = pairs(s, e, side, units)
                 if not len(a):
                     continue
@@ -180,21 +182,25 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, target_r
     """vectors(vec_id, embedding) -> (vec_id, n_links, component_id, kept), a row for every row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "itq")
-    rows = scratch.save(_prepared(vectors), "prepared")
-    groups = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    rows = scratch.save(_prepared(vectors, kind), "prepared")
+    groups = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     groups = scratch.save(groups, "groups")
     total = groups.count()
     share = min(1.0, SAMPLE / max(total, 1))
-    sample = [np.frombuffer(r.unit) for r in groups.where(uniform("digest") < share).select("unit").toLocalIterator()]
     widths: dict[int, list] = {}
-    for v in sample:
+    for r in groups.where(uniform("digest") < share).select("vector").toLocalIterator():
+        v = _unit(np.frombuffer(r["vector"], kind))
         widths.setdefault(len(v), []).append(v)
     coder = Coder({w: np.stack(v) for w, v in widths.items()}, total, similarity, target_recall)
-    dealt = scratch.save(_bucketed(groups, coder), "buckets")
-    sizes = scratch.save(dealt.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
-    paired = block_pairs(dealt.join(sizes, "bucket"), "bucket", "digest", "c", BLOCK)
+    coded = scratch.save(_coded(groups, coder, kind), "codes")
+    # buckets are found and dealt by keys alone; vectors travel once, to buckets that hold another
+    keys = coded.select("digest", F.explode("buckets").alias("bucket"))
+    sizes = scratch.save(keys.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    dealt = block_pairs(keys.join(sizes, "bucket"), "bucket", "digest", "c", BLOCK)
+    paired = dealt.join(coded.select("digest", "n", "codes", "vector"), "digest")
     paired = paired.repartition("bucket", "pi", "pj").sortWithinPartitions("bucket", "pi", "pj", "side")
-    found = paired.select("bucket", "pi", "pj", "side", "digest", "n", "codes", "unit").mapInArrow(_linked(similarity), "digest binary, links long, root binary")
+    found = paired.select("bucket", "pi", "pj", "side", "digest", "n", "codes", "vector").mapInArrow(_linked(similarity, kind), "digest binary, links long, root binary")
     found = scratch.save(found, "links")
     roots = components(scratch, found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     reached = roots.join(groups.select(F.col("digest").alias("node"), "rep"), "node")
