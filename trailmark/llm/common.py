@@ -101,10 +101,21 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def sorted_runs(df: DataFrame, keys: list[str], within: list[str], fn: Callable, schema: str, partitions: int | None = None) -> DataFrame:
-    """fn over batches whose rows of equal keys lie together; no group is held by Spark itself."""
-    dealt = df.repartition(*([partitions] if partitions else []), *keys)
-    return dealt.sortWithinPartitions(*keys, *within).mapInArrow(fn, schema)
+class WordIndex(dict):
+    """Numbers of words, in order of their first use; the words since the last look are fresh."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+def raw_texts(column: pa.Array) -> list[bytes | None]:
+    """The bytes of a binary column."""
+    return [x.as_buffer().to_pybytes() if x.is_valid else None for x in column]
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

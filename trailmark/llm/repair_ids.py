@@ -22,7 +22,6 @@ one another; a null doc_id comes first; extra columns are not carried.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, raw_texts
 from .wordbpe import encoder, spans, vocabulary_path
 
 END_ID = 2
@@ -198,7 +197,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, shard_ids: int =
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
-                ids, bounds = e.encode([x.as_buffer().to_pybytes() if x.is_valid else None for x in b["text"]], END_ID)
+                ids, bounds = e.encode(raw_texts(b["text"]), END_ID)
                 first = b["part"][0].as_py()
                 held.append(ids)
                 lengths.extend(np.diff(bounds).tolist())
@@ -241,7 +240,3 @@ def op8_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = Scratch(spark, "repair").path("shards")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), where)
     return read(spark, where).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def checksum(ids: np.ndarray) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())

@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import held
+from .common import WordIndex, held
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
@@ -32,18 +32,6 @@ def encoder(path: str) -> WordEncoder:
     return held(("words", path), lambda: WordEncoder(path))
 
 
-class _Index(dict):
-    """Numbers of words, in order of their first use; the words since the last look are fresh."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
 class WordEncoder:
     """encode(texts) -> (ids, bounds): text k's ids are ids[bounds[k]:bounds[k + 1]].
 
@@ -66,7 +54,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Index()
+        self.known = WordIndex()
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
