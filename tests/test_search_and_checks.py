@@ -148,3 +148,12 @@ def test_service(spark):
     assert got[2].result == "noConfidentMatch" and got[2].citation is None and got[2].answer == "NO_MATCHING_PROTOCOL_FOUND"
     unsafe = service.ask(store.select("id", "vector"), store, asked, 1, generate=lambda p: F.concat(F.lit("The diagnosis is: "), p)).collect()
     assert all(r.answer == safety.REPLACEMENT and r.matched_patterns == ["diagnosis_is"] for r in unsafe)
+
+
+def test_keywords_in_blocks(spark):
+    chunks = spark.createDataFrame([(1, "Snake bite of the LEG"), (2, "a leg wound"), (3, "nothing"), (4, None)], "id long, text string")
+    words = spark.createDataFrame([("snake",), ("leg",), ("wound",), ("leg",), (None,)], "keyword string")
+    want = {("snake", 1), ("leg", 1), ("leg", 2), ("wound", 2)}
+    for block in (1, 2, 100):
+        rows = training.keyword_chunks(chunks, words, block).collect()
+        assert {(r.keyword, r.id) for r in rows} == want and len(rows) == 4

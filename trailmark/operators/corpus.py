@@ -69,10 +69,10 @@ def build(sources: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def facts(chunks: DataFrame, sources: DataFrame, **settings) -> DataFrame:
     """(key, value) of a build, all values as text; both counts from the tables as they are."""
     spark = chunks.sparkSession
-    counted = chunks.agg(F.count("*").alias("chunk_count")).crossJoin(sources.agg(F.count("*").alias("source_count")))  # one row each
+    counted = lambda df, key: df.agg(F.count("*").cast("string").alias("value")).select(F.lit(key).alias("key"), "value")
     fixed = {"schema_version": SCHEMA_VERSION, "embeddings_normalized": "1", "embedding_dtype": "float32_le"} | settings
     given = spark.createDataFrame([(k, str(v)) for k, v in fixed.items()], "key string, value string")
-    return given.unionByName(counted.select(F.inline(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in ("chunk_count", "source_count"))))))
+    return given.unionByName(counted(chunks, "chunk_count")).unionByName(counted(sources, "source_count"))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

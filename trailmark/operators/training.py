@@ -39,6 +39,7 @@ DEFLECTION = "I can't diagnose or recommend medication. I can show you the relev
 MARKER = r"(?i)^(?:\d+[.):]|[a-z][.)]|[ivx]+\.)\s*"
 NOT_STEPS = r"(?i)^(figure|table|references|revision date|note:|aliases)"
 GROUNDED_STEPS, DEFLECTION_STEPS, DISTRACTORS, LEAST_TOKENS, LEAST_CHUNKS = 5, 3, 2, 80, 50
+KEYWORD_BLOCK = 10_000
 
 
 def steps(text: Column, limit: int) -> Column:
@@ -132,12 +133,19 @@ def _context(asked: DataFrame, chunks: DataFrame, total: int, n: int, seed: int)
     return wanted.join(_places(chunks, seed), "place").groupBy("index").agg(F.sort_array(F.collect_list(F.struct("step", "citation", "text"))).alias("context"))
 
 
-def keyword_chunks(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_chunks(chunks: DataFrame, keywords: DataFrame, block: int = KEYWORD_BLOCK) -> DataFrame:
     """(keyword, id) for every chunk whose lower-cased text has the keyword.
 
-    The keywords are a short list in the program or of a user, sent to all tasks.
+    Keywords are sent to all tasks, about ``block`` at a time; the chunks are scanned once a block.
     """
-    return chunks.join(F.broadcast(keywords.select("keyword").distinct()), F.contains(F.lower("text"), F.col("keyword"))).select("keyword", "id")
+    wanted = keywords.select("keyword").where("keyword is not null").distinct()
+    n_blocks = max(1, -(-wanted.count() // block))
+    found = None
+    for k in range(n_blocks):
+        part = wanted.where(F.pmod(F.xxhash64("keyword"), F.lit(n_blocks)) == k)
+        one = chunks.join(F.broadcast(part), F.contains(F.lower("text"), F.col("keyword"))).select("keyword", "id")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def deflections(chunks: DataFrame, n: int, system: str, seed: int = 17, n_distractors: int = DISTRACTORS) -> DataFrame:
