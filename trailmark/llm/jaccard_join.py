@@ -4,7 +4,8 @@ Every text is the set of its word shingles, and every set has a signature of min
 starts with all sets in one node; a node is split on one or two coordinates that its id picks
 (1 / similarity of them on average), each child holding the sets that share the minimum there,
 until a node is small, or keeps most of its parent (its sets are alike), or the path is long.
-Nodes that stop are compared by brute force with the whole sets, in blocks. Several runs with
+Nodes that stop are compared by brute force in blocks: first by signatures, which leaves sets
+with a partner that may reach the similarity, then these with their whole sets. Several runs with
 other coordinates bring the recall to the target. All runs advance together, level by level.
 
 Equal sets are one class before the join. Leaves with the same members are compared once; a
@@ -118,12 +119,48 @@ def leaves(sets: DataFrame, total: int, n_runs: int, similarity: float, scratch:
         large = nodes.where("not stop").select("node", "c")
         if large.isEmpty():
             break
-        rows = _children(rows.select("digest", "node").join(large, "node").join(sets.select("digest", "sig"), "digest"), similarity)
+        rows = _children(rows.select("digest", "node").join(large, "node").join(sets.select("digest", "sig").hint("merge"), "digest"), similarity)
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     kept = scratch.save(union(ends).groupBy("c", "x", "s").agg(F.min("node").alias("node")).select("node", "c"), "leaves")
     return scratch.save(union([r.select("digest", "node") for r in levels]).join(kept, "node"), "members")
 
 
+def least_agreement(similarity: float) -> int:
+    """Coordinates that signatures of similar sets share at least, five standard deviations below the mean."""
+    return max(1, math.floor(COORDINATES * similarity - 5 * math.sqrt(COORDINATES * similarity * (1 - similarity))))
+
+
+def _plausible(similarity: float):
+    """(digest, node) of sets that have a partner in their leaf whose signature agrees with theirs."""
+    least = least_agreement(similarity)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["node", "pi", "pj"]):
+            table = table.combine_chunks()
+            node, pi, pj, side = (table[k].to_numpy() for k in ("node", "pi", "pj", "side"))
+            sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            keep = np.zeros(len(node), bool)
+            bounds = run_bounds(node, pi, pj)
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                left, right = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+                if pi[s] == pj[s]:
+                    right = left
+                if not len(left) or not len(right):
+                    continue
+                agree = np.zeros((len(left), len(right)), np.uint8)
+                for k in range(COORDINATES):
+                    agree += sig[left, k][:, None] == sig[right, k]
+                like = agree >= least
+                if pi[s] == pj[s]:
+                    np.fill_diagonal(like, False)
+                keep[left[like.any(axis=1)]] = True
+                keep[right[like.any(axis=0)]] = True
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([table["digest"].combine_chunks().take(at), pa.array(node[keep])], ["digest", "node"])
+
+    return each
+
+
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets at left with those at right."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -204,6 +241,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
     n_links: other documents whose shingle sets have at least the similarity; class_id: the
     least doc_id that links lead to, the document's own included.
     """
+    # the merge hints keep one plan at every size: none of these sides is small where it matters
     scratch = Scratch(docs.sparkSession, "jaccard")
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
@@ -212,9 +250,15 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
     sets = scratch.save(sets, "sets")
     n_runs = math.ceil(math.log(1 - target_recall) / math.log(1 - RUN_RECALL))
     members = leaves(sets, sets.count(), n_runs, similarity, scratch)
+    dealt = block_pairs(members.join(sets.select("digest", "sig").hint("merge"), "digest"), "node", "digest", "c", BLOCK)
+    dealt = dealt.repartition("node", "pi", "pj").sortWithinPartitions("node", "pi", "pj")
+    alike = dealt.select("node", "pi", "pj", "side", "digest", "sig").mapInArrow(_plausible(similarity), "digest binary, node long").distinct()
+    alike = scratch.save(alike, "alike")
+    sizes = scratch.save(alike.groupBy("node").agg(F.count("*").alias("c")), "sizes")
+    members = scratch.save(alike.join(sizes, "node"), "members")
     own = members.groupBy("digest").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    candidates = scratch.save(own.join(sets.select("digest", "rep", "n"), "digest"), "candidates")
-    texts = docs.join(candidates, docs["doc_id"].eqNullSafe(candidates["rep"])).select("digest", "n", "leaves", "text")
+    candidates = scratch.save(own.join(sets.select("digest", "rep", "n").hint("merge"), "digest"), "candidates")
+    texts = docs.hint("merge").join(candidates, docs["doc_id"].eqNullSafe(candidates["rep"])).select("digest", "n", "leaves", "text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -226,7 +270,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
                 yield pa.RecordBatch.from_arrays([kept["digest"], kept["n"], kept["leaves"], pa.array([s.tobytes() for s, x in zip(found, same, strict=True) if x], pa.binary())], ["digest", "n", "leaves", "shingles"])
 
     whole = scratch.save(texts.mapInArrow(again, "digest binary, n long, leaves array<long>, shingles binary"), "shingles")
-    dealt = block_pairs(members.join(whole, "digest"), "node", "digest", "c", BLOCK)
+    dealt = block_pairs(members.join(whole.hint("merge"), "digest"), "node", "digest", "c", BLOCK)
     dealt = dealt.repartition("node", "pi", "pj").sortWithinPartitions("node", "pi", "pj")
     found = scratch.save(dealt.select("node", "pi", "pj", "side", "digest", "n", "leaves", "shingles").mapInArrow(_compare_leaves(similarity), "digest binary, links long, root binary"), "links")
     roots = components(scratch, found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
