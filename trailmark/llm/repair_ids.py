@@ -173,12 +173,15 @@ class Shard:
         """ids[start:stop] of a document."""
         return self.grammar.part(self.symbols[self.marks[k] : self.marks[k + 1]], start, stop)
 
+    def all_ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, expanded together, and their bounds)."""
+        ends = np.append(0, np.cumsum(self.grammar.lengths(self.symbols)))
+        return self.grammar.expand(self.symbols), ends[self.marks]
+
     def documents(self) -> Iterator[np.ndarray]:
-        """All documents, expanded together."""
-        lengths = self.grammar.lengths(self.symbols)
-        ids, ends = self.grammar.expand(self.symbols), np.concatenate([[0], np.cumsum(lengths)])
-        for a, b in zip(self.marks[:-1], self.marks[1:], strict=True):
-            yield ids[ends[a] : ends[b]]
+        ids, bounds = self.all_ids()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[a:b]
 
 
 def write(docs: DataFrame, where: str, path: str | None = None, shard_ids: int = SHARD_IDS) -> None:
@@ -226,10 +229,14 @@ def read(spark: SparkSession, where: str) -> DataFrame:
         for b in batches:
             for payload, base in zip(b["payload"], b["base"].to_pylist(), strict=True):
                 s = Shard(payload.as_buffer().to_pybytes())
-                found = list(s.documents())
-                for at in range(0, len(found), 1_000):
-                    part = found[at : at + 1_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[at : at + 1_000], pa.int64()), pa.array(base + s.before[at : at + 1_000]), pa.array([len(x) for x in part], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in part], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                ids, bounds = s.all_ids()
+                ids = ids.astype("<u4", copy=False)
+                for at in range(0, len(s.doc_ids), 1_000):
+                    cut = bounds[at : at + 1_001]
+                    n = np.diff(cut)
+                    # the column's bytes are the ids themselves: no copy a document
+                    raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(((cut - cut[0]) * 4).astype(np.int32)), pa.py_buffer(ids[cut[0] : cut[-1]])])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[at : at + 1_000], pa.int64()), pa.array(base + s.before[at : at + 1_000]), pa.array(n), raw], ["doc_id", "start", "n_tokens", "ids"])
 
     # a row for a shard of a million ids: this table stays small enough to send whole
     return listed.join(F.broadcast(starts), ["part", "number"]).select("base", "payload").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")

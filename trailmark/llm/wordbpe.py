@@ -16,7 +16,7 @@ import numpy as np
 from .common import WordIndex, held
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: ASCII punctuation but the apostrophe, which may begin a contraction.
 TAIL = string.punctuation.replace("'", "")
 
@@ -64,7 +64,7 @@ class WordEncoder:
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of words of letters: one pre-token each, so many can share a call."""
-        ids = np.fromiter((i for x in self._call([" ".join(words[k : k + 200]) for k in range(0, len(words), 200)]) for i in x), np.uint32)
+        ids = np.fromiter(chain.from_iterable(self._call([" ".join(words[k : k + 200]) for k in range(0, len(words), 200)])), np.uint32)
         at = np.flatnonzero(self.ends[ids]) + 1
         if len(at) != len(words) or len(ids) and at[-1] != len(ids):  # a letter that the library sees otherwise
             return self._each(words)
@@ -72,7 +72,7 @@ class WordEncoder:
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self._call(words)
-        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _learn(self) -> None:
         """Ids of the fresh words."""
