@@ -62,3 +62,46 @@ def test_hard_rows(spark):
     nothing = li.learn(docs.where("lang is null"))
     assert {r.lang_pred for r in li.predict(docs, nothing).collect()} == {"und"}
     assert docs.select(fold("doc_id", 4).alias("f")).where("f is null").count() == 0
+
+
+def log_sum(vocabulary, word, logs):
+    """The forward sum of a word in logs, place by place."""
+    at = [0.0]
+    for end in range(1, len(word) + 1):
+        ways = []
+        for k in range(1, min(end, li.LONGEST_PIECE) + 1):
+            p = vocabulary.ids.get(word[end - k : end], vocabulary.size - 1 if k == 1 else -1)
+            if p >= 0:
+                ways.append(at[end - k] + logs[p])
+        top = max(ways)
+        at.append(top + math.log(sum(math.exp(w - top) for w in ways)))
+    return at[-1]
+
+
+def test_no_length_of_a_word_underflows():
+    vocabulary = li.pieces(li.vocabulary_path())
+    probs = np.full((vocabulary.size, 2), [1e-9, 3e-5])
+    probs[vocabulary.ids["▁the"]] = 0.5
+    words = ["▁" + "東京は世界の都市である" * 30, "▁the", "▁" + "q1x" * 40, "▁" + "⛰" * 5_000, "▁heeninter" * 9]
+    counts = np.array([[3.0, 2.0]] * len(words))
+    logs, expected = li.forward(vocabulary, words, probs, counts)
+    for k, w in enumerate(words):
+        for lang in (0, 1):
+            assert logs[k, lang] == pytest.approx(log_sum(vocabulary, w, np.log(probs[:, lang])), rel=1e-9)
+    # pieces cover a word's characters: expected counts times lengths are its characters
+    sizes = np.ones(vocabulary.size)
+    for p, i in vocabulary.ids.items():
+        sizes[i] = len(p)
+    assert sizes @ expected == pytest.approx(counts[0] * sum(map(len, words)), rel=1e-9)
+    assert li.split_words("a " + "b" * 300) == ["▁a", "▁" + "b" * 300]
+    assert [w for part in li.blocks(words * 9_000) for w in (words * 9_000)[part]] == words * 9_000
+
+
+def test_a_run_of_unseen_script_spoils_no_language(spark):
+    rows = [(k, f"the words of this text are plain number {k} and they run on " * 200, "en") for k in range(400)]
+    rows += [(1000 + k, "这是一个没有空格的很长的中文句子里面有许多不同的汉字和词语" * 5, "zh") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.learn(docs)
+    assert np.isfinite(model.probs).all() and np.allclose(model.probs.sum(axis=0), 1)
+    got = li.predict(docs, model).collect()
+    assert all(r.lang_pred == r.lang and r.score > 0.99 for r in got)

@@ -16,6 +16,7 @@ where nothing could be learned; ties go to the first language by name; rows are
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 import uuid
 from collections import Counter
@@ -32,7 +33,10 @@ from .common import Scratch, held, uniform
 
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANGUAGE, ROUNDS, SMOOTHING = 4_000, 3, 0.1
-LONGEST_WORD, LONGEST_PIECE, CACHE_WORDS = 64, 16, 200_000
+LONGEST_PIECE, CACHE_WORDS = 16, 200_000
+BLOCK_WORDS, BLOCK_CHARS, FLUSH_ARCS = 20_000, 500_000, 200_000
+#: A sum below this gets a new scale; pieces are likelier than 1e-17, so none underflows before.
+SMALL = 2.0**-256
 UNKNOWN = "und"
 
 
@@ -116,14 +120,19 @@ class Pieces:
 
 
 def split_words(text: str | None) -> list[str]:
-    """Lower-cased, NFKC-normalised words behind the word mark; overlong ones in slices."""
-    if not text:
-        return []
-    out = []
-    for w in unicodedata.normalize("NFKC", text).lower().split():
-        w = "▁" + w
-        out.extend([w] if len(w) <= LONGEST_WORD else [w[k : k + LONGEST_WORD] for k in range(0, len(w), LONGEST_WORD)])
-    return out
+    """Lower-cased, NFKC-normalised words behind the word mark, each whole."""
+    return ["▁" + w for w in unicodedata.normalize("NFKC", text).lower().split()] if text else []
+
+
+def blocks(words: list[str]) -> Iterator[slice]:
+    """Slices of words, of bounded characters unless one word alone has more."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    at = 0
+    while at < len(words):
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, side="right"))
+        to = min(max(fit, at + 1), at + BLOCK_WORDS)
+        yield slice(at, to)
+        at = to
 
 
 def forward(vocabulary: Pieces, words: list[str], probs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -131,38 +140,71 @@ def forward(vocabulary: Pieces, words: list[str], probs: np.ndarray, counts: np.
     languages) given, the pieces' expected counts (pieces, languages).
 
     alpha has a place before each character and one behind each word. All words advance
-    together, one end of an arc at a time; to one place leads at most one arc of a length.
+    together, one end of an arc at a time. A place's alpha is kept times two to the power of
+    its scale, and beta divided by it, so that words of any length stay within doubles.
     """
     length = np.fromiter(map(len, words), np.int64, len(words))
     word = np.repeat(np.arange(len(words)), length)
     first = np.cumsum(length) - length
     inside = np.arange(len(word)) - first[word]
-    arcs = vocabulary.arcs(words)
-    groups = []  # (end within the word, length, places, pieces)
-    for k, (at, piece) in enumerate(arcs):
-        end = (inside[at] + k + 1).astype(np.int16)
+    narrow = np.int16 if len(words) and length.max() < 2**15 else np.int32
+    groups: list[list] = [[] for _ in range(int(length.max()) + 1 if len(words) else 0)]  # by end within the word: (length, places, pieces)
+    for k, (at, piece) in enumerate(vocabulary.arcs(words)):
+        end = (inside[at] + k + 1).astype(narrow)
         order = np.argsort(end, kind="stable")
-        cuts = np.flatnonzero(np.diff(end[order])) + 1
-        groups += [(int(end[o[0]]), k + 1, at[o] + word[at[o]], piece[o]) for o in np.split(order, cuts) if len(o)]
-    groups.sort(key=lambda g: g[0])
+        place, piece, end = (at + word[at])[order], piece[order], end[order]
+        cuts = [0, *(np.flatnonzero(np.diff(end)) + 1).tolist(), len(end)]
+        for x, y in itertools.pairwise(cuts):
+            if x < y:
+                groups[end[x]].append((k + 1, place[x:y], piece[x:y]))
     alpha = np.zeros((len(word) + len(words), probs.shape[1]))
+    scale: np.ndarray | None = None  # of places, from the first small sum on
     start = first + np.arange(len(words))
     alpha[start] = 1.0
-    for _, k, at, piece in groups:
-        alpha[at + k] += alpha[at] * probs[piece]
+    for group in groups:
+        if not group:
+            continue
+        before = group[0][1]  # of length 1: such an arc leads to every place
+        small = alpha[before] < SMALL
+        if small.any() and scale is None:
+            scale = np.zeros(alpha.shape, np.int32)
+        if scale is not None:
+            scale[before + 1] = scale[before] - np.where(small, np.frexp(alpha[before])[1], 0)
+        for k, at, piece in group:
+            part = alpha[at] * probs[piece]
+            alpha[at + k] += part if scale is None else np.ldexp(part, scale[at + k] - scale[at])
     total = alpha[start + length]
     with np.errstate(divide="ignore"):
         logs = np.log(total)
+    if scale is not None:
+        logs -= scale[start + length] * np.log(2)
     if counts is None:
         return logs, None
     beta, expected = np.zeros_like(alpha), np.zeros((vocabulary.size, probs.shape[1]))
     beta[start + length] = counts / total
-    for _, k, at, piece in sorted(groups, key=lambda g: g[1] - g[0]):
-        part = beta[at + k] * probs[piece]
-        beta[at] += part
-        part *= alpha[at]
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        piece, part = (np.concatenate(x) for x in zip(*parts, strict=True))
         for lang in range(probs.shape[1]):
             expected[:, lang] += np.bincount(piece, part[:, lang], vocabulary.size)
+        parts.clear()
+
+    held_arcs = 0
+    for group in reversed(groups):
+        for k, at, piece in group:
+            part = beta[at + k] * probs[piece]
+            if scale is not None:
+                part = np.ldexp(part, scale[at + k] - scale[at])
+            beta[at] += part
+            part *= alpha[at]
+            parts.append((piece, part))
+            held_arcs += len(piece)
+        if held_arcs > FLUSH_ARCS:
+            add()
+            held_arcs = 0
+    if parts:
+        add()
     return logs, expected
 
 
@@ -192,7 +234,7 @@ class Scorer:
                     fresh.append(w)
             index.extend(map(known.__getitem__, words))
         if fresh:
-            new = [forward(self.vocabulary, fresh[k : k + 20_000], self.probs)[0] for k in range(0, len(fresh), 20_000)]
+            new = [forward(self.vocabulary, fresh[part], self.probs)[0] for part in blocks(fresh)]
             self.logs = np.concatenate([self.logs, *new])
             self.letters = np.concatenate([self.letters, np.array([any(map(str.isalpha, w)) for w in fresh], bool)])
         at = np.array(index, np.int64)
@@ -244,10 +286,10 @@ def learn(labelled: DataFrame, path: str | None = None, docs_per_language: int =
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             vocabulary, total = pieces(path), np.zeros((size, len(languages)))
             for b in batches:
-                for at in range(0, b.num_rows, 20_000):
-                    part = b.slice(at, 20_000)
-                    n = np.stack([part.column(k + 1).to_numpy() for k in range(len(languages))], axis=1).astype(float)
-                    total += forward(vocabulary, part.column(0).to_pylist(), sent.value, n)[1]
+                listed = b.column(0).to_pylist()
+                n = np.stack([b.column(k + 1).to_numpy() for k in range(len(languages))], axis=1).astype(float)
+                for part in blocks(listed):
+                    total += forward(vocabulary, listed[part], sent.value, n[part])[1]
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
