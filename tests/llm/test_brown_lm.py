@@ -95,3 +95,62 @@ def test_nothing_to_learn_from_or_to_score(spark):
     assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in rows) == [(1, 3, 0), (2, 1, 0)]
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert bl.score(docs.limit(0), m, counts, scratch).count() == 0
+
+
+def test_every_word_has_a_class_of_its_own_neighbours(spark):
+    # two kinds of rare words with the same endings, told apart by their neighbours only
+    names, verbs = [f"n{k}xxx" for k in range(300)], [f"v{k}xxx" for k in range(300)]
+    pick = lambda k, words, often: words[k % 300] if k % 2 else often
+    rows = [(k, f"the {pick(k, names, 'dog')} of the {pick(k // 2, names, 'dog')} can {pick(k // 3, verbs, 'run')} or can {pick(k, verbs, 'run')} .") for k in range(1_200)]
+    rows += [(2_000, None), (2_000, None), (2_001, "the unseenxxx can"), (None, "")]
+    docs = spark.createDataFrame([(d, d in (2_001,), None if t is None else bytearray(t.encode())) for d, t in rows], "doc_id long, held_out boolean, text binary")
+    train, scratch = docs.where("not held_out").select("text"), Scratch(spark, "test")
+    m, counts = bl.learn(train, scratch, symbols=7, endings=4, lookup=10, classes=9)
+    table = bl.assign(train, m, counts, scratch)
+    found = {r.h: (r.n, r["class"]) for r in table.collect()}
+    c = Counter(w for d, t in rows if d != 2_001 for w in tokens(t))
+    assert len(found) == len(c) - 1 - len(m.lexicon.symbols)
+    of = lambda words: {found[int(bl.hashes_of([w.encode()])[0])][1] for w in words if w.encode() in c}
+    assert len(of(names)) == len(of(verbs)) == 1 and of(names) != of(verbs)
+
+    seqs = bl.sequences(docs, m, table, scratch, lookup=50)
+    transition, mass = bl.refit(m, table, seqs.where("not held_out"))
+
+    def klass(w):
+        if w is None or w in m.lexicon.symbols:
+            return m.classes[m.lexicon.end if w is None else m.lexicon.symbols[w]]
+        seen = found.get(int(bl.hashes_of([w])[0]))
+        return seen[1] if seen else m.classes[m.lexicon.end + 1 + zlib.crc32(w[-3:]) % 4]
+
+    log = lambda w, before: transition[klass(before), klass(w)] + math.log10(c[w] + 0.1) - mass[klass(w)]
+    want = sorted(sum(log(x, y) for x, y in zip(tokens(t), [None, *tokens(t)[:-1]], strict=True)) for _, t in rows)
+    got = bl.score_sequences(seqs, m, transition, mass).collect()
+    assert [r.score for r in sorted(got, key=lambda r: r.score)] == pytest.approx(want, rel=1e-9)
+    for before in (None, b"the", names[3].encode()):
+        seen = sum(10 ** log(w, before) for w in c)
+        unseen = sum(10 ** (transition[klass(before), m.classes[s]] - mass[m.classes[s]]) * 0.1 for s in range(m.lexicon.end + 1, m.lexicon.size))
+        assert seen + unseen == pytest.approx(1, abs=1e-9)
+    grams = Counter((klass(y), klass(x)) for d, t in rows if d != 2_001 for x, y in zip(tokens(t), [None, *tokens(t)[:-1]], strict=True))
+    row = {a: sum(n for (x, _), n in grams.items() if x == a) for a, _ in grams}
+    for (a, b), n in grams.items():
+        assert 10 ** transition[a, b] == pytest.approx(n / row[a], abs=5 / row[a])
+
+
+def test_sweeps_go_on_until_none_moves():
+    rng = np.random.default_rng(1)
+    first, second = np.divmod(rng.choice(120 * 120, 3_000, replace=False), 120)
+    n = rng.integers(1, 40, 3_000)
+
+    def likelihood(of):
+        g = np.zeros((9, 9))
+        np.add.at(g, (of[first], of[second]), n)
+        f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+        return f(g) - f(g.sum(axis=0)) - f(g.sum(axis=1))
+
+    of = bl.exchange(first, second, n, 120, 0, 9)
+    best = likelihood(of)
+    for w in range(1, 120):
+        for b in range(8):
+            other = of.copy()
+            other[w] = b
+            assert likelihood(other) <= best + 1e-6

@@ -4,11 +4,15 @@ log10 P(text) is the sum over its tokens of log P(class | class before) + log P(
 Exchange clustering assigns words to classes: starting from classes by rank, each word moves
 to the class that raises the likelihood of the class bigrams most, until a sweep moves none.
 
-The ``symbols`` most frequent words are clustered as themselves; every other word is clustered
-through the symbol of its ending (``endings`` of them), and its probability within the symbol
-comes from its own count, with additive mass for words never seen. So the clustering handles a
-bounded number of symbols, while counts cover every word of the corpus: the ``lookup`` most
-frequent words are sent to the tasks, and all others are joined to the count table by hash.
+The ``symbols`` most frequent words are clustered as themselves on the driver, every other word
+at first through the symbol of its ending (``endings`` of them). Then every other word of the
+corpus gets the class that makes its own neighbours' classes likeliest (``assign``: a count of
+class neighbours of each word, dealt by word), texts become sequences of these classes, and
+transitions and emissions are counted anew from them (``refit``). Only words never seen in
+training stay with the class of their ending, with additive mass. The ``lookup`` most frequent
+of the other words are sent to the tasks, all others are joined by hash.
+
+``score`` is the model before ``assign``: endings stand for all words but the most frequent.
 
 Tokens: words of the text with A-Z lowered, runs of bytes other than ASCII white space, then
 one end per text. Null texts are empty. Rows that share doc_id and text get equal results each;
@@ -26,11 +30,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .columns import fold
-from .common import Scratch, WordIndex, raw_texts
+from .columns import append, fold
+from .common import Scratch, WordIndex, raw_texts, run_bounds, runs
 
-SYMBOLS, ENDINGS, LOOKUP, CLASSES, SWEEPS = 3_072, 512, 65_536, 64, 3
+SYMBOLS, ENDINGS, LOOKUP, CLASSES = 3_072, 512, 65_536, 64
 ENDING_BYTES, DELTA, ALPHA = 3, 0.1, 5.0
 CACHE_WORDS, FLUSH_TOKENS = 300_000, 4_000_000
 
@@ -142,7 +147,7 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, fixed: int, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, fixed: int, classes: int) -> np.ndarray:
     """Class of each of size symbols from bigram counts; the fixed symbol keeps a class of its own (the last).
 
     Objective: sum f(n(c, c')) - sum f(n(c, .)) - sum f(n(., c)) with f(x) = x log x, which is the
@@ -164,7 +169,9 @@ def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, fi
     by_first, by_second = (np.argsort(x, kind="stable").astype(np.int32) for x in (first, second))
     at_first, at_second = np.searchsorted(first[by_first], np.arange(size + 1)), np.searchsorted(second[by_second], np.arange(size + 1))
     diagonal = np.arange(k + 1)
-    for _ in range(sweeps):
+    least = 1e-9 + 1e-13 * float(_f(n.sum()))  # below, a gain may be rounding, and moves could go in circles
+    moved = 1
+    while moved:
         moved = 0
         for w in order.tolist():
             if not total[w]:
@@ -178,7 +185,7 @@ def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, fi
             grams[a, a] += own
             o[a] -= own
             i[a] -= own
-            rows, columns = grams.sum(axis=1), grams.sum(axis=0)
+            rows, columns = grams.sum(axis=1) + i, grams.sum(axis=0) + o  # what leads to and from the word counts, wherever it goes
             base = _f(grams)
             wide, tall = _f(grams + o) - base, _f(grams + i[:, None]) - base
             gain = wide.sum(axis=1) - wide[diagonal, diagonal] + tall.sum(axis=0) - tall[diagonal, diagonal]
@@ -187,7 +194,7 @@ def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, fi
             gain -= _f(rows + o.sum() + own) - _f(rows) + _f(columns + i.sum() + own) - _f(columns)
             gain[k] = -np.inf
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             grams[b] += o
             grams[:, b] += i
@@ -199,8 +206,6 @@ def exchange(first: np.ndarray, second: np.ndarray, n: np.ndarray, size: int, fi
                 into[second[after], b] += n[after]
                 out[first[before], a] -= n[before]
                 out[first[before], b] += n[before]
-        if not moved:
-            break
     return of
 
 
@@ -208,8 +213,8 @@ class Model:
     """Class transitions and emissions in log10; emission[symbol] holds all of P(token | class)
     but the log of (count + delta) that a word of an ending symbol has of its own."""
 
-    def __init__(self, lexicon: Lexicon, classes: np.ndarray, transition: np.ndarray, emission: np.ndarray, n_end: int, n_tokens: int, n_types: int):
-        self.lexicon, self.classes, self.transition, self.emission = lexicon, classes, transition, emission
+    def __init__(self, lexicon: Lexicon, classes: np.ndarray, transition: np.ndarray, emission: np.ndarray, unigram: np.ndarray, n_end: int, n_tokens: int, n_types: int):
+        self.lexicon, self.classes, self.transition, self.emission, self.unigram = lexicon, classes, transition, emission, unigram
         self.n_end, self.n_tokens, self.n_types = n_end, n_tokens, n_types
 
 
@@ -243,7 +248,7 @@ def learn(texts: DataFrame, scratch: Scratch, symbols: int = SYMBOLS, endings: i
     emission = np.log10((alone + DELTA) / (mass + DELTA * size)[of])
     emission[lexicon.end + 1 :] -= np.log10(by_ending + DELTA * (types + 1))
     n_words, n_types = sum(r["n"] for r in facts), sum(r["types"] for r in facts)
-    return Model(lexicon, of, transition, emission, n_docs, n_words + n_docs, n_types + (n_docs > 0)), counts.select("h", "n")
+    return Model(lexicon, of, transition, emission, unigram, n_docs, n_words + n_docs, n_types + (n_docs > 0)), counts.select("h", "n")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -291,10 +296,186 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) ->
     return out.drop("copy")
 
 
+def assign(texts: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, n, class) of every word of texts that isn't clustered as itself."""
+    held = texts.sparkSession.sparkContext.broadcast(model)
+    k = len(model.transition)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        lex, found, size = m.lexicon.open(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(lex.hash[key // (2 * k)]), pa.array((key % (2 * k)).astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "code", "n"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                if found and (len(lex.known) > CACHE_WORDS or size > FLUSH_TOKENS):
+                    yield flush()
+                    found, size = [], 0
+                index, bounds = lex.read(raw_texts(whole["text"].slice(at, 1_000)))
+                tokens, _ = lex.tokens(index, bounds)
+                of = m.classes[tokens]
+                place = np.arange(len(index)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                other = lex.symbol[index] > lex.end
+                place, word = place[other], index[other] * (2 * k)
+                found += [word + np.append(m.classes[lex.end], of[:-1])[place], word + k + of[place + 1]]
+                size += 2 * len(word)
+        if found:
+            yield flush()
+
+    log = model.transition
+    of_before = log - np.log10(model.unigram)  # (before, class): P(class | before) / P(class)
+    weights = np.concatenate([of_before, log.T])  # (code, class)
+    weights[:, model.classes[model.lexicon.end]] = -np.inf  # the end's class is its own
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["h"]):
+            h, code, n = (table[c].to_numpy() for c in ("h", "code", "n"))
+            ends = run_bounds(h)
+            for at in range(0, len(ends) - 1, 4_000):
+                starts, stop = ends[at : min(at + 4_000, len(ends) - 1)], ends[min(at + 4_000, len(ends) - 1)]
+                x, y = code[starts[0] : stop], n[starts[0] : stop]
+                sums = np.add.reduceat(weights[x] * y[:, None], starts - starts[0])
+                yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(np.round(sums, 6).argmax(axis=1).astype(np.int32))], ["h", "class"])
+
+    found = texts.mapInArrow(neighbours, "h long, code int, n long").repartition("h").sortWithinPartitions("h").mapInArrow(best, "h long, class int")
+    return scratch.save(found.join(counts, "h").select("h", "n", "class"), "classes")
+
+
+def sequences(docs: DataFrame, model: Model, table: DataFrame, scratch: Scratch, lookup: int = LOOKUP) -> DataFrame:
+    """docs(doc_id, text binary, ...) -> their other columns, n_tokens, n_known, base_score, own
+    (the sum of the tokens' log10 of count + delta) and classes (16 bits a token)."""
+    near = table.orderBy(F.desc("n"), "h").limit(lookup).toArrow().sort_by("h")
+    held = docs.sparkSession.sparkContext.broadcast((model, *(near[c].to_numpy() for c in ("h", "n", "class"))))
+    k, normal = len(model.transition), float(np.log10(model.n_tokens + DELTA * (model.n_types + 1)))
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, near_h, near_n, near_class = held.value
+        lex, core = m.lexicon.open(), np.array([*(m.lexicon.counts[w] for w in m.lexicon.symbols), m.n_end], np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                b = whole.slice(at, 1_000)
+                index, bounds = lex.read(raw_texts(b["text"]))
+                n_docs = len(bounds) - 1
+                # by word: class, and count (-1: to be joined)
+                klass, count = m.classes[lex.symbol], np.where(lex.symbol <= lex.end, core[np.minimum(lex.symbol, lex.end)], -1)
+                if len(near_h):
+                    where = np.minimum(np.searchsorted(near_h, lex.hash), len(near_h) - 1)
+                    hit = (near_h[where] == lex.hash) & (count < 0)
+                    klass, count = np.where(hit, near_class[where], klass), np.where(hit, near_n[where], count)
+                owner = np.repeat(np.arange(n_docs), np.diff(bounds))
+                is_far = count[index] < 0
+                far = np.flatnonzero(is_far)
+                own = np.bincount(owner[~is_far], np.log10(count[index[~is_far]] + DELTA), n_docs) + np.log10(m.n_end + DELTA)
+                known = np.bincount(owner[~is_far], minlength=n_docs) + (m.n_end > 0)
+                pairs, inverse = np.unique(owner[far] * len(lex.hash) + index[far], return_inverse=True)
+                tail = pairs // max(len(lex.hash), 1), pairs % max(len(lex.hash), 1)
+                offsets = np.searchsorted(tail[0], np.arange(n_docs + 1)).astype(np.int32)
+                # a class, or -1 - the place in the text's list of words to be joined
+                codes = np.full(len(index) + n_docs, m.classes[lex.end], np.int32)
+                of = klass[index]
+                of[far] = -1 - (inverse - offsets[owner[far]])
+                codes[np.arange(len(index)) + owner] = of
+                ends = bounds + np.arange(n_docs + 1)
+                words = pa.StructArray.from_arrays([pa.array(lex.hash[tail[1]]), pa.array(klass[tail[1]].astype(np.int32))], ["h", "e"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(b[f.name] for f in others), pa.array(known.astype(np.int64)), pa.array(own), pa.array([codes[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), words)],
+                    [*(f.name for f in others), "known", "own", "codes", "tail"],
+                )
+
+    parts = docs.mapInArrow(read, f"{kinds}, known long, own double, codes binary, tail array<struct<h: long, e: int>>")
+    parts = scratch.save(parts.withColumn("uid", F.monotonically_increasing_id()), "codes")  # written: a row keeps its number
+    far = parts.select("uid", F.posexplode("tail").alias("place", "t")).select("uid", "place", F.col("t.h").alias("h"), F.col("t.e").alias("e"))
+    far = far.join(table, "h", "left").select("uid", F.struct("place", F.coalesce("class", "e").alias("class"), F.coalesce("n", F.lit(0)).alias("n")).alias("x"))
+    both = parts.drop("tail").join(far.groupBy("uid").agg(F.collect_list("x").alias("tail")), "uid", "left")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                b = whole.slice(at, 1_000)
+                codes = [np.frombuffer(x.as_buffer(), np.int32) for x in b["codes"]]
+                known, own, lengths, out = b["known"].to_numpy().copy(), b["own"].to_numpy().copy(), [], []
+                flat = b["tail"].flatten()
+                place, klass, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                ends = np.append(0, np.cumsum(b["tail"].value_lengths().fill_null(0).to_numpy()))
+                for j, c in enumerate(codes):
+                    part = slice(ends[j], ends[j + 1])
+                    missing = c < 0
+                    if missing.any():
+                        order = np.argsort(place[part])
+                        at_place = -1 - c[missing]
+                        c = c.copy()
+                        c[missing] = klass[part][order][at_place]
+                        count = n[part][order][at_place]
+                        own[j] += np.log10(count + DELTA).sum()
+                        known[j] += (count > 0).sum()
+                    lengths.append(len(c))
+                    out.append(c.astype(np.int16).tobytes())
+                size = np.array(lengths, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b[f.name] for f in others), pa.array(size), pa.array(known), pa.array(own - size * normal), pa.array(own), pa.array(out, pa.binary())],
+                    [*(f.name for f in others), "n_tokens", "n_known", "base_score", "own", "classes"],
+                )
+
+    names = [*(f"`{f.name}`" for f in others), "known", "own", "codes", "tail"]
+    filled = both.select(*names).mapInArrow(fill, f"{kinds}, n_tokens long, n_known long, base_score double, own double, classes binary")
+    return scratch.save(filled, "sequences")
+
+
+def refit(model: Model, table: DataFrame, trained: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 P(class | class before), log10 of each class's mass) from the words' final classes and
+    the training texts' sequences; P(token | class) is (count + delta) / mass."""
+    k, end = len(model.transition), model.classes[model.lexicon.end]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = np.zeros(k * k, np.int64)
+        for b in batches:
+            if b.num_rows:
+                c = np.frombuffer(b"".join(x.as_py() for x in b["classes"]), np.int16).astype(np.int64)
+                grams += np.bincount(np.append(end, c[:-1]) * k + c, minlength=k * k)
+        code = np.flatnonzero(grams)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(grams[code])], ["code", "n"])
+
+    grams = np.zeros(k * k)
+    for r in trained.select("classes").mapInArrow(each, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # the classes' square
+        grams[r["code"]] = r["n"]
+    grams = grams.reshape(k, k)
+    lex = model.lexicon
+    mass = np.bincount(model.classes[: lex.end + 1], [*(lex.counts[w] for w in lex.symbols), model.n_end], k)
+    size = np.bincount(model.classes, minlength=k).astype(float)  # an ending's symbol is a word never seen
+    for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # a row a class
+        mass[r["class"]] += r["n"]
+        size[r["class"]] += r["types"]
+    unigram = (mass + 1) / (mass.sum() + k)
+    return np.log10((grams + ALPHA * unigram) / (grams.sum(axis=1, keepdims=True) + ALPHA)), np.log10(mass + DELTA * size)
+
+
+def score_sequences(rows: DataFrame, model: Model, transition: np.ndarray, mass: np.ndarray) -> DataFrame:
+    """rows of sequences() with their score in place of own and classes."""
+    end = model.classes[model.lexicon.end]
+    step = transition - mass  # (before, class)
+
+    def each(b: pa.RecordBatch) -> list:
+        out = b["own"].to_numpy().copy()
+        for j, x in enumerate(b["classes"]):
+            c = np.frombuffer(x.as_buffer(), np.int16)
+            out[j] += step[np.append(end, c[:-1]), c].sum()
+        return [out]
+
+    return append(rows, each, [("score", T.DoubleType())]).drop("own", "classes")
+
+
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the folds 1 to 9 of 10."""
     scratch = Scratch(spark, "brown")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("text"))
-    model, counts = learn(docs.where(fold("doc_id", 10) != 0).select("text"), scratch)
-    scored = score(docs, model, counts, scratch)
-    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    train = docs.where("not held_out").select("text")
+    model, counts = learn(train, scratch)
+    table = assign(train, model, counts, scratch)
+    rows = sequences(docs, model, table, scratch)
+    scored = score_sequences(rows, model, *refit(model, table, rows.where("not held_out")))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
