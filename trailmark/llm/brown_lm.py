@@ -37,7 +37,7 @@ from .common import Scratch, WordIndex, raw_texts, run_bounds, runs
 
 SYMBOLS, ENDINGS, LOOKUP, CLASSES = 3_072, 512, 65_536, 64
 ENDING_BYTES, DELTA, ALPHA = 3, 0.1, 5.0
-CACHE_WORDS, FLUSH_TOKENS = 300_000, 4_000_000
+CACHE_WORDS, FLUSH_TOKENS, FLUSH_NEIGHBOURS, ROWS = 300_000, 4_000_000, 1_000_000, 50_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -305,43 +305,43 @@ def assign(texts: DataFrame, model: Model, counts: DataFrame, scratch: Scratch)
         m = held.value
         lex, found, size = m.lexicon.open(), [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(found), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(lex.hash[key // (2 * k)]), pa.array((key % (2 * k)).astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "code", "n"])
+            for x in range(0, len(key), ROWS):
+                part = key[x : x + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(lex.hash[part // k**2]), pa.array((part % k**2).astype(np.int32)), pa.array(n[x : x + ROWS].astype(np.int32))], ["h", "code", "n"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
-                if found and (len(lex.known) > CACHE_WORDS or size > FLUSH_TOKENS):
-                    yield flush()
+                if found and (len(lex.known) > CACHE_WORDS or size > FLUSH_NEIGHBOURS):
+                    yield from flush()
                     found, size = [], 0
                 index, bounds = lex.read(raw_texts(whole["text"].slice(at, 1_000)))
                 tokens, _ = lex.tokens(index, bounds)
                 of = m.classes[tokens]
                 place = np.arange(len(index)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 other = lex.symbol[index] > lex.end
-                place, word = place[other], index[other] * (2 * k)
-                found += [word + np.append(m.classes[lex.end], of[:-1])[place], word + k + of[place + 1]]
-                size += 2 * len(word)
-        if found:
-            yield flush()
+                place = place[other]
+                found.append((index[other] * k + np.append(m.classes[lex.end], of[:-1])[place]) * k + of[place + 1])
+                size += len(place)
+        if size:
+            yield from flush()
 
     log = model.transition
-    of_before = log - np.log10(model.unigram)  # (before, class): P(class | before) / P(class)
-    weights = np.concatenate([of_before, log.T])  # (code, class)
-    weights[:, model.classes[model.lexicon.end]] = -np.inf  # the end's class is its own
+    of_before, of_after = log - np.log10(model.unigram), log.T.copy()  # (neighbour, class): P(class | before) / P(class), P(after | class)
+    of_before[:, model.classes[model.lexicon.end]] = -np.inf  # the end's class is its own
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["h"]):
             h, code, n = (table[c].to_numpy() for c in ("h", "code", "n"))
-            ends = run_bounds(h)
-            for at in range(0, len(ends) - 1, 4_000):
-                starts, stop = ends[at : min(at + 4_000, len(ends) - 1)], ends[min(at + 4_000, len(ends) - 1)]
-                x, y = code[starts[0] : stop], n[starts[0] : stop]
-                sums = np.add.reduceat(weights[x] * y[:, None], starts - starts[0])
-                yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(np.round(sums, 6).argmax(axis=1).astype(np.int32))], ["h", "class"])
+            starts = run_bounds(h)[:-1]
+            sums = np.add.reduceat((of_before[code // k] + of_after[code % k]) * n[:, None], starts)
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(np.round(sums, 6).argmax(axis=1).astype(np.int32))], ["h", "class"])
 
-    found = texts.mapInArrow(neighbours, "h long, code int, n long").repartition("h").sortWithinPartitions("h").mapInArrow(best, "h long, class int")
-    return scratch.save(found.join(counts, "h").select("h", "n", "class"), "classes")
+    found = texts.mapInArrow(neighbours, "h long, code int, n int").repartition("h").sortWithinPartitions("h").mapInArrow(best, "h long, class int")
+    table = scratch.save(found.join(counts, "h").select("h", "n", "class"), "classes")
+    held.destroy()
+    return table
 
 
 def sequences(docs: DataFrame, model: Model, table: DataFrame, scratch: Scratch, lookup: int = LOOKUP) -> DataFrame:
@@ -356,17 +356,22 @@ def sequences(docs: DataFrame, model: Model, table: DataFrame, scratch: Scratch,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, near_h, near_n, near_class = held.value
         lex, core = m.lexicon.open(), np.array([*(m.lexicon.counts[w] for w in m.lexicon.symbols), m.n_end], np.int64)
+        seen, klass, count = lex.known, np.zeros(0, np.int64), np.zeros(0, np.int64)  # by word: class, and count (-1: to be joined)
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
                 index, bounds = lex.read(raw_texts(b["text"]))
                 n_docs = len(bounds) - 1
-                # by word: class, and count (-1: to be joined)
-                klass, count = m.classes[lex.symbol], np.where(lex.symbol <= lex.end, core[np.minimum(lex.symbol, lex.end)], -1)
-                if len(near_h):
-                    where = np.minimum(np.searchsorted(near_h, lex.hash), len(near_h) - 1)
-                    hit = (near_h[where] == lex.hash) & (count < 0)
-                    klass, count = np.where(hit, near_class[where], klass), np.where(hit, near_n[where], count)
+                if seen is not lex.known:  # the words seen were given up
+                    klass, count, seen = klass[:0], count[:0], lex.known
+                if len(klass) < len(lex.hash):
+                    symbol, h = lex.symbol[len(klass) :], lex.hash[len(klass) :]
+                    c, x = m.classes[symbol], np.where(symbol <= lex.end, core[np.minimum(symbol, lex.end)], -1)
+                    if len(near_h):
+                        where = np.minimum(np.searchsorted(near_h, h), len(near_h) - 1)
+                        hit = (near_h[where] == h) & (x < 0)
+                        c, x = np.where(hit, near_class[where], c), np.where(hit, near_n[where], x)
+                    klass, count = np.concatenate([klass, c]), np.concatenate([count, x])
                 owner = np.repeat(np.arange(n_docs), np.diff(bounds))
                 is_far = count[index] < 0
                 far = np.flatnonzero(is_far)
@@ -389,6 +394,7 @@ def sequences(docs: DataFrame, model: Model, table: DataFrame, scratch: Scratch,
 
     parts = docs.mapInArrow(read, f"{kinds}, known long, own double, codes binary, tail array<struct<h: long, e: int>>")
     parts = scratch.save(parts.withColumn("uid", F.monotonically_increasing_id()), "codes")  # written: a row keeps its number
+    held.destroy()
     far = parts.select("uid", F.posexplode("tail").alias("place", "t")).select("uid", "place", F.col("t.h").alias("h"), F.col("t.e").alias("e"))
     far = far.join(table, "h", "left").select("uid", F.struct("place", F.coalesce("class", "e").alias("class"), F.coalesce("n", F.lit(0)).alias("n")).alias("x"))
     both = parts.drop("tail").join(far.groupBy("uid").agg(F.collect_list("x").alias("tail")), "uid", "left")
