@@ -40,9 +40,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class."""
-    found = jaccard_join.join(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_doc"))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.join(keyed.select("doc_id", "text", F.col("_key").alias("row")))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
+    left = keyed.join(gone, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
     return left.dropDuplicates(["doc_id", "text"]).select(_columns(docs))
 
 

@@ -46,3 +46,11 @@ def test_run_is_the_registered_query(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is cp.run and "pipeline" not in entry.oracle_sql()
+
+
+def test_a_copy_takes_no_other_row_of_its_id_along(spark):
+    text = "this is one text of enough words to have shingles"
+    rows = [(1, text), (2, text), (2, "quite another text that nobody else has in here"), (None, text), (None, "a third text without an id that stands alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()}
+    assert got == {rows[0], rows[2], rows[4]}

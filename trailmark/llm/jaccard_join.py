@@ -80,8 +80,10 @@ def _digest(shingles: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, digest of the shingle set, signature); null for texts without words."""
+    """(doc_id, digest of the shingle set, signature); null for texts without words.
+    A column row (long) of docs is kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    row = [c for c in docs.columns if c == "row"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,9 +91,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 b = whole.slice(at, 500)
                 sets = shingle_sets(b["text"].to_pylist(), words)
                 sig = [signature(s).astype(np.int32) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in row), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", *row, "digest", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, digest binary, sig array<int>")
+    return docs.select("doc_id", *row, "text").mapInArrow(each, f"doc_id {kind}, {'row long, ' if row else ''}digest binary, sig array<int>")
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
@@ -239,12 +241,14 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
     """docs(doc_id, text) -> (doc_id, class_id, n_links), a row for every row of docs.
 
     n_links: other documents whose shingle sets have at least the similarity; class_id: the
-    least doc_id that links lead to, the document's own included.
+    least doc_id that links lead to, the document's own included. A column row (long) of docs
+    is kept, to tell rows of one doc_id apart.
     """
     # the merge hints keep one plan at every size: none of these sides is small where it matters
     scratch = Scratch(docs.sparkSession, "jaccard")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
+    row = [c for c in docs.columns if c == "row"]
+    docs = docs.select("doc_id", *row, "text")
     signed = scratch.save(signatures(docs, words), "signed")
     sets = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     sets = scratch.save(sets, "sets")
@@ -281,8 +285,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
     result = sets.join(links, "digest", "left").join(classes, "digest", "left")
     result = result.select("digest", F.coalesce("class_id", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     result = scratch.save(result, "result")
-    out = signed.select("doc_id", "digest").join(result, "digest", "left")
-    return out.select(F.col("doc_id").cast(kind), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = signed.select("doc_id", *row, "digest").join(result, "digest", "left")
+    return out.select(F.col("doc_id").cast(kind), *row, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
