@@ -135,6 +135,13 @@ def test_training_dataset_is_the_same_in_any_number_of_partitions(spark):
     assert training.as_json(training.dataset(chunks, "é", 1, 0, 0)).first().value.startswith('{"messages":[{"role":"system","content":"é"}')
 
 
+def test_training_dataset_refuses_too_few_usable_chunks(spark):
+    rows = [(k, "2. Wounds", f"[c{k}]", "1. Apply the dressing to it\n2. Hold it for some minutes", 90 if k < 49 else 79) for k in range(60)]
+    chunks = spark.createDataFrame(rows, "id long, section string, citation string, text string, token_count int")
+    with pytest.raises(validation.Refused, match="49 chunks"):
+        training.dataset(chunks, "S", 20, 7, 12)
+
+
 def test_service(spark):
     from trailmark.operators import service
 

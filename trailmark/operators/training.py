@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import prompts
+from . import prompts, validation
 
 # Texts, questions, markers and limits.
 OFF_TOPIC = [
@@ -168,7 +168,8 @@ def deflections(chunks: DataFrame, n: int, system: str, seed: int = 17, n_distra
 
 
 def dataset(chunks: DataFrame, system: str, n_grounded: int = 600, n_refusals: int = 90, n_deflections: int = 120, seed: int = 17) -> DataFrame:
-    """(kind, messages) of all three kinds, in an order by rank."""
+    """(kind, messages) of all three kinds, in an order by rank; refused with fewer than 50 usable chunks."""
+    validation.require_rows(usable(chunks), LEAST_CHUNKS, "chunks")
     parts = [("grounded", grounded(chunks, system, seed, n_grounded), "id"), ("refusal", refusals(chunks, n_refusals, system, seed), "index"), ("deflection", deflections(chunks, n_deflections, system, seed), "index")]
     union = None
     for kind, df, key in parts:
