@@ -2,26 +2,26 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from trailmark.llm import repair_ids as rp
 from trailmark.llm.wordbpe import WordEncoder, vocabulary_path
 
-TEXTS = [None, "", " \n ", "The patient's HEAD, the thigh. don't we've 42!! ...", "ÉTÉ Ä̈ naïve café  x\x1cy İstanbul ΣΑΣ. ΟΔΟΣ,", "a" * 5000, "東京 tower\u0085next ## % a.b,c. x., .,", "<|endoftext|> text", "word " * 3000, "ª. º, ſ. K, ß."]
+TEXTS = [None, "", " \n ", "The patient's HEAD, the thigh. don't we've 42!! ...", "ÉTÉ Ä̈ naïve café  x\x1cy İstanbul ΣΑΣ. ΟΔΟΣ,", "a" * 5000, "東京 tower\u0085next ## % a.b,c. x., .,", "<|endoftext|> text", "hello <|endoftext|> world <|startoftext|>", "<|ENDOFTEXT|> a<|endoftext|>b", "3rd 2nd. a1b2 it.'s 'tis (x)y <\u0338 =\u0338 e\u0301. 1,000.50", "word " * 3000, "ª. º, ſ. K, ß."]
 
 
 def library(texts):
     t = Tokenizer.from_file(vocabulary_path())
-    t.encode_special_tokens = True
     return [np.append(np.array(x.ids, np.uint32), np.uint32(2)) for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_word_by_word_ids_are_the_library_s():
     rng = random.Random(3)
-    texts = TEXTS + ["".join(rng.choice(["a", "B", "é", "́", " ", "\n", ".", ",", "'s", "'", "7", "!", " ", "ͅ", "ﬁ", "Σ"]) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    texts = TEXTS + ["".join(rng.choice(["a", "B", "é", "́", " ", "\n", ".", ",", "'s", "'", "7", "(", "\u0338", "=", "<|endoftext|>", "!", " ", "ͅ", "ﬁ", "Σ"]) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     e = WordEncoder(vocabulary_path())
-    ids, bounds = e.encode([None if t is None else t.encode() for t in texts], 2)
+    ids, bounds = e.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary()), 2)
     for k, want in enumerate(library(texts)):
         assert np.array_equal(ids[bounds[k] : bounds[k + 1]], want), texts[k]
 
@@ -40,6 +40,49 @@ def test_grammars_give_back_ids_and_stretches(terminals):
         assert np.array_equal(g.part(part, a, b), d[a:b])
 
 
+def plain_re_pair(docs, least, terminals):
+    """Pairs of ids that occur least times or more in what is left, without overlap."""
+    count = {}
+    for d in docs:
+        k = 0
+        last = None
+        for pair in zip(d, d[1:]):
+            if pair == last and pair[0] == pair[1]:
+                last = None
+                continue
+            last = pair
+            count[pair] = count.get(pair, 0) + 1
+    return {p for p, n in count.items() if n >= least}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_go_on_until_no_pair_is_frequent(seed):
+    rng = np.random.default_rng(seed)
+    phrase = rng.integers(3, 40, 64)
+    docs = [np.append(np.tile(phrase, 64), 2), np.full(4096, 7), np.append(rng.integers(3, 6, 3000), 2)] + [np.append(rng.integers(3, 9, rng.integers(0, 50)), 2) for _ in range(100)]
+    ids, bounds = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    symbols, marks, g = rp.compress(ids, bounds, least=4)
+    parts = [symbols[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
+    assert not plain_re_pair([p.tolist() for p in parts], 4, rp.TERMINALS)
+    for p, d in zip(parts, docs, strict=True):
+        assert np.array_equal(g.expand(p), d)
+    assert len(parts[1]) <= 8 and len(parts[0]) <= 40  # of 4096 ids each, doubled again and again
+
+
+def test_an_id_that_is_no_terminal_is_refused():
+    with pytest.raises(ValueError):
+        rp.pack([1], np.array([5, 70_000, 2], np.uint32), np.array([0, 3]))
+    s = rp.Shard(rp.pack([1], np.array([5, 70_000, 2], np.uint32), np.array([0, 3]), terminals=100_000))
+    assert s.document(0).tolist() == [5, 70_000, 2]
+
+
+def test_more_rules_than_16_bits_hold():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 100, 400_000).astype(np.uint32)
+    s = rp.Shard(rp.pack([1], ids, np.array([0, len(ids)]), terminals=64_000))
+    assert len(s.grammar.left) > 1_536 and np.array_equal(s.document(0), ids)
+
+
 def test_a_shard_file_read_at_random():
     docs = library(TEXTS)
     bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])

@@ -33,17 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import append, fold
-from .common import Scratch, WordIndex, raw_texts, run_bounds, runs
+from .common import Scratch, WordIndex, cut_words, run_bounds, runs, trim
 
 SYMBOLS, ENDINGS, LOOKUP, CLASSES = 3_072, 512, 65_536, 64
 ENDING_BYTES, DELTA, ALPHA = 3, 0.1, 5.0
 CACHE_WORDS, FLUSH_TOKENS, FLUSH_NEIGHBOURS, ROWS = 300_000, 4_000_000, 1_000_000, 50_000
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
-
 def endings_of(words: list[bytes], endings: int) -> np.ndarray:
     """The ending symbol of each word."""
     return np.fromiter((zlib.crc32(w[-ENDING_BYTES:]) % endings for w in words), np.int64, len(words))
@@ -68,13 +64,15 @@ def count_words(texts: DataFrame, endings: int) -> DataFrame:
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
-                for text in raw_texts(whole["text"].slice(at, 1_000)):
-                    for w in words_of(text):
-                        found[w] = found.get(w, 0) + 1
+                codes, words, _ = cut_words(whole["text"].slice(at, 1_000))
+                for w, n in zip(words.to_numpy(zero_copy_only=False).tolist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                    found[w] = found.get(w, 0) + n
                 if len(found) > CACHE_WORDS:
                     yield flush()
                     found = {}
         yield flush()
+        found = {}
+        trim()
 
     parts = texts.mapInArrow(each, "h long, word binary, ending long, n long")
     return parts.groupBy("h").agg(F.min("word").alias("word"), F.min("ending").alias("ending"), F.sum("n").alias("n"))
@@ -94,23 +92,20 @@ class Lexicon:
         self.symbol, self.count, self.hash = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return self
 
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the words, bounds) of texts; symbol, count (-1: to be joined) and hash are by number."""
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words, bounds) of texts (binary); symbol, count (-1: to be joined) and hash are by number."""
         if len(self.known) > CACHE_WORDS:
             self.open()
-        number, index, counts = self.known.__getitem__, [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = words_of(text)
-            counts[k] = len(words)
-            index.extend(map(number, words))
-        if fresh := self.known.fresh:
+        codes, words, bounds = cut_words(texts)
+        number, fresh = self.known.number(words)
+        if len(fresh):
+            fresh = fresh.to_numpy(zero_copy_only=False).tolist()
             by_ending = self.end + 1 + endings_of(fresh, self.endings)
             symbol = np.fromiter((self.symbols.get(w, -1) for w in fresh), np.int64, len(fresh))
             self.symbol = np.concatenate([self.symbol, np.where(symbol >= 0, symbol, by_ending)])
             self.count = np.concatenate([self.count, np.fromiter((self.counts.get(w, -1) for w in fresh), np.int64, len(fresh))])
             self.hash = np.concatenate([self.hash, hashes_of(fresh)])
-            fresh.clear()
-        return np.array(index, np.int64), np.append(0, np.cumsum(counts))
+        return number[codes], bounds
 
     def tokens(self, index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols with each text's end behind it, bounds of the texts among them)."""
@@ -132,7 +127,7 @@ def count_bigrams(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
-                tokens, _ = lex.tokens(*lex.read(raw_texts(whole["text"].slice(at, 1_000))))
+                tokens, _ = lex.tokens(*lex.read(whole["text"].slice(at, 1_000)))
                 codes.append(np.append(lex.end, tokens[:-1]) * lex.size + tokens)
                 if sum(map(len, codes)) > FLUSH_TOKENS:
                     yield flush()
@@ -264,7 +259,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) ->
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
-                index, bounds = lex.read(raw_texts(b["text"]))
+                index, bounds = lex.read(b["text"])
                 tokens, ends = lex.tokens(index, bounds)
                 n_docs, n_tokens = len(bounds) - 1, np.diff(ends)
                 before = np.append(lex.end, tokens[:-1])
@@ -316,7 +311,7 @@ def assign(texts: DataFrame, model: Model, counts: DataFrame, scratch: Scratch)
                 if found and (len(lex.known) > CACHE_WORDS or size > FLUSH_NEIGHBOURS):
                     yield from flush()
                     found, size = [], 0
-                index, bounds = lex.read(raw_texts(whole["text"].slice(at, 1_000)))
+                index, bounds = lex.read(whole["text"].slice(at, 1_000))
                 tokens, _ = lex.tokens(index, bounds)
                 of = m.classes[tokens]
                 place = np.arange(len(index)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -360,7 +355,7 @@ def sequences(docs: DataFrame, model: Model, table: DataFrame, scratch: Scratch,
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
-                index, bounds = lex.read(raw_texts(b["text"]))
+                index, bounds = lex.read(b["text"])
                 n_docs = len(bounds) - 1
                 if seen is not lex.known:  # the words seen were given up
                     klass, count, seen = klass[:0], count[:0], lex.known

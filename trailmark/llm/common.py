@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -102,15 +105,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 class WordIndex(dict):
-    """Numbers of words, in order of their first use; the words since the last look are fresh."""
+    """Numbers of words, in order of their first use."""
 
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
+    def number(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(numbers of distinct words, those of the words that are new)."""
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(found < 0)
+        found[new] = np.arange(len(self), len(self) + len(new))
+        self.update(zip(map(listed.__getitem__, new.tolist()), found[new].tolist(), strict=True))
+        return found, words.take(pa.array(new))
 
 
 def raw_texts(column: pa.Array) -> list[bytes | None]:
@@ -118,6 +122,63 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return [x.as_buffer().to_pybytes() if x.is_valid else None for x in column]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Classes of bytes: 0 ASCII white space; letters 1, digits 2, marks but the apostrophe 4; all else 8.
+_PLAIN, _CLASSES = np.full(256, 8, np.uint8), np.full(256, 8, np.uint8)
+_CLASSES[[c for c in range(128) if chr(c).isalpha()]] = 1
+_CLASSES[[c for c in range(128) if chr(c).isdigit()]] = 2
+_CLASSES[list(string.punctuation.replace("'", "").encode())] = 4
+_PLAIN[list(b" \t\n\x0b\f\r")] = _CLASSES[list(b" \t\n\x0b\f\r")] = 0
+
+
+def cut_words(column: pa.Array, lower: bool = True, classes: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(codes, words, bounds) of a binary column: the words of text k are words[c] for the codes c in codes[bounds[k]:bounds[k + 1]]. Words are distinct, runs between ASCII white space, with
+    A-Z lowered if asked for; with classes they also end where ASCII letters, digits and marks
+    (but the apostrophe) meet. Null counts as empty.
+    """
+    column = column.fill_null(b"") if column.null_count else column
+    n, wide = len(column), pa.types.is_large_binary(column.type)
+    if not n:
+        return np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(1, np.int64)
+    _, ends, raw = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    if not len(data):
+        return np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(n + 1, np.int64)
+    kind = (_CLASSES if classes else _PLAIN)[data]
+    before = np.empty_like(kind)
+    before[0], before[1:] = 0, kind[:-1]
+    before[ends[:-1][ends[:-1] < len(data)]] = 0
+    inside = kind != 0
+    begins = inside & ((before == 0) | ((before != kind) & ((before | kind) < 8)) if classes else before == 0)
+    starts = np.flatnonzero(begins[inside])
+    bounds = np.searchsorted(np.flatnonzero(begins), ends)
+    flat = data[inside]
+    flat = _LOWER[flat] if lower else flat
+    kind_, size = (pa.binary(), np.int32) if len(flat) < 1 << 31 else (pa.large_binary(), np.int64)
+    found = pa.Array.from_buffers(kind_, len(starts), [None, pa.py_buffer(np.append(starts, len(flat)).astype(size)), pa.py_buffer(flat)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary, bounds
+
+
+_TRIM = None
+
+
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the machine; for the end of a task."""
+    global _TRIM
+    pa.default_memory_pool().release_unused()
+    if _TRIM is None:
+        try:
+            import ctypes
+
+            _TRIM = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _TRIM = lambda _: 0
+    _TRIM(0)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): rows (node, root) for every node of an edge.
 
@@ -164,6 +225,13 @@ def block_pairs(rows: DataFrame, key: str, member: str, count: str, block: int)
     return out.withColumn("side", (F.col("_own") != F.col("pi")).cast("int")).drop("_blocks", "_own", "_other")
 
 
+def range_count(df: DataFrame, column: str, size: int) -> list[int]:
+    """The number of ranges to deal df's rows to, for repartitionByRange: none where the session's
+    number makes ranges of at most so many bytes of a column, else as many as that takes."""
+    n = math.ceil((df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0) / size)
+    return [n] if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def run_bounds(*columns: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys, and the end."""
     n = len(columns[0])

@@ -1,10 +1,10 @@
 """Token ids in shard files compressed by Re-Pair grammars.
 
 A shard holds the ids of a range of documents in ascending doc_id order. Re-Pair replaces the
-most frequent pairs of neighbouring ids by nonterminals, round after round: each round counts
-all pairs, takes the frequent ones that don't compete for ids (a pair's first id is no other's
-second), and replaces their occurrences from left to right. Documents are compressed apart, so
-that no nonterminal crosses a document's end. Rules are kept with the lengths of their
+most frequent pairs of neighbouring ids by nonterminals, round after round: each round takes the
+frequent pairs that don't compete for ids (a pair's first id is no other's second), and replaces
+their occurrences from left to right, until no pair occurs ``LEAST_COUNT`` times. Documents are
+compressed apart, so that no nonterminal crosses a document's end. Rules are kept with the lengths of their
 expansions, and documents with their places, so any document, or any stretch of one, is decoded
 without the rest of the shard.
 
@@ -17,7 +17,9 @@ File format of a shard, little-endian:
 The files are the ``payload`` column of a table that Spark writes, one row a shard.
 
 Defined results: null and empty texts are the end id alone; rows that share a doc_id follow
-one another; a null doc_id comes first; extra columns are not carried.
+one another, in an order by a hash of the text; a null doc_id comes first; an id that is no
+terminal is refused; a very long text is a document like others, in a shard of its own size;
+extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, raw_texts
+from .common import Scratch, range_count, trim
 from .wordbpe import encoder, spans, vocabulary_path
 
 END_ID = 2
-#: Terminal ids lie below; nonterminals from here on fill what 16 bits leave.
-TERMINALS, MOST_RULES = 49_408, 16_128
-ROUNDS, LEAST_COUNT, SHARD_IDS = 4, 16, 1_000_000
+#: Terminal ids lie below, nonterminals from here on.
+TERMINALS = 49_408
+LEAST_COUNT, SHARD_IDS, RANGE_BYTES = 16, 1_000_000, 32_000_000
 MAGIC = b"RPG1"
 
 
@@ -83,58 +85,113 @@ class Grammar:
         return self.expand(symbols[a : b + 1])[start - before : stop - before]
 
 
-def compress(ids: np.ndarray, breaks: np.ndarray, terminals: int = TERMINALS, rounds: int = ROUNDS, least: int = LEAST_COUNT, most_rules: int = MOST_RULES) -> tuple[np.ndarray, np.ndarray, Grammar]:
-    """(symbols, breaks, grammar) of ids whose documents start at breaks[:-1]; breaks[-1] is their number."""
-    narrow = terminals + most_rules <= 1 << 16  # then a pair fits 32 bits
-    symbol, pair, shift = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
-    text = ids.astype(symbol)
-    starts = np.zeros(len(text) + 1, bool)
-    starts[breaks] = True
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes in order, how often each occurs)."""
+    codes = np.sort(codes)
+    at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[at], np.diff(np.append(at, len(codes)))
+
+
+def _every_second(at: np.ndarray) -> np.ndarray:
+    """Of places in order the first, third and so on of each run of neighbours."""
+    if not len(at):
+        return at
+    first = np.concatenate([[True], np.diff(at) > 1])
+    return at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
+
+
+def compress(ids: np.ndarray, breaks: np.ndarray, terminals: int = TERMINALS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, Grammar]:
+    """(symbols, breaks, grammar) of ids whose documents start at breaks[:-1]; breaks[-1] is their number.
+
+    Rounds go on until no pair occurs ``least`` times. Every pair that a round brings forth
+    holds one of its nonterminals, so a pair's count only falls after the round it came from:
+    the frequent pairs are kept in a sorted table, from which replaced neighbours are taken off.
+    """
+    text, marks = ids.astype(np.uint32), np.array(breaks, np.int64)
+    code = lambda a, b: (a.astype(np.uint64) << np.uint64(32)) | b
     left, right, length = [], [], np.ones(0, np.int64)
-    for _ in range(rounds):
-        room = most_rules - len(left)
-        if len(text) < 2 or room <= 0:
-            break
-        code = (text[:-1].astype(pair) << pair(shift)) | text[1:]
-        inside = ~starts[1:-1]
-        pairs, counts = np.unique(code[inside], return_counts=True)
-        frequent = np.flatnonzero(counts >= least)
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")]
+
+    def frequent(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        narrow = terminals + len(left) <= 1 << 16  # then a pair fits 32 bits, which sort faster
+        codes, n = _counted((first << np.uint32(16)) | second if narrow else code(first, second))
+        codes, n = codes[n >= least], n[n >= least]
+        return (code(codes >> np.uint32(16), codes & np.uint32(0xFFFF)) if narrow else codes), n
+
+    def neighbours() -> tuple[np.ndarray, np.ndarray]:
+        """Whether two ids are of one document, and whether they are alike as well."""
+        joined = np.ones(max(len(text) - 1, 0), bool)
+        joined[marks[1:-1] - 1] = False
+        return joined, joined & (text[1:] == text[:-1])
+
+    joined, alike = neighbours()
+    other = joined & ~alike
+    table, counts = frequent(text[:-1][other], text[1:][other])
+    while len(text) > 1:
+        doubles = _every_second(np.flatnonzero(alike))
+        twice, n_twice = _counted(text[doubles])
+        twice, n_twice = twice[n_twice >= least], n_twice[n_twice >= least]
+        pairs = np.concatenate([table, code(twice, twice)])
+        order = np.argsort(-np.concatenate([counts, n_twice]), kind="stable")
         firsts, seconds, taken = set(), set(), []
-        for k, p in zip(frequent.tolist(), pairs[frequent].tolist(), strict=True):
-            a, b = p >> shift, p & ((1 << shift) - 1)
-            if a != b and a not in seconds and b not in firsts:  # chosen pairs never overlap
+        by_count = pairs[order]
+        for k, a, b in zip(order.tolist(), (by_count >> np.uint64(32)).tolist(), (by_count & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
+            if a not in seconds and b not in firsts and (a != b or a not in firsts and b not in seconds):  # chosen pairs never overlap
                 firsts.add(a)
                 seconds.add(b)
                 taken.append(k)
-                if len(taken) == room:
-                    break
         if not taken:
             break
-        chosen = pairs[np.sort(np.array(taken))]
-        opens, closes = np.zeros(terminals + most_rules, bool), np.zeros(terminals + most_rules, bool)
-        opens[list(firsts)] = True
-        closes[list(seconds)] = True
-        at = np.flatnonzero(opens[text[:-1]] & closes[text[1:]] & inside)
-        place = np.minimum(np.searchsorted(chosen, code[at]), len(chosen) - 1)
-        hit = chosen[place] == code[at]
+        chosen = np.sort(pairs[taken])
+        size = terminals + len(left)
+        role = np.zeros(size, np.uint8)
+        role[list(firsts)] = 1
+        role[list(seconds)] += 2
+        role = role[text]
+        at = np.flatnonzero((role[:-1] & (role[1:] >> 1) & 1).view(bool) & joined)
+        codes = code(text[at], text[at + 1])
+        place = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
+        hit = chosen[place] == codes
         at, place = at[hit], place[hit]
-        text[at] = (terminals + len(left) + place).astype(symbol)
+        if len(doubles) and alike[at].any():
+            whole = ~alike
+            whole[doubles] = True
+            ok = whole[at]
+            at, place = at[ok], place[ok]
+        if len(table):
+            # neighbours that are lost: those of a replaced pair to its left and to its right, each once
+            edge = np.zeros(len(text) + 1, bool)
+            edge[at] = edge[at + 2] = True
+            edge = np.flatnonzero(edge[1:-1] & joined)
+            lost, n = _counted(code(text[edge], text[edge + 1]))
+            where = np.minimum(np.searchsorted(table, lost), len(table) - 1)
+            same = table[where] == lost
+            counts[where[same]] -= n[same]
+            counts[np.isin(table, chosen, assume_unique=True)] = 0
+        text[at] = (size + place).astype(np.uint32)
         keep = np.ones(len(text), bool)
         keep[at + 1] = False
-        text, starts = text[keep], np.append(starts[:-1][keep], True)
-        a, b = (chosen >> pair(shift)).astype(np.int64), (chosen & pair((1 << shift) - 1)).astype(np.int64)
-        size = np.append(np.ones(terminals, np.int64), length)
-        length = np.concatenate([length, size[a] + size[b]])
+        text, marks = text[keep], marks - np.searchsorted(at + 1, marks)
+        a, b = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        sizes = np.append(np.ones(terminals, np.int64), length)
+        length = np.concatenate([length, sizes[a] + sizes[b]])
         left.extend(a.tolist())
         right.extend(b.tolist())
-    marks = np.flatnonzero(starts)
+        joined, alike = neighbours()
+        new = text >= size
+        born = np.flatnonzero((new[:-1] | new[1:]) & joined & ~alike)
+        codes, n = frequent(text[born], text[born + 1])
+        alive = counts >= least
+        table, counts = np.concatenate([table[alive], codes]), np.concatenate([counts[alive], n])
+        order = np.argsort(table)
+        table, counts = table[order], counts[order]
     return text, marks, Grammar(np.array(left, np.int64), np.array(right, np.int64), length, terminals)
 
 
-def pack(doc_ids: list, ids: np.ndarray, bounds: np.ndarray, before: int = 0) -> bytes:
+def pack(doc_ids: list, ids: np.ndarray, bounds: np.ndarray, terminals: int = TERMINALS) -> bytes:
     """A shard file of documents with ids[bounds[k]:bounds[k + 1]], each of one id at least."""
-    symbols, marks, g = compress(ids, bounds)
+    if len(ids) and int(ids.max()) >= terminals:
+        raise ValueError(f"id {int(ids.max())} is no terminal: they lie below {terminals}")
+    symbols, marks, g = compress(ids, bounds, terminals)
     small = len(symbols) == 0 or int(symbols.max()) < 1 << 16
     head = np.array([g.terminals, len(g.left), len(doc_ids), len(symbols), 16 if small else 32], "<u4")
     flags = np.array([d is not None for d in doc_ids], "u1")
@@ -200,7 +257,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, shard_ids: int =
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
-                ids, bounds = e.encode(raw_texts(b["text"]), END_ID)
+                ids, bounds = e.encode(b["text"], END_ID)
                 first = b["part"][0].as_py()
                 held.append(ids)
                 lengths.extend(np.diff(bounds).tolist())
@@ -210,9 +267,12 @@ def write(docs: DataFrame, where: str, path: str | None = None, shard_ids: int =
                     held, lengths, names, count = [], [], [], count + 1
         if names:
             yield close()
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    parts = range_count(rows, "text", RANGE_BYTES)
+    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ranged.withColumn("part", F.spark_partition_id()).mapInArrow(shards, "part int, first_doc long, number int, n_docs long, n_ids long, payload binary").write.parquet(where)
 
 

@@ -1,24 +1,24 @@
 """Token ids of a tokenizers file for whole texts, with every distinct word encoded once.
 
-The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are
-its words' ids in order. Words are cut at ASCII white space only; the library sees each word,
-other white space included, and decides the rest.
+The vocabulary's pre-tokenizer never joins characters across white space, nor ASCII letters,
+digits and marks (the apostrophe apart, which may begin a contraction), so a text's ids are
+those of its words cut there, in order. The library encodes each word and decides the rest. A
+text that holds one of the vocabulary's added tokens goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import string
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import WordIndex, held
+from .common import WordIndex, cut_words, held
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
-#: ASCII punctuation but the apostrophe, which may begin a contraction.
-TAIL = string.punctuation.replace("'", "")
+CACHE_WORDS = 250_000
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -33,21 +33,20 @@ def encoder(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """encode(texts) -> (ids, bounds): text k's ids are ids[bounds[k]:bounds[k + 1]].
-
-    The library lower-cases, so words are looked up with ASCII capitals lowered. A word of
-    letters with punctuation behind them is the ids of the letters, then the punctuation's: to
-    the pre-tokenizer a run of letters and a run of marks without an apostrophe are one each.
-    """
+    """encode(texts) -> (ids, bounds): text k's ids are ids[bounds[k]:bounds[k + 1]]."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # the words are kept here
+        # lower-cased ASCII letters are what the normaliser and the byte mapping leave as they are
+        self.ascii = Tokenizer.from_file(path)
+        self.ascii.normalizer, self.ascii.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        for t in (self.tokenizer, self.ascii):
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # the words are kept here
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[list(ends)] = True
@@ -59,64 +58,54 @@ class WordEncoder:
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _call(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _call(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _letters(self, words: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of words of letters: one pre-token each, so many can share a call."""
-        ids = np.fromiter(chain.from_iterable(self._call([" ".join(words[k : k + 200]) for k in range(0, len(words), 200)])), np.uint32)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 200), len(words)).astype(np.int32)), words)
+        ids = np.fromiter(chain.from_iterable(self._call(tokenizer, pc.binary_join(lists, " ").to_pylist())), np.uint32)
         at = np.flatnonzero(self.ends[ids]) + 1
         if len(at) != len(words) or len(ids) and at[-1] != len(ids):  # a letter that the library sees otherwise
             return self._each(words)
         return ids, np.diff(at, prepend=0)
 
-    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._call(words)
+    def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._call(self.tokenizer, words.to_pylist())
         return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def _learn(self) -> None:
+    def _learn(self, fresh: pa.Array) -> None:
         """Ids of the fresh words."""
-        fresh = [w.decode() for w in self.known.fresh]
-        self.known.fresh.clear()
-        # parts: letters alone, then whatever else stands in the words
-        stems = [w.rstrip(TAIL) for w in fresh]
-        plain: dict[str, int] = {}
-        other: dict[str, int] = {}
-        head, tail = [], []
-        for w, stem in zip(fresh, stems, strict=True):
-            if stem.isalpha():
-                head.append(plain.setdefault(stem, len(plain)))
-                rest = w[len(stem) :]
-                tail.append(-1 - other.setdefault(rest, len(other)) if rest else 0)
-            else:
-                head.append(-1 - other.setdefault(w, len(other)))
-                tail.append(0)
-        a, b = self._letters(list(plain)), self._each(list(other))
-        flat = np.concatenate([a[0], b[0], np.zeros(0, np.uint32)])
-        lengths = np.concatenate([a[1], b[1], [0]])  # the last: no part
+        fresh = fresh.cast(pa.string())
+        plain, letters = (f(fresh).to_numpy(zero_copy_only=False) for f in (pc.ascii_is_alpha, pc.utf8_is_alpha))
+        groups = [np.flatnonzero(x) for x in (plain, letters & ~plain, ~letters)]
+        of = [fresh.take(pa.array(g)) for g in groups]
+        found = [self._letters(of[0], self.ascii), self._letters(of[1], self.tokenizer), self._each(of[2])]
+        lengths = np.concatenate([n for _, n in found])
         starts = np.cumsum(lengths) - lengths
-        at = np.stack([np.array(head, np.int64), np.array(tail, np.int64)], axis=1)
-        at[:, 1][at[:, 1] == 0] = -1 - len(other)
-        at = np.where(at < 0, len(plain) - 1 - at, at).reshape(-1)
-        part = lengths[at]
-        each = part.reshape(-1, 2).sum(axis=1)
-        base = len(self.flat)
-        self.flat = np.concatenate([self.flat, flat[spans(starts[at], part)]])
-        self.starts = np.concatenate([self.starts, base + np.cumsum(each) - each])
-        self.lengths = np.concatenate([self.lengths, each])
-
-    def encode(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, each followed by end_id if one is given; None counts as empty."""
+        back = np.argsort(np.concatenate(groups))
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts[back]])
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in found)])
+        self.lengths = np.concatenate([self.lengths, lengths[back]])
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (binary) one after another, each followed by end_id if one is given; null counts as empty."""
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        words = [text.lower().split() if text else [] for text in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        if self.known.fresh:
-            self._learn()
+        codes, words, cuts = cut_words(texts, classes=True)
+        number, fresh = self.known.number(words)
+        if len(fresh):
+            self._learn(fresh)
+        at = number[codes]
         lengths = self.lengths[at]
         ids = self.flat[spans(self.starts[at], lengths)]
-        bounds = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
+        bounds = np.append(0, np.cumsum(lengths))[cuts]
+        whole = [k for t in self.added for k in pc.indices_nonzero(pc.match_substring(texts, t).fill_null(False)).to_pylist()]
+        if whole:
+            parts = np.split(ids, bounds[1:-1])
+            for k in set(whole):
+                parts[k] = np.array(self._call(self.tokenizer, [texts[k].as_py().decode()])[0], np.uint32)
+            ids, bounds = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
         if end_id is None:
             return ids, bounds
         out = np.full(len(ids) + len(texts), end_id, np.uint32)
