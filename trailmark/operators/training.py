@@ -6,6 +6,11 @@ record depends on its row and the seed only, in any number of partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +49,13 @@ KEYWORD_BLOCK = 10_000
 
 def steps(text: Column, limit: int) -> Column:
     """The most checklist-like lines: marked ones first, unmarked ones that aren't among the taken to fill up."""
-    lines = F.transform(tx.split_lines(text), tx.strip)
+    lines = F.filter(F.transform(tx.split_lines(text), tx.strip), lambda x: F.length(x) >= 15)  # a step is no longer than its line
     pairs = F.transform(lines, lambda x: F.struct(x.alias("raw"), tx.strip(F.regexp_replace(F.regexp_replace(x, "^[ •\\-*\t]+", ""), MARKER, "")).alias("step")))
     good = F.filter(pairs, lambda p: F.length(p["step"]).between(15, 200) & ~p["step"].rlike(NOT_STEPS))
-    of = lambda marked: F.transform(F.filter(good, lambda p: (p["step"] != p["raw"]) == marked), lambda p: p["step"])
-    first = F.slice(of(True), 1, limit)
-    rest = F.filter(of(False), lambda x: ~F.array_contains(first, x))
-    return F.slice(F.concat(first, rest), 1, limit)
+    of = lambda g, marked: F.transform(F.filter(g, lambda p: (p["step"] != p["raw"]) == marked), lambda p: p["step"])
+    parts = lambda g: F.struct(F.slice(of(g, True), 1, limit).alias("first"), of(g, False).alias("rest"))
+    filled = lambda p: F.slice(F.concat(p["first"], F.filter(p["rest"], lambda x: ~F.array_contains(p["first"], x))), 1, limit)
+    return tx.let(good, lambda g: tx.let(parts(g), filled))
 
 
 def topic(section: Column) -> Column:
@@ -102,7 +107,9 @@ def grounded(chunks: DataFrame, system: str, seed: int = 17, limit: int | None =
     """(id, question, answer, messages) of chunks with a topic and two steps; limit: the first so many by rank."""
     total = chunks.count()
     context = distractors(shuffled(chunks, seed), n_distractors, total)
-    rows = chunks.withColumn("_steps", steps(F.col("text"), GROUNDED_STEPS)).withColumn("_topic", topic(F.col("section"))).where("size(_steps) >= 2 and _topic is not null")
+    # a generator's output is worked out once, for the filter and for what reads it
+    worked = F.inline(F.array(F.struct(steps(F.col("text"), GROUNDED_STEPS).alias("_steps"), topic(F.col("section")).alias("_topic"))))
+    rows = chunks.select("*", worked).where("size(_steps) >= 2 and _topic is not null")
     if limit is not None:
         rows = rows.orderBy(rank(seed, "id"), "id").limit(limit)
     template = F.get(F.array(*map(F.lit, QUESTIONS)), choice(seed + 1, F.col("id"), len(QUESTIONS)))
@@ -136,18 +143,40 @@ def _context(asked: DataFrame, chunks: DataFrame, total: int, n: int, seed: int)
 def keyword_chunks(chunks: DataFrame, keywords: DataFrame, block: int = KEYWORD_BLOCK) -> DataFrame:
     """(keyword, id) for every chunk whose lower-cased text has the keyword.
 
-    Keywords are sent to all tasks, about ``block`` at a time; the chunks are scanned once a block.
+    Keywords become one automaton for about ``block`` of them, so a text is read once a block
+    however many keywords there are.
     """
+    spark, kind = chunks.sparkSession, chunks.schema["id"].dataType.simpleString()
     wanted = keywords.select("keyword").where("keyword is not null").distinct()
     n_blocks = max(1, -(-wanted.count() // block))
+    lowered = chunks.where("text is not null").select("id", F.lower("text").alias("text"))
     found = None
     for k in range(n_blocks):
-        part = wanted.where(F.pmod(F.xxhash64("keyword"), F.lit(n_blocks)) == k)
-        one = chunks.join(F.broadcast(part), F.contains(F.lower("text"), F.col("keyword"))).select("keyword", "id")
+        part = [r["keyword"] for r in wanted.where(F.pmod(F.xxhash64("keyword"), F.lit(n_blocks)) == k).collect()]  # about a block
+        one = lowered.mapInArrow(_matcher(spark.sparkContext.broadcast(part)), f"keyword string, id {kind}")
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def _matcher(listed: Broadcast):
+    """Every keyword of a list that each text holds, once a text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, automaton = listed.value, ahocorasick.Automaton()
+        for k, word in enumerate(words):
+            if word:
+                automaton.add_word(word, k)
+        everywhere = {k for k, word in enumerate(words) if not word}
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            hits = [everywhere | {k for _, k in automaton.iter(t)} if len(automaton) else everywhere for t in b["text"].to_pylist()]
+            place = pa.array([j for j, h in enumerate(hits) for _ in h], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([words[k] for h in hits for k in h], pa.string()), b["id"].take(place)], ["keyword", "id"])
+
+    return each
+
+
 def deflections(chunks: DataFrame, n: int, system: str, seed: int = 17, n_distractors: int = DISTRACTORS) -> DataFrame:
     """n records for diagnosis bait: declined, with the checklist of a chunk that has the keyword."""
     total, spark = chunks.count(), chunks.sparkSession
