@@ -22,7 +22,7 @@ def run(spark, rows, every=5, k=10):
     return sorted(tuple(r) for r in pt.search(df, F.col("vec_id") % every == 0, k).collect())
 
 
-@pytest.mark.parametrize("shape", ["unit", "clusters", "norms", "ties"])
+@pytest.mark.parametrize("shape", ["unit", "clusters", "norms", "ties", "large"])
 def test_the_best_are_those_of_brute_force(spark, shape):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((400, 8))
@@ -32,6 +32,8 @@ def test_the_best_are_those_of_brute_force(spark, shape):
         x = 3 * rng.standard_normal((5, 8))[rng.integers(0, 5, 400)] + 0.05 * x
     elif shape == "norms":
         x *= rng.exponential(3, 400)[:, None]
+    elif shape == "large":
+        x = np.round(x * 1e4) + rng.integers(0, 2, x.shape) / 1024  # products beyond 2 ** 52, neighbours one apart
     else:
         x = np.round(x[rng.integers(0, 6, 400)])
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
@@ -50,3 +52,18 @@ def test_a_crowded_annulus_in_several_blocks(spark, monkeypatch):
     base = rng.standard_normal(16)
     rows = [(k, (base + 0.01 * rng.standard_normal(16)).tolist()) for k in range(300)] + [(1000 + k, base.tolist()) for k in range(200)]
     assert run(spark, rows, every=50) == brute(rows, 50, 10)
+
+
+def test_scores_beyond_doubles_are_exact_and_beyond_longs_held(spark):
+    rows = [(0, [1e4, 3.0]), (1, [1e5 + 1 / 1024, 7.0]), (2, [1e5, 7.0]), (3, [1e8, 0.0]), (4, [-1e8, 0.0])]
+    want = brute(rows, 5, 10)
+    assert any(abs(s) > 1 << 53 for *_, s in want)
+    assert run(spark, rows) == want
+    huge = run(spark, [(0, [3e9, 0.0]), (1, [3e9, 0.0]), (2, [-3e9, 0.0])])
+    assert [(i, s) for _, _, i, s in huge] == [(1, pt.MOST), (2, pt.LEAST)]
+
+
+def test_a_large_component_goes_its_way(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, (rng.standard_normal(4) * 10.0 ** rng.integers(0, 7)).tolist()) for k in range(120)]
+    assert run(spark, rows) == brute(rows, 5, 10)

@@ -16,8 +16,8 @@ summary (pivots times annuli, a bounded table).
 Defined results: vectors that are null, empty or hold null or non-finite components take no
 part; a vector is a candidate of queries of its width only; rows with the query's own id are
 not its candidates; repeated query ids are asked once (least vector), repeated candidates
-stand as often as they occur; a null id takes no part; scores beyond a long are held at its
-limits.
+stand as often as they occur; a null id takes no part; scores are exact integers, those beyond a
+long are held at its limits.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ PIVOTS, SAMPLE, STEPS, BLOCK, SLICE = 16, 4_096, 256, 4_096, 512
 #: float64 sums of integers are exact below.
 EXACT = 2.0**52
 SLACK = 1e-9
+#: The least and the greatest score.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def integers(vectors: DataFrame, scale: float) -> DataFrame:
@@ -120,7 +122,7 @@ class _Best:
 
     def __init__(self, k: int, bound: np.ndarray):
         self.k, self.bound = k, bound.copy()
-        self.scores: list[np.ndarray] = [np.zeros(0) for _ in bound]
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64) for _ in bound]
         self.ids: list[np.ndarray] = [np.zeros(0, np.int64) for _ in bound]
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -129,13 +131,21 @@ class _Best:
             return
         scores, ids = np.concatenate([self.scores[q], scores[hit]]), np.concatenate([self.ids[q], ids[hit]])
         if len(scores) > self.k:
-            order = np.lexsort((ids, -scores))[: self.k]
+            order = np.lexsort((ids, ~scores))[: self.k]  # ~ reverses the order of integers, the least included
             scores, ids = scores[order], ids[order]
         if len(scores) == self.k:
             self.bound[q] = max(self.bound[q], scores.min())
         self.scores[q], self.ids[q] = scores, ids
 
 
+def _products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products of integer vectors as 64-bit integers; exact: none exceeds what doubles hold."""
+    if exact:
+        return (q @ x.T).astype(np.int64)
+    q, x = ([[int(c) for c in row] for row in m.tolist()] for m in (q, x))
+    return np.array([[min(max(sum(a * b for a, b in zip(p, r, strict=True)), LEAST), MOST) for r in x] for p in q], np.int64)
+
+
 def _search(k: int, top2: float):
     """Top k of the queries in every block that they were sent to."""
     exact = top2 < EXACT
@@ -149,17 +159,16 @@ def _search(k: int, top2: float):
         for s, e in sorted(slices, key=lambda x: max(data["dist"][x[0]] - middle, middle - data["dist"][x[1] - 1], 0)):
             gap = np.maximum(np.maximum(data["dist"][s] - near, near - data["dist"][e - 1]), 0)
             ceiling = (norm2 + top2 - gap**2) / 2
-            active = np.flatnonzero(ceiling + SLACK * (norm2 + top2) + 1 >= best.bound)
+            active = np.flatnonzero((ceiling + SLACK * (norm2 + top2) + 1 >= best.bound) | (best.bound == LEAST))
             if not len(active):
                 continue
             x = data["v"][s:e]
-            scores = q[active] @ x.T if exact else np.array(q[active].astype(object).astype(int).astype(object) @ x.astype(int).astype(object).T, dtype=float)
+            scores = _products(q[active], x, exact)
             for row, a in zip(scores, active.tolist(), strict=True):
                 other = data["ids"][s:e] != own[a]
                 best.add(a, row[other], data["ids"][s:e][other])
         n = [len(x) for x in best.ids]
-        scores = np.clip(np.concatenate(best.scores), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate(best.ids)), pa.array(scores)], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, data = None, [], None
@@ -202,10 +211,12 @@ def search(vectors: DataFrame, is_query, k: int, scale: float = 1024.0) -> DataF
     steps = index.groupBy("width", "pivot", "step").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()
     annuli = _annuli(steps)
     first = np.cumsum([0] + [a["blocks"] for a in annuli]).tolist()
+    for a, at in zip(annuli, first, strict=False):
+        a["start"] = at
     listed = [(a["width"], a["pivot"], s, a["id"], first[a["id"]], a["blocks"]) for a in annuli for s in a["steps"]]
     table = spark.createDataFrame(listed, "width int, pivot int, step int, annulus int, first long, blocks int")
     placed = index.join(F.broadcast(table), ["width", "pivot", "step"])
-    data = placed.select((F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks"))).alias("block"), F.lit(0).alias("kind"), "vec_id", "v", "norm2", "dist", F.lit(float("-inf")).alias("bound"))
+    data = placed.select((F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks"))).alias("block"), F.lit(0).alias("kind"), "vec_id", "v", "norm2", "dist", F.lit(LEAST).alias("bound"))
     data = scratch.save(data, "blocks")
     asked = placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "norm2", "width", "annulus", "first", "dist")).alias("q")).select("vec_id", "q.*")
     asked = scratch.save(asked, "queries")
@@ -215,33 +226,40 @@ def search(vectors: DataFrame, is_query, k: int, scale: float = 1024.0) -> DataF
         both = data.select(columns).unionByName(queries.select(columns)).repartition("block").sortWithinPartitions("block", "kind")
         return scratch.save(both.mapInArrow(_search(k, top2), "query_id long, vec_id long, score long"), "answers")
 
-    home = asked.select(F.col("first").alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "norm2", "dist", F.lit(float("-inf")).alias("bound"))
+    home = asked.select(F.col("first").alias("block"), F.lit(1).alias("kind"), "vec_id", "v", "norm2", "dist", F.lit(LEAST).alias("bound"))
     near = answers(home)
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    kth = ranked.where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    bounded = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "norm2", "width", "first", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    kth = ranked.where(F.col("r") == k).select("query_id", F.col("score").alias("bound"))
+    bounded = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "norm2", "width", "first", F.coalesce("bound", F.lit(LEAST)).alias("bound"))
+
+    rings = {w: [a for a in annuli if a["width"] == w] for w in {a["width"] for a in annuli}}  # at most pivots times steps a width
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k_ in range(b.num_rows):
-                q = {c: b[c][k_].as_py() for c in ("vec_id", "norm2", "width", "first", "bound")}
-                raw = b["v"][k_].as_buffer()
-                x = np.append(np.frombuffer(raw), 0.0)
-                d = _distances(x[None], pivots[q["width"]])[0] if q["width"] in pivots else np.array([np.sqrt(x @ x)])
-                blocks, dist = [], []
-                for a in annuli:
-                    if a["width"] != q["width"]:
-                        continue
-                    gap = max(a["low"] - d[a["pivot"]], d[a["pivot"]] - a["high"], 0.0)
-                    if (q["norm2"] + top2 - gap**2) / 2 + SLACK * (q["norm2"] + top2) + 1 < q["bound"]:
-                        continue
-                    new = [first[a["id"]] + i for i in range(a["blocks"]) if first[a["id"]] + i != q["first"]]
-                    blocks += new
-                    dist += [d[a["pivot"]]] * len(new)
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([1] * n, pa.int32()), pa.array([q["vec_id"]] * n, pa.int64()), pa.array([raw.to_pybytes()] * n, pa.binary()), pa.array([q["norm2"]] * n, pa.float64()), pa.array(dist, pa.float64()), pa.array([q["bound"]] * n, pa.float64())], columns)
-
-    rest = bounded.mapInArrow(spread, "block long, kind int, vec_id long, v binary, norm2 double, dist double, bound double")
+        """Each query once for every block that its bound still allows."""
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                b = whole.slice(s, 256)
+                widths = b["width"].to_numpy()
+                for width in np.unique(widths).tolist():
+                    part = b.take(pa.array(np.flatnonzero(widths == width)))
+                    norm2, bound, own = (part[c].to_numpy() for c in ("norm2", "bound", "first"))
+                    x = np.stack([np.append(np.frombuffer(v.as_buffer()), 0.0) for v in part["v"]])
+                    low, high, pivot, start, blocks = (np.array([a[c] for a in rings[width]]) for c in ("low", "high", "pivot", "start", "blocks"))
+                    d = _distances(x, pivots.get(width, np.zeros((1, width + 1))))[:, pivot]
+                    gap = np.maximum(np.maximum(low - d, d - high), 0)
+                    most = (norm2 + top2)[:, None]
+                    q, ring = np.nonzero(((most - gap**2) / 2 + SLACK * most + 1 >= bound[:, None]) | (bound == LEAST)[:, None])
+                    n = blocks[ring]
+                    q, ring = np.repeat(q, n), np.repeat(ring, n)
+                    block = start[ring] + np.arange(len(ring)) - np.repeat(np.cumsum(n) - n, n)
+                    other = block != own[q]
+                    q, ring, block = q[other], ring[other], block[other]
+                    for at in range(0, len(q), 10_000):  # a vector a block, so few at a time
+                        p = slice(at, at + 10_000)
+                        rows = part.take(pa.array(q[p]))
+                        yield pa.RecordBatch.from_arrays([pa.array(block[p]), pa.array(np.ones(len(rows), np.int32)), rows["vec_id"], rows["v"], rows["norm2"], pa.array(d[q[p], ring[p]]), rows["bound"]], columns)
+
+    rest = bounded.mapInArrow(spread, "block long, kind int, vec_id long, v binary, norm2 double, dist double, bound long")
     found = near.unionByName(answers(rest))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
