@@ -32,7 +32,8 @@ from .common import Scratch, block_pairs, components, local_roots, run_bounds, r
 SIMILARITY, TARGET_RECALL = 0.95, 0.98
 #: The rotations are learned on about so many vectors at most.
 SAMPLE, ITERATIONS = 10_000, 30
-BLOCK = 256
+#: Vectors of a block, and those of them that are compared with the other block at once.
+BLOCK, STRIP = 1_024, 256
 
 
 def unit(vector: np.ndarray) -> np.ndarray:
@@ -140,10 +141,15 @@ def _linked(similarity: float, kind: str):
 
     def pairs(s: int, e: int, side: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
-        if len(right):
-            a, b = np.nonzero(units[left] @ units[right].T >= similarity)
-            return left[a], right[b]
-        return np.nonzero(np.triu(units @ units.T >= similarity, 1))
+        within = not len(right)
+        right = left if within else right
+        found = []
+        for at in range(0, len(left), STRIP):
+            strip = left[at : at + STRIP]
+            a, b = np.nonzero(units[strip] @ units[right].T >= similarity)
+            a, b = strip[a], right[b]
+            found.append((a[a < b], b[a < b]) if within else (a, b))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["bucket", "pi", "pj"]):
@@ -155,12 +161,14 @@ def _linked(similarity: float, kind: str):
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if e - s < 2 or pi[s] != pj[s] and (side[s] == side[e - 1]):
                     continue
-                units = np.stack(_unit_rows(raw.slice(s, e - s), kind))
+                units = np.frombuffer(b"".join(x.as_buffer() for x in raw.slice(s, e - s)), kind).reshape(e - s, -1).astype(np.float64)
+                units /= np.abs(units).max(axis=1)[:, None]
+                units /= np.linalg.norm(units, axis=1)[:, None]
                 a, b = pairs(s, e, side, units)
                 if not len(a):
                     continue
-                mine = np.stack([np.frombuffer(codes[k].as_buffer(), np.int32) for k in range(s, e)])
                 at = int(bucket[s] >> 32 & 0xFF)  # an earlier table where both fall together has counted the pair
+                mine = np.stack([np.frombuffer(codes[k].as_buffer(), np.int32, at) for k in range(s, e)])
                 first = np.ones(len(a), bool)
                 for t in range(at):
                     first &= mine[a, t] != mine[b, t]
