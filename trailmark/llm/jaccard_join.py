@@ -6,7 +6,10 @@ starts with all sets in one node; a node is split on one or two coordinates that
 until a node is small, or keeps most of its parent (its sets are alike), or the path is long.
 Nodes that stop are compared by brute force in blocks: first by signatures, which leaves sets
 with a partner that may reach the similarity, then these with their whole sets. Several runs with
-other coordinates bring the recall to the target. All runs advance together, level by level.
+other coordinates bring the recall to the target; their number follows from the length of the
+paths (``runs_for``): a pair is lost more often the more splits it goes through, so sets that
+were still in a large node after ``SHALLOW`` splits have further runs among themselves. All
+runs advance together, level by level.
 
 Equal sets are one class before the join. Leaves with the same members are compared once; a
 pair that meets in several leaves is counted in the least of them, so that links are counted
@@ -14,8 +17,10 @@ without listing pairs; a block hands on one edge a set, to the root of its local
 
 Words: runs of characters other than ASCII white space, of the lower-cased text. A text with
 fewer words than a shingle is one shingle; a text without words links with nothing. Null
-texts have no words. Rows that share a text are copies of each other, also with one doc_id; a
-null doc_id counts as a copy but is no class id unless its class has no other.
+texts have no words. A very long text is a set like others, its shingles are made twice and
+travel only if a signature is like its own. Rows that share a text are copies of each other, also
+with one doc_id; a null doc_id counts as a copy but is no class id unless its class has no other.
+Extra columns are not carried, but for one named row.
 """
 
 from __future__ import annotations
@@ -33,9 +38,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, block_pairs, components, local_roots, run_bounds, runs
 
 WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.999
-COORDINATES, LEAF, BLOCK, DEPTH = 64, 96, 256, 8
-#: Least chance that a run brings a pair of the least similarity together: two levels of splits.
-RUN_RECALL = 0.6
+COORDINATES, LEAF, DEPTH = 64, 96, 8
+#: Sets of a block: where signatures are compared, and where whole sets are.
+SIGNATURE_BLOCK, BLOCK = 1_024, 256
+#: Splits that most paths end within: all sets have the runs that these take, those whose paths are longer have more.
+SHALLOW = 2
 _MULTIPLY = np.random.default_rng(1).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(2).integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
@@ -105,9 +112,29 @@ def _children(rows: DataFrame, similarity: float) -> DataFrame:
     return at.select("digest", F.xxhash64("node", "at", F.get("sig", F.col("at"))).alias("node"), F.col("c").alias("parent"))
 
 
-def leaves(sets: DataFrame, total: int, n_runs: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """Chosen paths over sets(digest, sig): rows (digest, node, c) of leaves with two members or more."""
-    start = sets.select("digest", "sig", F.lit(total).cast("long").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run"))
+def runs_for(depth: int, similarity: float, target: float) -> int:
+    """Runs that find a pair of the least similarity with the target chance, if its paths have so many splits.
+
+    A pair that agrees on a share p of the coordinates stays together in a split on one of them
+    with chance p, and 1 / similarity are drawn on average; the share varies as the
+    coordinates are a sample.
+    """
+    two = 1 / similarity - 1
+    share = np.arange(COORDINATES + 1) / COORDINATES
+    together = np.ones(COORDINATES + 1)
+    for _ in range(depth):
+        apart = 1 - share * together
+        together = 1 - (1 - two) * apart - two * apart**2
+    weight = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+    n = 1
+    while (weight * (1 - (1 - together) ** n)).sum() < target:
+        n += 1
+    return n
+
+
+def _walk(sets: DataFrame, total: int, numbers: range, similarity: float, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(rows (digest, node, parent) of each level, nodes (node, c, x, s) that stop there) of runs over sets(digest, sig)."""
+    start = sets.select("digest", "sig", F.lit(total).cast("long").alias("c"), F.explode(F.sequence(F.lit(numbers.start), F.lit(numbers.stop - 1))).alias("run"))
     rows = _children(start.withColumn("node", F.xxhash64(F.lit("root"), "run")), similarity)
     levels, ends = [], []
     for depth in range(1, DEPTH + 1):
@@ -122,7 +149,19 @@ def leaves(sets: DataFrame, total: int, n_runs: int, similarity: float, scratch:
         if large.isEmpty():
             break
         rows = _children(rows.select("digest", "node").join(large, "node").join(sets.select("digest", "sig").hint("merge"), "digest"), similarity)
+    return levels, ends
+
+
+def leaves(sets: DataFrame, similarity: float, target: float, scratch: Scratch) -> DataFrame:
+    """Chosen paths over sets(digest, sig): rows (digest, node, c) of leaves with two members or more."""
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
+    n_runs = runs_for(SHALLOW, similarity, target)
+    levels, ends = _walk(sets, sets.count(), range(n_runs), similarity, scratch)
+    if len(levels) > SHALLOW:
+        deep = scratch.save(union([r.select("digest") for r in levels[SHALLOW:]]).distinct(), "deep")
+        further = range(n_runs, runs_for(len(levels), similarity, target))
+        again = _walk(sets.join(deep.hint("merge"), "digest", "left_semi"), deep.count(), further, similarity, scratch)
+        levels, ends = levels + again[0], ends + again[1]
     kept = scratch.save(union(ends).groupBy("c", "x", "s").agg(F.min("node").alias("node")).select("node", "c"), "leaves")
     return scratch.save(union([r.select("digest", "node") for r in levels]).join(kept, "node"), "members")
 
@@ -252,9 +291,8 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
     signed = scratch.save(signatures(docs, words), "signed")
     sets = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     sets = scratch.save(sets, "sets")
-    n_runs = math.ceil(math.log(1 - target_recall) / math.log(1 - RUN_RECALL))
-    members = leaves(sets, sets.count(), n_runs, similarity, scratch)
-    dealt = block_pairs(members.join(sets.select("digest", "sig").hint("merge"), "digest"), "node", "digest", "c", BLOCK)
+    members = leaves(sets, similarity, target_recall, scratch)
+    dealt = block_pairs(members.join(sets.select("digest", "sig").hint("merge"), "digest"), "node", "digest", "c", SIGNATURE_BLOCK)
     dealt = dealt.repartition("node", "pi", "pj").sortWithinPartitions("node", "pi", "pj")
     alike = dealt.select("node", "pi", "pj", "side", "digest", "sig").mapInArrow(_plausible(similarity), "digest binary, node long").distinct()
     alike = scratch.save(alike, "alike")
