@@ -7,15 +7,18 @@
 4. packing: what is left becomes sequences of 4096 tokens.
 
 Each stage is written as Parquet and read again. Rows that share doc_id and text are one
-document to the stage of near-duplicates. A null text goes in the first stage.
+document to the stage of near-duplicates; rows that share a doc_id alone are documents of their
+own in every stage, as are rows without one. A null text goes in the first stage. Extra columns
+are carried by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import hilbert_pack, jaccard_join, kneser_ney, language_id
+from trailmark.llm.columns import free
 from trailmark.llm.common import Scratch
 
 #: Below this posterior another language is about as likely.
@@ -25,26 +28,27 @@ LEAST_POSTERIOR = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with a posterior of at least one half."""
     model = language_id.learn(docs)
-    found = language_id.predict(docs, model, "_language", "_posterior")
+    told, posterior = free(docs, "_language", "_posterior")
+    found = language_id.predict(docs, model, told, posterior)
     unsure = F.lit(not model.languages) & F.col("text").rlike(r"\p{L}")  # nothing was learned: nothing to reject by
-    return found.where(unsure | (F.col("_language") != language_id.UNKNOWN) & (F.col("_posterior") >= LEAST_POSTERIOR)).select(_columns(docs))
+    return found.where(unsure | (F.col(told) != language_id.UNKNOWN) & (F.col(posterior) >= LEAST_POSTERIOR)).select(_columns(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents within their language's threshold of perplexity."""
     found = kneser_ney.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not kept")
-    rejected = found.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(rejected, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti").select(_columns(docs))
+    return _without(docs, found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = jaccard_join.join(keyed.select("doc_id", "text", F.col("_key").alias("row")))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
-    left = keyed.join(gone, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]).select(_columns(docs))
+    """Keeps one document of each class, and one row of a document that stands in several."""
+    found = jaccard_join.join(docs.select("doc_id", "text", _row().alias("row")))
+    left = _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    again = found.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    many = _without(left, again, "left_semi")
+    # of rows that share doc_id and text the one whose columns hash to the least
+    once = many.groupBy(_row().alias("row"), "doc_id").agg(F.min_by(F.struct(*_columns(docs)), F.xxhash64(F.to_json(F.struct(*_columns(docs))))).alias("kept"))
+    return _without(left, again).unionByName(once.select(*(F.col("kept")[c].alias(c) for c in docs.columns)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +56,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return hilbert_pack.digests(hilbert_pack.pack(docs))
 
 
+def _row() -> Column:
+    """A document by its id and its text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs but those of rows(doc_id, row); with left_semi only those."""
+    key, doc, row = free(docs, "_key", "_doc", "_row")
+    listed = rows.select(F.col("doc_id").alias(doc), F.col("row").alias(row))
+    return docs.withColumn(key, _row()).join(listed, (F.col(key) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(doc)), how).select(_columns(docs))
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 

@@ -54,3 +54,15 @@ def test_a_copy_takes_no_other_row_of_its_id_along(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()}
     assert got == {rows[0], rows[2], rows[4]}
+
+
+def test_names_that_clash_and_rows_of_one_id(spark):
+    text = "this is one text of enough words to have shingles"
+    rows = [(1, text, "x", "a", 1), (1, text, "x", "b", 1), (1, "another text under the first id that is like no other", "x", "c", 1), (None, "a text without an id of its own here", "x", "d", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _language string, _key string, row int").selectExpr("*", "_key AS _doc", "_key AS _row", "1.0D AS _posterior", "_key AS lang")
+    out = cp.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = {tuple(r)[:5] for r in out.collect()}
+    assert len(got) == 3 and got <= set(rows) and {r[1] for r in got} == {r[1] for r in rows}
+    told = cp.language(spark, docs, SF).collect()
+    assert all(r["_language"] == "x" and r["_posterior"] == 1.0 for r in told)
