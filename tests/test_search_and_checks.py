@@ -85,9 +85,9 @@ def test_vector_arithmetic(spark):
 
 
 def test_safety_rows(spark):
-    assert safety.assert_compiles() == 15
+    assert safety.assert_compiles(spark) == 15
     rows = safety.sanitize(fx.SAFETY.frame(spark)).collect()
-    assert len(rows) == 48
+    assert {n for n, _ in safety.PATTERNS} == {r.expect_pattern for r in rows if r.expect_pattern}
     for r in rows:
         assert r.was_modified == r.expect_blocked, r.text
         assert r.safe_text == (safety.REPLACEMENT if r.expect_blocked else r.text)
@@ -99,8 +99,8 @@ def test_safety_rows(spark):
 def test_wordpiece_errors_and_padding():
     config = wordpiece.Config(8, cls_token_id=2, sep_token_id=3, unk_token_id=1)
     vocabulary = wordpiece.read_vocabulary("\r\n".join(fx.VOCABULARY) + "\r\n")
-    assert vocabulary["thigh"] == 11
-    assert wordpiece.WordPiece(vocabulary, config).encode("patient") == ([2, 4, 3, 0, 0, 0, 0, 0], [1, 1, 1, 0, 0, 0, 0, 0])
+    assert vocabulary["now"] == 11
+    assert wordpiece.WordPiece(vocabulary, config).encode("cover") == ([2, 4, 3, 0, 0, 0, 0, 0], [1, 1, 1, 0, 0, 0, 0, 0])
     assert wordpiece.read_vocabulary("a\n\nb") == {"a": 0, "b": 2}
     with pytest.raises(ValueError):
         wordpiece.WordPiece({}, config)
@@ -108,7 +108,7 @@ def test_wordpiece_errors_and_padding():
         wordpiece.WordPiece(vocabulary, wordpiece.Config(1))
     again = wordpiece.Config.read(config.write())
     assert again == config and wordpiece.Config.read('{"max_sequence_length": 128, "other": 1}').strip_accents
-    assert wordpiece.WordPiece(vocabulary, config).count("patient has bleedings") == 4
+    assert wordpiece.WordPiece(vocabulary, config).count("cover the cleaned") == 4
 
 
 def test_dense_ids_and_store(spark):
@@ -151,7 +151,7 @@ def test_service(spark):
     asked = spark.createDataFrame([(1, "how to treat a wound", [1.0, 0.0, 0.0, 0.0]), (2, "engine", [0.0, 0.0, 0.0, 1.0]), (3, " \t", [1.0, 0.0, 0.0, 0.0])], "query_id long, question string, vector array<double>")
     got = {r.query_id: r for r in service.ask(store.select("id", "vector"), store, asked, 1).collect()}
     assert set(got) == {1, 2}
-    assert got[1].answer == "[Source: Fixture Manual, Section 1.1, p. 10]\nApply direct pressure to the wound." and not got[1].was_modified
+    assert got[1].answer == "\n".join(fx.STORE.rows[0][3:5]) and not got[1].was_modified
     assert got[2].result == "noConfidentMatch" and got[2].citation is None and got[2].answer == "NO_MATCHING_PROTOCOL_FOUND"
     unsafe = service.ask(store.select("id", "vector"), store, asked, 1, generate=lambda p: F.concat(F.lit("The diagnosis is: "), p)).collect()
     assert all(r.answer == safety.REPLACEMENT and r.matched_patterns == ["diagnosis_is"] for r in unsafe)

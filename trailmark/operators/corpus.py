@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as tx
 from ..functions import vectors as vc
 
@@ -18,11 +20,12 @@ def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
 
     Rows are range-sorted; each range counts its rows, and a row's id is its place in its
     range behind the rows of the ranges before. No task holds the whole table, as a window
-    without partitions would.
+    without partitions would. The placed rows are written, so that counts and rows are
+    of one dealing whatever is lost and recomputed.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = placed.persist()  # both uses must see one dealing of the rows
+    placed = shared.written(placed, "placed")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row a range
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
@@ -66,11 +69,16 @@ def build(sources: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored, ordered.select(*columns)
 
 
-def facts(chunks: DataFrame, sources: DataFrame, **settings) -> DataFrame:
-    """(key, value) of a build, all values as text; both counts from the tables as they are."""
+def built_now() -> str:
+    """The time of a build: UTC, in whole seconds."""
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
+def facts(chunks: DataFrame, sources: DataFrame, built_at: str | None = None, **settings) -> DataFrame:
+    """(key, value) of a build, all values as text; both counts from the tables as they are; built_at: now unless given."""
     spark = chunks.sparkSession
     counted = lambda df, key: df.agg(F.count("*").cast("string").alias("value")).select(F.lit(key).alias("key"), "value")
-    fixed = {"schema_version": SCHEMA_VERSION, "embeddings_normalized": "1", "embedding_dtype": "float32_le"} | settings
+    fixed = {"schema_version": SCHEMA_VERSION, "embeddings_normalized": "1", "embedding_dtype": "float32_le", "built_at": built_at or built_now()} | settings
     given = spark.createDataFrame([(k, str(v)) for k, v in fixed.items()], "key string, value string")
     return given.unionByName(counted(chunks, "chunk_count")).unionByName(counted(sources, "source_count"))
 
@@ -139,6 +147,12 @@ def card_images(cards: DataFrame, images: DataFrame, payloads: DataFrame) -> Dat
     return rows.select("chunk_id", F.col("slug").alias("species_slug"), "ordinal", F.col("i.license").alias("license"), F.col("i.attribution").alias("attribution"), url.alias("source_url"), F.lit("image/jpeg").alias("mime"), "width", "height", "bytes")
 
 
+def image_bytes(images: DataFrame) -> DataFrame:
+    """(species_slug, n_images, n_jpeg, total_bytes) of an image table."""
+    raw = F.col("bytes")
+    return images.groupBy("species_slug").agg(F.count("*").alias("n_images"), F.count_if(vc.is_jpeg(raw)).alias("n_jpeg"), F.coalesce(F.sum(F.octet_length(raw)), F.lit(0)).alias("total_bytes"))
+
+
 def pinned_or_resolved(cards: DataFrame, locked: DataFrame, resolved: DataFrame) -> DataFrame:
     """cards with images: pinned ones (slug, images) where there are any, else resolved ones."""
     pins = locked.select("slug", F.col("images").alias("_pinned"))

@@ -108,8 +108,12 @@ def search(corpus: DataFrame, texts: DataFrame, queries: DataFrame, k: int = TOP
 
     The texts(id, citation, text) are joined to the hits only.
     """
-    hits = top_k(corpus, queries, k)
-    opened = gate(hits, queries, threshold).where("result = 'match'").select("query_id", F.inline("chunks"))
+    return show(gate(top_k(corpus, queries, k), queries, threshold), texts)
+
+
+def show(gated: DataFrame, texts: DataFrame) -> DataFrame:
+    """The hits of a gate's rows with citation and text."""
+    opened = gated.where("result = 'match'").select("query_id", F.inline("chunks"))
     shown = texts.where("citation is not null and text is not null").select("id", "citation", "text")
     return opened.join(shown, "id").select("query_id", "rank", "id", "citation", "text", "similarity")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import safety
 from ..functions.text import not_blank
 from . import prompts, search, validation
@@ -26,9 +27,8 @@ def ask(vectors: DataFrame, texts: DataFrame, questions: DataFrame, k: int = sea
     the retrieved context. Whatever the answer says passes the safety filter.
     """
     asked = questions.where(not_blank(F.col("question")))
-    hits = search.top_k(vectors, asked, k)
-    gated = search.gate(hits, asked, threshold)
-    shown = search.search(vectors, texts, asked, k, threshold)
+    gated = shared.written(search.gate(search.top_k(vectors, asked, k), asked, threshold), "gated")  # read twice, searched once
+    shown = search.show(gated, texts)
     built = prompts.build(asked, gated, shown)
     if generate is not None:
         answered = built.withColumn("raw", generate(F.col("prompt")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search, store, texts
+from . import builds, search, store, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | store.QUERIES
-ORACLE = search.ORACLE | texts.ORACLE | store.ORACLE
+QUERIES = search.QUERIES | texts.QUERIES | store.QUERIES | builds.QUERIES
+ORACLE = search.ORACLE | texts.ORACLE | store.ORACLE | builds.ORACLE

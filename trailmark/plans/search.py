@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as tx
 from ..functions import vectors as vc
 from ..functions import wordpiece
@@ -50,8 +51,8 @@ def search_cited(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompt_assembly(spark: SparkSession, sf: str) -> DataFrame:
     queries, texts = _queries(spark, sf), _texts(spark, sf)
-    hits = search.search(_corpus(spark, sf), texts, queries, 3, 0.35)
-    gated = search.gate(search.top_k(_corpus(spark, sf), queries, 3), queries)
+    gated = shared.written(search.gate(search.top_k(_corpus(spark, sf), queries, 3), queries), "gated")
+    hits = search.show(gated, texts)
     asked = queries.join(texts, queries["query_id"] == texts["id"]).select("query_id", tx.snippet(F.col("text"), 40).alias("question"))
     out = prompts.build(asked, gated, hits)
     return out.select("query_id", "result", "citation", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
@@ -141,9 +142,9 @@ ORACLE = {
               'Retrieved context:' || chr(10) || CASE WHEN best >= 0.35 THEN ctx ELSE 'NO_MATCHING_PROTOCOL_FOUND' END || chr(10) || chr(10) || 'User question: ' || trim(substr(flat, 1, 40)) AS prompt
               FROM b JOIN d ON d.id = b.query_id LEFT JOIN x USING (query_id) WHERE trim(substr(flat, 1, 40)) <> '')
         SELECT query_id, result, citation, md5(prompt) AS prompt_md5, length(prompt)::INTEGER AS prompt_chars FROM p""",
-    "excerpt_prompts": """SELECT 1::BIGINT AS query_id, 'match' AS result, '[Source: Fixture Manual, Section 1.1, p. 10]' AS citation,
-        'Retrieved excerpts:' || chr(10) || chr(10) || '[EXCERPT 1] [Source: Fixture Manual, Section 1.1, p. 10]' || chr(10) || 'Apply direct pressure to the wound.' || chr(10) || chr(10)
-        || '[EXCERPT 2] [Source: Fixture Manual, Section 2.1, p. 20]' || chr(10) || 'Splint the limb in the position found.' || chr(10) || chr(10) || 'Responder asked: wound on the arm' || chr(10) || chr(10)
+    "excerpt_prompts": f"""SELECT 1::BIGINT AS query_id, 'match' AS result, '{fx.STORE.rows[0][3]}' AS citation,
+        'Retrieved excerpts:' || chr(10) || chr(10) || '[EXCERPT 1] {fx.STORE.rows[0][3]}' || chr(10) || '{fx.STORE.rows[0][4]}' || chr(10) || chr(10)
+        || '[EXCERPT 2] {fx.STORE.rows[1][3]}' || chr(10) || '{fx.STORE.rows[1][4]}' || chr(10) || chr(10) || 'Responder asked: wound on the arm' || chr(10) || chr(10)
         || 'If these excerpts genuinely cover the question, answer from them and open with the citation. If they do not, say that no matching protocol was found.' AS prompt
         UNION ALL SELECT 2, 'noConfidentMatch', NULL, 'No protocol excerpt matched this question with sufficient confidence.' || chr(10) || chr(10) || 'Responder asked: engine noise'""",
     "fixture_search": """SELECT * FROM (VALUES (1::BIGINT, 'match', 1::INTEGER, 1::BIGINT, 1.0::DOUBLE), (1, 'match', 2, 2, 0.0), (1, 'match', 3, 3, 0.0), (2, 'match', 1, 1, 0.9), (2, 'match', 2, 2, 0.4), (2, 'match', 3, 3, 0.1),

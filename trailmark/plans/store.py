@@ -54,7 +54,7 @@ def unmanifested(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus_facts(spark: SparkSession, sf: str) -> DataFrame:
     sources, chunks = _store(spark, sf)
-    return corpus.facts(chunks, sources, embedding_dim=64, chunk_tokens=220, overlap_tokens=48)
+    return corpus.facts(chunks, sources, built_at="2024-01-01T00:00:00+00:00", embedding_dim=64, chunk_tokens=220, overlap_tokens=48)
 
 
 def section_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,7 +186,7 @@ ORACLE = {
     "chunk_ids": f"WITH {_DOCS} SELECT id, source_id, section, citation, token_count FROM c",
     "sources_with_chunks": f"WITH {_DOCS} SELECT id, filename, 'Manual ' || filename AS citation_prefix FROM m",
     "unmanifested": "SELECT DISTINCT source AS filename FROM documents WHERE source LIKE '%9'",
-    "corpus_facts": f"""WITH {_DOCS} SELECT * FROM (VALUES ('schema_version', '1'), ('embeddings_normalized', '1'), ('embedding_dtype', 'float32_le'), ('embedding_dim', '64'), ('chunk_tokens', '220'), ('overlap_tokens', '48')) AS t(key, value)
+    "corpus_facts": f"""WITH {_DOCS} SELECT * FROM (VALUES ('schema_version', '1'), ('embeddings_normalized', '1'), ('embedding_dtype', 'float32_le'), ('built_at', '2024-01-01T00:00:00+00:00'), ('embedding_dim', '64'), ('chunk_tokens', '220'), ('overlap_tokens', '48')) AS t(key, value)
         UNION ALL SELECT 'chunk_count', count(*)::VARCHAR FROM c UNION ALL SELECT 'source_count', count(*)::VARCHAR FROM m""",
     "section_summary": f"WITH {_DOCS} SELECT count(*) AS chunk_count, count(*) FILTER (section <> '') AS sectioned, count(DISTINCT source_id) AS source_count FROM c",
     "meta_upsert": f"WITH {fx.FACTS_OLD.values('o')}, {fx.FACTS_NEW.values('n')} SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (key)",

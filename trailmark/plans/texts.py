@@ -74,14 +74,14 @@ def safety_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def safety_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = safety.sanitize(fx.SAFETY.frame(spark))
-    return out.select(F.explode("matched_patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    """How often each pattern matches in the texts of safety_filter."""
+    matched = safety_filter(spark, sf).select(F.explode(F.split("matched", ",")).alias("pattern")).where("pattern <> ''")
+    return matched.groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 def license_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Licences named in documents, and the fixture's, with the allowlist's decision."""
-    line = F.regexp_extract("text", r"(?i)(CC BY[-A-Z ]*[0-9.]*[0-9]|Apache License|MIT License|General Public License|public domain|CC0)", 1)
-    named = _documents(spark, sf).select(line.alias("license")).where("license <> ''")
+    """Every licence named in documents, and the fixture's, with the allowlist's decision."""
+    named = _documents(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(_LICENSE), 1)).alias("license"))
     both = named.unionByName(fx.LICENCES.frame(spark).select("license"))
     return both.select("license", licensing.is_allowed(F.col("license")).alias("allowed"))
 
@@ -102,6 +102,9 @@ def license_report(spark: SparkSession, sf: str) -> DataFrame:
     return licensing.license_report(image_pick(spark, sf))
 
 
+_LICENSE = r"(?i)(CC BY[-A-Z ]*[0-9.]*[0-9]|Apache License|MIT License|General Public License|public domain|CC0)"
+
+
 # Patterns for the oracle's engine, which has no lookbehind: what the lookbehinds let pass is blanked first.
 def _matches(name: str, pattern: str, text: str) -> str:
     if name == "species_id":
@@ -171,8 +174,8 @@ ORACLE = {
     "chunk_stats": f"WITH RECURSIVE {_FOLD} SELECT count(*) AS n_chunks, count(DISTINCT doc) AS n_docs, CAST(sum(token_count) AS BIGINT) AS n_tokens, max(token_count) AS max_tokens, count(*) FILTER (token_count > 220) AS over_budget FROM ch",
     "safety_filter": f"""WITH {fx.SAFETY.values("x")}, t AS (SELECT 'fixture' AS origin, text FROM x UNION ALL SELECT 'document', text FROM documents UNION ALL SELECT 'conversation', text FROM conversations), {_SAFE}
         SELECT origin, md5(text) AS text_md5, len(m) > 0 AS was_modified, array_to_string(m, ',') AS matched, md5(CASE WHEN len(m) > 0 THEN '{safety.REPLACEMENT}' ELSE text END) AS safe_md5 FROM f""",
-    "safety_summary": f"WITH {fx.SAFETY.values('x')}, t AS (SELECT 'fixture' AS origin, text FROM x), {_SAFE} SELECT pattern, count(*) AS n FROM (SELECT unnest(m) AS pattern FROM f) GROUP BY 1",
-    "license_gate": f"""WITH {fx.LICENCES.values("l")}, n AS (SELECT regexp_extract(text, '(?i)(CC BY[-A-Z ]*[0-9.]*[0-9]|Apache License|MIT License|General Public License|public domain|CC0)', 1) AS license FROM documents)
+    "safety_summary": f"WITH {fx.SAFETY.values('x')}, t AS (SELECT 'fixture' AS origin, text FROM x UNION ALL SELECT 'document', text FROM documents UNION ALL SELECT 'conversation', text FROM conversations), {_SAFE} SELECT pattern, count(*) AS n FROM (SELECT unnest(m) AS pattern FROM f) GROUP BY 1",
+    "license_gate": f"""WITH {fx.LICENCES.values("l")}, n AS (SELECT unnest(regexp_extract_all(text, '{_LICENSE}', 1)) AS license FROM documents)
         SELECT license, allowed FROM l UNION ALL SELECT license, regexp_matches(license, '(?i)^(public domain|cc0|cc[-\\s]?pd|cc by[-\\s]?(sa[-\\s]?)?\\d)') AS allowed FROM n WHERE license <> ''""",
     "image_pick": f"WITH {_PICK} SELECT * FROM pick WHERE ordinal < 3",
     "image_resolve": f"WITH {fx.RESOLVED.values('r')} SELECT * FROM r",
