@@ -35,3 +35,8 @@ def test_a_very_long_text(spark):
 def test_no_python_on_the_main_path(spark):
     plan = ls.op6_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Nested" not in plan
+
+
+def test_neighbours_are_spelled_alike(spark):
+    got = scan(spark, ["licence licence licence per cent per cent", "license license license percent percent", "SPDX-License-Identifier: GPL-3.0-or-later"])
+    assert got[0].digest == got[1].digest and got[2].license_id == "GPL-3.0-or-later"

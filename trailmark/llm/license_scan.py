@@ -77,7 +77,7 @@ LICENSES = [
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("GPL-3.0", "Licensed under the GNU General Public License, Version 3."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL", "This program is free software under the GNU General Public License."),
@@ -93,12 +93,18 @@ HINT = r"licen[sc]e|free software|spdx|permission"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def _apart(spelling: str) -> str:
+    """A spelling as it stands among words that are two spaces apart."""
+    return " " + spelling.replace(" ", "  ") + " "
+
+
 def canonical(text: Column) -> Column:
     """The form that digests are taken of."""
     out = F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n?", "\n"), COPYRIGHT_LINE, "")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}-]+", " "), F.lit(" "))
+    # two spaces between words, so that each of two neighbours has its own on either side
+    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}-]+", "  "), F.lit(" "))
     for spelling, one in SPELLINGS:
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {one} "))
+        out = F.replace(out, F.lit(_apart(spelling)), F.lit(f" {one} "))
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
 
 
@@ -138,9 +144,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_form(text: str) -> str:
     out = rf"regexp_replace(regexp_replace(lower({text}), '\r\n?', chr(10), 'g'), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright[^\n]*(\(c\)|©|[0-9]{{4}})|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
-    out = rf"' ' || regexp_replace({out}, '[^\p{{L}}\p{{N}}-]+', ' ', 'g') || ' '"
+    out = rf"' ' || regexp_replace({out}, '[^\p{{L}}\p{{N}}-]+', '  ', 'g') || ' '"
     for spelling, one in SPELLINGS:
-        out = f"replace({out}, ' {spelling} ', ' {one} ')"
+        out = f"replace({out}, '{_apart(spelling)}', ' {one} ')"
     return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
