@@ -40,3 +40,30 @@ def test_no_python_on_the_main_path(spark):
 def test_neighbours_are_spelled_alike(spark):
     got = scan(spark, ["licence licence licence per cent per cent", "license license license percent percent", "SPDX-License-Identifier: GPL-3.0-or-later"])
     assert got[0].digest == got[1].digest and got[2].license_id == "GPL-3.0-or-later"
+
+
+def test_copyright_lines_go_and_clauses_stay(spark):
+    gone = [
+        "Copyright Alice Smith", "COPYRIGHT The Regents of the University", "Copyright: A. Body and others", "# Copyright Alice 2020, a holder with a rather long name of more than eight words",
+        "Copyright (c) A", "copyright 2020", "Copyright <YEAR> <HOLDER>", "(c) 2020 A", "(C) Copyright A", "(c) A. Body, 2020.", "(c) A. Body. All rights reserved.", "© A", "All rights reserved.",
+    ]
+    stays = [
+        "(c) you must keep notices", "(c) you must, as of 2020, keep notices", "copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "copyright, patent and trademark notices",
+        "copyright license to reproduce works of 2020", "copyrighted works of 2020", "the copyright 2020", "Copyright is held by nobody whom we could name in so short a line as this",
+    ]
+    plain = scan(spark, [ls.MIT, "plain words"] + [line + "\n" + ls.MIT for line in gone] + [line + "\nplain words" for line in stays])
+    assert [plain[2 + k].license_id for k in range(len(gone))] == ["MIT"] * len(gone)
+    assert all(plain[2 + len(gone) + k].digest != plain[1].digest for k in range(len(stays)))
+    assert scan(spark, [ls.BSD_3])[0].license_id == "BSD-3-Clause" != scan(spark, [ls.BSD_2])[0].license_id
+
+
+def test_sql_sees_the_same_lines(spark, tmp_path):
+    import duckdb
+
+    lines = ["Copyright Alice", "copyright notices", "copyright notice", "Copyright: holder", "copyright :notice", "copyright, patent", "(c) you must", "(c) 2020 x", "copyright", "copyright  the a b c d e f g", "copyright the a b c d e f g h", "copyright norma", "copyrights 2020", "- copyright (c)", "copyright by law is", "copyright by A", "© x", "copyright\tis", "copyright İx", "copyright or", "copyright license 2020"]
+    docs = spark.createDataFrame([(k, f"{line}\r\nsome words\n{line}") for k, line in enumerate(lines)] + [(99, None), (100, "")], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    told = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, digest FROM ({ls.oracle()})").fetchall()}
+    assert {r.doc_id: r.digest for r in ls.scan(docs).collect()} == told

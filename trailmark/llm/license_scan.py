@@ -1,14 +1,19 @@
 """License scans: canonical digests of entire texts, hash-joined to digests of known licences.
 
-Canonical form, in this order: lower case; copyright lines (a mark or a year after
-the word) go;
-equivalent spellings become one; everything but letters and digits becomes one space; trimmed.
+Canonical form, in this order: lower case; copyright lines go; equivalent spellings become
+one; everything but letters and digits becomes one space; trimmed. A copyright line begins with
+ - the word, then a mark or a year, or a holder: not one of ``NOT_HOLDERS``, and with a mark or
+   year further on, or at most eight words in all ("Copyright Alice Smith");
+ - "(c)", then a year or the word, or with a year or "all rights reserved" at its end; any other
+   line that begins with "(c)" is a clause of a list and stays;
+ - the mark ©, or "all rights reserved".
 A text matches a licence if the canonical forms are equal, whatever their case, punctuation,
 line breaks and copyright holders. The same form of every line finds licence statements that
 stand on a line of their own within a document.
 
 Defined results: a null, empty or letterless text has no digest and no licence; repeated rows
-each get a row; a licence listed twice counts once (the least id); extra columns are not carried.
+each get a row; very long texts are read whole; a licence listed twice counts once (the least
+id); extra columns are not carried, whatever their names.
 Only DataFrame functions run here.
 """
 
@@ -48,6 +53,11 @@ BSD_2 = """Redistribution and use in source and binary forms, with or without mo
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_3 = BSD_2.replace(
+    "THIS SOFTWARE IS",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS",
+    1,
+)
 APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
@@ -68,6 +78,9 @@ LICENSES = [
     ("ISC", ISC),
     ("ISC", "ISC License\n" + ISC),
     ("BSD-2-Clause", BSD_2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_2),
+    ("BSD-3-Clause", BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_3),
     ("Apache-2.0", APACHE_NOTICE),
     ("GPL-3.0-or-later", GPL_NOTICE),
     ("Zlib", ZLIB),
@@ -87,7 +100,25 @@ LICENSES = [
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
-COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n]*(copyright[^\n]*(\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words that don't begin a holder's name: what follows "copyright" in licences' own sentences. Fixed values.
+NOT_HOLDERS = [
+    "and", "are", "as", "by law", "claims?", "disclaimers?", "for", "holders?", "in", "infringement", "interests?", "is", "laws?", "licen[cs]es?",
+    "may", "material", "notices?", "of", "on", "or", "owners?", "patents?", "permission", "protection", "shall", "statements?", "to", "under",
+]
+_SENTENCE = rf"(?:{'|'.join(NOT_HOLDERS)})"
+_MARK = r"(?:\(c\)|©|[0-9]{4})"
+_GAP = r"[^\p{L}\p{N}\n,;.)]+"
+
+
+def _copyright_line(holder: str) -> str:
+    """The pattern of a copyright line without its line mode; holder is how a name's first character is told."""
+    named = rf"{_GAP}{holder}(?:[^\n]*{_MARK}[^\n]*|[^ \t\n]*(?:[ \t]+[^ \t\n]+){{0,7}}[ \t]*)"
+    marked = rf"[^\p{{L}}\p{{N}}\n]*{_MARK}[^\n]*"
+    short = r"\(c\)(?:[ \t]*(?:copyright|[0-9]{4})[^\n]*|[^\n]*(?:all rights reserved|[0-9]{4})[ \t.]*)"
+    return rf"^[^\p{{L}}\p{{N}}\n]*(?:copyright(?:{marked}|{named})|{short}|©[^\n]*|all rights reserved[^\n]*)$"
+
+
+COPYRIGHT_LINE = "(?md)" + _copyright_line(rf"(?!{_SENTENCE}(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]")
 #: Only lines that say so can be a licence statement of the list.
 HINT = r"licen[sc]e|free software|spdx|permission"
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -143,7 +174,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_form(text: str) -> str:
-    out = rf"regexp_replace(regexp_replace(lower({text}), '\r\n?', chr(10), 'g'), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright[^\n]*(\(c\)|©|[0-9]{{4}})|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    out = rf"regexp_replace(lower({text}), '\r\n?', chr(10), 'g')"
+    # this dialect can't look ahead: a mark is put before words that begin no holder's name
+    out = rf"regexp_replace({out}, '(?m)^([^\p{{L}}\p{{N}}\n]*copyright{_GAP})({_SENTENCE}(?:[^\p{{L}}\p{{N}}]|$))', '\1,\2', 'g')"
+    line = _copyright_line(r"[\p{L}\p{N}]")
+    out = f"regexp_replace({out}, '(?m){line}', '', 'g')"
     out = rf"' ' || regexp_replace({out}, '[^\p{{L}}\p{{N}}-]+', '  ', 'g') || ' '"
     for spelling, one in SPELLINGS:
         out = f"replace({out}, '{_apart(spelling)}', ' {one} ')"
