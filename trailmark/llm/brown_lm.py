@@ -22,6 +22,7 @@ is the additive mass.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,9 @@ from .common import Scratch, WordIndex, cut_words, run_bounds, runs, trim
 
 SYMBOLS, ENDINGS, LOOKUP, CLASSES = 3_072, 512, 65_536, 64
 ENDING_BYTES, DELTA, ALPHA = 3, 0.1, 5.0
-CACHE_WORDS, FLUSH_TOKENS, FLUSH_NEIGHBOURS, ROWS = 300_000, 4_000_000, 1_000_000, 50_000
+CACHE_WORDS, FLUSH_TOKENS, FLUSH_NEIGHBOURS, ROWS = 300_000, 1 << 30, 1_000_000, 50_000
+#: Ranges that the codes of bigrams are dealt to, and words of a part of the neighbours' counts.
+RANGES, PART_WORDS = 512, 1_000_000
 
 
 def endings_of(words: list[bytes], endings: int) -> np.ndarray:
@@ -75,7 +78,7 @@ def count_words(texts: DataFrame, endings: int) -> DataFrame:
         trim()
 
     parts = texts.mapInArrow(each, "h long, word binary, ending long, n long")
-    return parts.groupBy("h").agg(F.min("word").alias("word"), F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    return parts.groupBy("h", "word", "ending").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -115,27 +118,46 @@ class Lexicon:
 
 
 def count_bigrams(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(code, n): bigrams of symbols, code = first * size + second; an end stands before each text."""
+    """(code, n): bigrams of symbols, code = first * size + second; an end stands before each text.
+
+    A task counts in one table of all codes and hands on a row for each range of them.
+    """
     held = texts.sparkSession.sparkContext.broadcast(lexicon)
+    step = -(-(lexicon.size**2) // RANGES)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, codes = held.value.open(), []
+        lex, n_tokens = held.value.open(), 0
+        table = np.zeros(step * RANGES, np.int32)
 
         def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+            codes = np.flatnonzero(table)
+            cuts = np.searchsorted(codes, np.arange(RANGES + 1) * step)
+            places, n = (codes % step).astype(np.int32), table[codes]
+            blobs = [[x[a:b].tobytes() for a, b in itertools.pairwise(cuts.tolist())] for x in (places, n)]
+            table[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["range", "places", "n"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 tokens, _ = lex.tokens(*lex.read(whole["text"].slice(at, 1_000)))
-                codes.append(np.append(lex.end, tokens[:-1]) * lex.size + tokens)
-                if sum(map(len, codes)) > FLUSH_TOKENS:
+                if n_tokens + len(tokens) > FLUSH_TOKENS:
                     yield flush()
-                    codes = []
-        if codes:
-            yield flush()
+                    n_tokens = 0
+                np.add.at(table, np.append(lex.end, tokens[:-1]) * lex.size + tokens, np.int32(1))
+                n_tokens += len(tokens)
+        yield flush()
 
-    return texts.mapInArrow(each, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, places, n in zip(b["range"].to_pylist(), b["places"], b["n"], strict=True):
+                table = tables.setdefault(k, np.zeros(step, np.int64))
+                table[np.frombuffer(places.as_buffer(), np.int32)] += np.frombuffer(n.as_buffer(), np.int32)
+        for k, table in tables.items():
+            places = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(k * step + places), pa.array(table[places])], ["code", "n"])
+
+    return texts.mapInArrow(each, "range int, places binary, n binary").repartition("range").mapInArrow(add, "code long, n long")
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -243,7 +265,7 @@ def learn(texts: DataFrame, scratch: Scratch, symbols: int = SYMBOLS, endings: i
     emission = np.log10((alone + DELTA) / (mass + DELTA * size)[of])
     emission[lexicon.end + 1 :] -= np.log10(by_ending + DELTA * (types + 1))
     n_words, n_types = sum(r["n"] for r in facts), sum(r["types"] for r in facts)
-    return Model(lexicon, of, transition, emission, unigram, n_docs, n_words + n_docs, n_types + (n_docs > 0)), counts.select("h", "n")
+    return Model(lexicon, of, transition, emission, unigram, n_docs, n_words + n_docs, n_types + (n_docs > 0)), counts.groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -302,9 +324,13 @@ def assign(texts: DataFrame, model: Model, counts: DataFrame, scratch: Scratch)
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, n = np.unique(np.concatenate(found), return_counts=True)
-            for x in range(0, len(key), ROWS):
-                part = key[x : x + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(lex.hash[part // k**2]), pa.array((part % k**2).astype(np.int32)), pa.array(n[x : x + ROWS].astype(np.int32))], ["h", "code", "n"])
+            pairs = np.stack([key % k**2, n], axis=1).astype(np.int32)
+            starts = run_bounds(key // k**2)
+            words = key[starts[:-1]] // k**2
+            for x in range(0, len(words), ROWS):
+                cuts = starts[x : x + ROWS + 1]
+                blobs = [None, pa.py_buffer(((cuts - cuts[0]) * 8).astype(np.int32)), pa.py_buffer(pairs[cuts[0] : cuts[-1]])]
+                yield pa.RecordBatch.from_arrays([pa.array(lex.hash[words[x : x + ROWS]]), pa.Array.from_buffers(pa.binary(), len(cuts) - 1, blobs)], ["h", "found"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
@@ -328,13 +354,23 @@ def assign(texts: DataFrame, model: Model, counts: DataFrame, scratch: Scratch)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["h"]):
-            h, code, n = (table[c].to_numpy() for c in ("h", "code", "n"))
-            starts = run_bounds(h)[:-1]
-            sums = np.add.reduceat((of_before[code // k] + of_after[code % k]) * n[:, None], starts)
-            yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(np.round(sums, 6).argmax(axis=1).astype(np.int32))], ["h", "class"])
-
-    found = texts.mapInArrow(neighbours, "h long, code int, n int").repartition("h").sortWithinPartitions("h").mapInArrow(best, "h long, class int")
-    table = scratch.save(found.join(counts, "h").select("h", "n", "class"), "classes")
+            h, blobs = table["h"].to_numpy(), table["found"].combine_chunks().cast(pa.large_binary())
+            cuts = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(h) + 1] // 8
+            pairs = np.frombuffer(blobs.buffers()[2], np.int32, cuts[-1] * 2).reshape(-1, 2)[cuts[0] :]
+            starts = run_bounds(h)
+            owner = np.repeat(np.arange(len(starts) - 1), np.diff(cuts[starts]))
+            n, sums = np.bincount(owner, pairs[:, 1]).astype(np.int64), np.zeros((len(starts) - 1, k))
+            for at in range(0, len(pairs), ROWS):
+                (code, times), of = pairs[at : at + ROWS].T, owner[at : at + ROWS]
+                part = run_bounds(of)[:-1]
+                sums[of[part]] += np.add.reduceat((of_before[code // k] + of_after[code % k]) * times[:, None], part)
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts[:-1]]), pa.array(n), pa.array(np.round(sums, 6).argmax(axis=1).astype(np.int32))], ["h", "n", "class"])
+
+    parts = -(-counts.count() // PART_WORDS)
+    parts = [parts] if parts > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    found = texts.mapInArrow(neighbours, "h long, found binary").repartition(*parts, "h").sortWithinPartitions("h")
+    # every word that isn't clustered as itself has its count in its neighbours
+    table = scratch.save(found.mapInArrow(best, "h long, n long, class int"), "classes")
     held.destroy()
     return table
 
