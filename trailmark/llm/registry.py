@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, kneser_ney, language_id, license_scan, pivot_topk, repair_ids
+from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, kneser_ney, language_id, license_scan, pivot_topk, repair_ids, spelling
 
 
 def queries() -> dict[str, Callable]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable]:
         "op8_repair_ids": repair_ids.op8_repair_ids,
         "op9_pivot_topk": pivot_topk.op9_pivot_topk,
         "op10_hilbert_pack": hilbert_pack.op10_hilbert_pack,
+        "op11_anagram_variants": spelling.op11_anagram_variants,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": jaccard_join.oracle(),
         "op6_license_scan": license_scan.oracle(),
         "op9_pivot_topk": pivot_topk.oracle(),
+        "op11_anagram_variants": spelling.oracle(),
     }
