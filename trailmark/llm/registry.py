@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, kneser_ney, language_id, license_scan, pivot_topk, repair_ids, spelling
+from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, kneser_ney, language_id, license_scan, lloyd, pivot_topk, repair_ids, spelling
 
 
 def queries() -> dict[str, Callable]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable]:
         "op9_pivot_topk": pivot_topk.op9_pivot_topk,
         "op10_hilbert_pack": hilbert_pack.op10_hilbert_pack,
         "op11_anagram_variants": spelling.op11_anagram_variants,
+        "op12_delta_lloyd": lloyd.op12_delta_lloyd,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": license_scan.oracle(),
         "op9_pivot_topk": pivot_topk.oracle(),
         "op11_anagram_variants": spelling.oracle(),
+        "op12_delta_lloyd": lloyd.oracle(),
     }
