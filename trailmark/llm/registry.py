@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, kneser_ney, language_id, license_scan, lloyd, pivot_topk, repair_ids, spelling
+from . import brown_lm, bytebpe, hilbert_pack, itq, jaccard_join, kneser_ney, language_id, license_scan, lloyd, pii, pivot_topk, repair_ids, spelling
 
 
 def queries() -> dict[str, Callable]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable]:
         "op10_hilbert_pack": hilbert_pack.op10_hilbert_pack,
         "op11_anagram_variants": spelling.op11_anagram_variants,
         "op12_delta_lloyd": lloyd.op12_delta_lloyd,
+        "op13_contextual_pii": pii.op13_contextual_pii,
     }
 
 
