@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +31,47 @@ REPLACEMENT = "Displaying retrieved protocol checklist. This assistant does not
 FLAGS = "(?iU)"
 
 
+#: What a text must hold for a pattern to match: of every group one. Lower-case; a digit stands for any.
+REQUIRED = {
+    "diagnosis_is": [["diagnosis"]],
+    "you_have_condition": [["you"], ["have"], ["fracture", "sprain", "concussion", "infection", "dislocation", "hypothermia", "frostbite", "stroke", "pneumonia", "attack"]],
+    "patient_has_grade": [["patient", "victim"], ["has"], ["grade", "severe", "mild", "moderate"]],
+    "this_is_a_grade": [["this"], ["fracture", "sprain", "concussion", "dislocation"]],
+    "prescribe_take_drug": [["take", "administer", "give", "prescribe"], ["0"]],
+    "named_drug_dose": [["ibuprofen", "acetaminophen", "aspirin", "morphine", "epinephrine", "naloxone", "antibiotic"], ["0"]],
+    "you_should_take": [["you"], ["should"], ["take", "given"]],
+    "i_diagnose": [["diagnose"]],
+    "my_diagnosis": [["diagnosis"]],
+    "dose_per_kg": [["kg"], ["/"], ["0"]],
+    "drug_with_dose": [["ibuprofen", "acetaminophen", "paracetamol", "aspirin", "morphine", "fentanyl", "ketamine", "midazolam", "diazepam", "lorazepam", "naloxone", "narcan", "epinephrine", "adrenaline", "diphenhydramine", "ondansetron", "tranexamic", "txa", "ketorolac", "antibiotic", "analgesic"], ["0"]],
+    "dose_with_route": [["0"], ["iv", "im", "io", "po", "sl", "sc", "sq", "buccal", "intranasal", "sublingual"]],
+    "species_id": [["this", "that", "it"], ["snake", "copperhead", "cottonmouth", "moccasin", "widow", "recluse", "poison", "hogweed", "hemlock", "death", "nettle", "grizzly", "bear", "mountain", "cougar", "puma", "moose", "tick", "spider", "mushroom", "berry"]],
+    "harmless_reassurance": [["harmless", "venomous", "poisonous", "dangerous"]],
+    "edibility_advice": [["eat", "edible", "edibility"], ["safe", "ok", "fine", "edible", "can", "universal"]],
+}
+#: Characters that are equal to an ASCII letter when cases fold, and their letters.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
 def assert_compiles(spark: SparkSession) -> int:
     """Every pattern compiles in the engine that runs it; a filter that lost one would pass what it should block."""
     return len(spark.range(1).select(*(F.lit("").rlike(FLAGS + p) for _, p in PATTERNS)).first())
 
 
+def could_match(folded: Column, name: str) -> Column:
+    """Whether a text (lower-case, its foldings made plain) holds what a pattern needs."""
+    needs = [reduce(Column.__or__, [folded.rlike(r"(?U)\d") if x == "0" else folded.contains(x) for x in group]) for group in REQUIRED[name]]
+    return reduce(Column.__and__, needs)
+
+
 def matched_patterns(text: Column) -> Column:
-    """Names of the patterns that match, in their order."""
-    return F.filter(F.array(*(F.when(text.rlike(FLAGS + p), F.lit(n)) for n, p in PATTERNS)), lambda x: x.isNotNull())
+    """Names of the patterns that match, in their order.
+
+    The text is lowered once; a pattern is tried only on a text that holds what it requires.
+    """
+    tried = lambda t: F.array(*(F.when(could_match(t, n) & text.rlike(FLAGS + p), F.lit(n)) for n, p in PATTERNS))
+    folded = F.lower(F.translate(text, *FOLDED))
+    return F.filter(F.flatten(F.transform(F.array(folded), tried)), lambda x: x.isNotNull())
 
 
 def sanitize(df: DataFrame, column: str = "text") -> DataFrame:

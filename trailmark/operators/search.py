@@ -1,13 +1,17 @@
 """Exact top-k search over unit vectors with a confidence gate.
 
-Scores are dot products in double precision. Queries are few beside the corpus: their matrix is
-sent to the tasks in blocks of a checked size, the corpus is scanned once a block, and every
-batch hands on at most k rows a query, so what is shuffled is k rows a query and batch, not
-the scores. Ties go to the smaller id; a score that is no number is no hit.
+Scores are dot products in double precision, compared to twelve decimals, so that equal vectors tie
+whatever the order of their sums; ties go to the smaller id, and a score that is no number is no hit.
+
+Up to ``QUERY_BLOCK`` queries are sent to the tasks as one matrix, the corpus is scanned once where
+it lies, and every task hands on at most k rows a query. More queries never meet on the driver: they
+are dealt to blocks, the corpus to groups, and every block meets every group in a task that holds
+one block of queries and streams its group past it (see ``joined_top_k``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,8 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_K, THRESHOLD, DIGITS = 3, 0.35, 4
-#: Queries in one block; the block's matrix is what a task holds besides a batch.
+#: The most queries that are broadcast.
 QUERY_BLOCK = 4_096
+#: Beyond: queries of a block, vectors of a group; a task holds a block and a batch.
+JOIN_BLOCK, GROUP = 32_768, 1 << 20
+#: Queries and vectors that are scored at once, and the decimals that scores are compared to.
+STRIP, BATCH, COMPARED = 1_024, 8_192, 12
+HITS = "query_id long, id long, similarity double"
 
 
 def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,60 +40,123 @@ def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, flat.astype(np.float64).reshape(-1, width)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of a row of scores."""
-    places = np.flatnonzero(~np.isnan(scores))
-    if len(places) > k:
-        edge = np.partition(scores[places], len(places) - k)[len(places) - k]
-        places = places[scores[places] >= edge]
-    return places[np.lexsort((ids[places], -scores[places]))[:k]]
+class Best:
+    """The k best hits of each query of a matrix, as vectors stream by."""
+
+    def __init__(self, names: np.ndarray, matrix: np.ndarray, k: int, skip_self: bool):
+        self.names, self.matrix, self.k, self.skip_self = names, matrix, k, skip_self
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def _cut(self) -> None:
+        order = np.lexsort((self.ids, -self.scores, self.query))
+        query = self.query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[place < self.k]
+        self.query, self.ids, self.scores = self.query[order], self.ids[order], self.scores[order]
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for s in range(0, len(ids), BATCH):
+            part = ids[s : s + BATCH]
+            for q in range(0, len(self.names), STRIP):
+                scores = np.round(self.matrix[q : q + STRIP] @ vectors[s : s + BATCH].T, COMPARED)
+                some = ~np.isnan(scores)
+                if self.skip_self:
+                    some &= part[None, :] != self.names[q : q + STRIP, None]
+                scores[~some] = -np.inf
+                if len(part) > self.k:  # all that reach the k-th best score of their query
+                    some &= scores >= np.partition(scores, len(part) - self.k, axis=1)[:, len(part) - self.k, None]
+                row, column = np.nonzero(some)
+                self.query = np.append(self.query, row + q)
+                self.ids = np.append(self.ids, part[column])
+                self.scores = np.append(self.scores, scores[row, column])
+            self._cut()
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.names[self.query]), pa.array(self.ids), pa.array(self.scores)], ["query_id", "id", "similarity"])
 
 
 def _scan(corpus: DataFrame, queries: list, k: int, skip_self: bool) -> DataFrame:
-    """The k best of each batch of the corpus for one block of queries of one width."""
+    """The k best of each task's part of the corpus for a block of queries of one width."""
     names = np.array([q["query_id"] for q in queries], np.int64)
     matrix = np.array([q["vector"] for q in queries], np.float64)
     held = corpus.sparkSession.sparkContext.broadcast((names, matrix))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = held.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
+        best = Best(*held.value, k, skip_self)
+        for b in batches:
+            at, vectors = _vectors(b["vector"], best.matrix.shape[1])
+            best.see(b["id"].to_numpy(zero_copy_only=False)[at], vectors)
+        yield best.rows()
+
+    return corpus.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(each, HITS)
+
+
+def joined_top_k(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """The k best of each group of the corpus for any number of queries.
+
+    Queries are dealt to blocks by their id and go to every group, vectors to groups and go to
+    every block, of their width; cells of block and group are dealt to tasks, in which the
+    queries come first.
+    """
+    sizes = lambda df: {r["width"]: r["n"] for r in df.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).collect()}
+    asked, there = sizes(queries), sizes(corpus)
+    widths = sorted(asked.keys() & there.keys())
+    if not widths:
+        return corpus.sparkSession.createDataFrame([], HITS)
+    count = lambda of, size: F.create_map(*(F.lit(x) for w in widths for x in (w, math.ceil(of[w] / size))))[F.col("width")]
+    numbered = lambda df: df.withColumn("width", F.size("vector")).where(F.col("width").isin(widths)).withColumn("blocks", count(asked, JOIN_BLOCK)).withColumn("groups", count(there, GROUP))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = numbered(queries.select(F.col("query_id").alias("id"), "vector")).select("width", of("blocks").alias("block"), every("groups").alias("group"), F.lit(0).alias("side"), "id", "vector")
+    right = numbered(corpus.select(F.col("id").cast("long").alias("id"), "vector")).select("width", every("blocks").alias("block"), of("groups").alias("group"), F.lit(1).alias("side"), "id", "vector")
+    cells = left.select("*", F.col("vector").cast("array<double>").alias("v")).drop("vector").unionByName(right.select("*", F.col("vector").cast("array<double>").alias("v")).drop("vector"))
+    cells = cells.repartition("width", "block", "group").sortWithinPartitions("width", "block", "group", "side")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, best, held = None, None, []
         for b in batches:
-            at, vectors = _vectors(b["vector"], matrix.shape[1])
-            ids = b["id"].to_numpy(zero_copy_only=False)[at]
-            for s in range(0, len(at), 8_192):
-                scores = matrix @ vectors[s : s + 8_192].T
-                for q, row in enumerate(scores):
-                    part = ids[s : s + 8_192]
-                    if skip_self:
-                        row = np.where(part == names[q], np.nan, row)
-                    top = _best(part, row, k)
-                    both = np.append(best[q][0], part[top]), np.append(best[q][1], row[top])
-                    top = _best(*both, k)
-                    best[q] = both[0][top], both[1][top]
-        n = [len(i) for i, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "id", "similarity"])
-
-    return corpus.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(each, "query_id long, id long, similarity double")
+            keys = np.stack([b[c].to_numpy(zero_copy_only=False) for c in ("width", "block", "group", "side")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                now, side = tuple(keys[s, :3].tolist()), keys[s, 3]
+                if now != cell:
+                    if best is not None:
+                        yield best.rows()
+                    cell, best, held = now, None, []
+                part = b.slice(s, e - s)
+                ids = part["id"].to_numpy(zero_copy_only=False)
+                _, vectors = _vectors(part["v"], now[0])
+                if side == 0:
+                    held.append((ids, vectors))
+                    continue
+                if best is None and held:
+                    best = Best(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), k, skip_self)
+                if best is not None:
+                    best.see(ids, vectors)
+        if best is not None:
+            yield best.rows()
+
+    return cells.mapInArrow(each, HITS)
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, skip_self: bool = False) -> DataFrame:
     """corpus(id, vector) x queries(query_id, vector) -> (query_id, rank, id, similarity).
 
-    Queries of another width than a vector don't meet it; k below one finds nothing. The
-    queries come to the driver a block at a time and are the side that a user asks with.
+    Queries of another width than a vector don't meet it; k below one finds nothing.
     """
-    empty = corpus.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-    parts: list[DataFrame] = []
-    block: dict[int, list] = {}
+    found = corpus.sparkSession.createDataFrame([], HITS)
     if k > 0:
-        for q in queries.where("vector is not null and query_id is not null").select("query_id", "vector").toLocalIterator():
-            same = block.setdefault(len(q["vector"]), [])
-            same.append(q)
-            if len(same) == QUERY_BLOCK:
-                parts.append(_scan(corpus, block.pop(len(q["vector"])), k, skip_self))
-        parts += [_scan(corpus, qs, k, skip_self) for qs in block.values()]
-    found = reduce(DataFrame.unionByName, parts, empty)
+        asked = queries.where("vector is not null and query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector")
+        first = asked.limit(QUERY_BLOCK + 1).collect()
+        if len(first) > QUERY_BLOCK:
+            found = joined_top_k(corpus.where("vector is not null"), asked, k, skip_self)
+        else:
+            by_width: dict[int, list] = {}
+            for q in first:
+                by_width.setdefault(len(q["vector"]), []).append(q)
+            found = reduce(DataFrame.unionByName, [_scan(corpus, qs, k, skip_self) for qs in by_width.values()] or [found])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as tx
 from ..functions import vectors as vc
 from ..operators import corpus, prompts, training, validation
@@ -142,6 +143,22 @@ def transcript_final(spark: SparkSession, sf: str) -> DataFrame:
     return ts.transcripts(_events(spark, sf), 12 * 3600, ["user_id"])
 
 
+def transcript_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same transcripts from a stream of the events, by event time.
+
+    A last event without a user, two gaps on, moves the watermark past all others.
+    """
+    ts.use_rocksdb(spark)
+    events, base = _events(spark, sf).withColumnRenamed("user_id", "key"), shared.folder(spark, "stream")
+    gap = F.expr("interval 24 hours")
+    end = events.agg((F.max("ts") + gap).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(None).cast("long").alias("key"), F.lit("partial").alias("kind"), F.lit("").alias("text"), F.lit(0).alias("code"))
+    events.unionByName(end).write.parquet(f"{base}/in")
+    found = ts.finish_by_event_time(spark.readStream.schema(events.schema).parquet(f"{base}/in"), 12 * 3600)
+    found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{base}/out")
+    return out.select(F.col("key").alias("user_id"), "session", "text", "ended_by", "n_events")
+
+
 def transcript_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's transcript as it stands after the last event."""
     events = ts.meaningful(_events(spark, sf)).withColumnRenamed("user_id", "key")
@@ -177,7 +194,7 @@ _QS = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in training.QUESTIO
 _BAIT = ", ".join("({}, '{}', '{}')".format(k, q.replace("'", "''"), w) for k, (q, w) in enumerate(training.BAIT))
 _NL2 = "chr(10) || chr(10)"
 
-QUERIES = {f.__name__: f for f in (chunk_ids, sources_with_chunks, unmanifested, corpus_facts, section_summary, meta_upsert, pack_replace, orphan_labels, duplicate_texts, steps_extract, training_grounded, training_refusal, training_deflect, messages_json, conversation_concat, keyword_chunks, transcript_final, transcript_latest, card_store)}
+QUERIES = {f.__name__: f for f in (chunk_ids, sources_with_chunks, unmanifested, corpus_facts, section_summary, meta_upsert, pack_replace, orphan_labels, duplicate_texts, steps_extract, training_grounded, training_refusal, training_deflect, messages_json, conversation_concat, keyword_chunks, transcript_final, transcript_stream, transcript_latest, card_store)}
 _CARD_ROWS = """cd AS (SELECT * FROM (VALUES (1, '[Source: Hazard Card - Fixture Ivy (Hedera exempli); derived from Manual A]',
   'Fixture Ivy (Hedera exempli). Hazard: Contact dermatitis.' || chr(10) || 'Where found: Everywhere.' || chr(10) || 'Field identification: Three leaflets.' || chr(10) || 'Field response checklist: 1. Wash the skin. 2. Remove clothing.' || chr(10) || 'Identification must be confirmed by the responder against the reference images; this assistant does not identify species.'),
   (2, '[Source: Hazard Card - Fixture Viper (Vipera exempli); derived from Manual B]',
@@ -229,3 +246,4 @@ ORACLE = {
     "card_store": f"""WITH {_DOCS} SELECT n AS id, (SELECT count(*) FROM c) + n AS chunk_id, slug, field_response, do_not FROM (VALUES (1::BIGINT, 'fixture-ivy', 'Wash the skin.' || chr(10) || 'Remove clothing.', ''),
         (2, 'fixture-viper', 'Keep still.', 'Do not cut.' || chr(10) || 'Do not suck.')) AS t(n, slug, field_response, do_not)""",
 }
+ORACLE["transcript_stream"] = ORACLE["transcript_final"]

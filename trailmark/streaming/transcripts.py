@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .. import shared
+from ..operators import ordered
+
 # Codes of a cancelled recognition, and the wait for a final result.
 BENIGN_CODES = [216, 301]
 WAIT_MS = 1_500
@@ -26,13 +30,25 @@ def meaningful(events: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap_seconds: float, by: list[str]) -> DataFrame:
-    """Events with the number of their session: a new one begins after a final event or a longer gap."""
-    order = Window.partitionBy(*by).orderBy("ts", "event_id")
-    before = F.lag(F.struct("ts", "kind")).over(order)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = micros(F.col("ts")) - micros(before["ts"]) > int(gap_seconds * 1e6)
-    begins = before.isNull() | gap | (before["kind"] == "final")
-    return events.withColumn("session", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Events with the number of their session: a new one begins after a final event or a longer gap.
+
+    A key of any size may span ranges of events: each range numbers its own, and the sessions before a
+    border are added to those behind it.
+    """
+    wait, order = int(gap_seconds * 1e6), ["ts", "event_id"]
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    known = events.withColumn("_us", F.coalesce(micros, F.lit(0))).withColumn("_final", F.coalesce(F.col("kind") == "final", F.lit(False)))
+    begins = lambda now, before: (now["_us"] - before["_us"] > wait) | before["_final"]
+    placed = shared.written(ordered.count_begins(ordered.by_ranges(known, by, order), begins, ["_us", "_final"], "_local"), "sessions")
+    last = F.max(F.struct("ts", "event_id", "_us", "_final"))
+    edges = ordered.border_runs(placed, order, F.min("_us").alias("first"), last.alias("last"), F.max("_local").alias("n"))
+    along = Window.partitionBy(ordered.KEY).orderBy(ordered.RANGE)  # a row a range
+    before = F.lag("last").over(along)
+    new = before.isNull() | (F.col("first") - before["_us"] > wait) | before["_final"]
+    edges = edges.withColumn("_new", new.cast("int")).withColumn("_offset", F.sum(F.col("_new") + F.col("n")).over(along) - F.col("n"))
+    offsets = F.broadcast(edges.select(ordered.RANGE, ordered.KEY, "_offset"))  # two rows a range at most
+    out = placed.join(offsets, [ordered.RANGE, ordered.KEY], "left").withColumn("session", F.coalesce("_offset", F.lit(1)) + F.col("_local"))
+    return out.select(*events.columns, "session")
 
 
 def transcripts(events: DataFrame, gap_seconds: float, by: list[str]) -> DataFrame:
@@ -96,6 +112,72 @@ def finish(stream: DataFrame, wait_ms: int = WAIT_MS) -> DataFrame:
     return meaningful(stream).groupBy("key").transformWithStateInPandas(Finisher(wait_ms), OUTPUT, "Append", "ProcessingTime")
 
 
+class EventFinisher(StatefulProcessor):
+    """Sessions of a key by event time: a final event ends one, or a gap that the next event or the watermark shows.
+
+    Events wait until the watermark has passed them, as until then others may come before them; they
+    are then taken in order.
+    """
+
+    def __init__(self, wait_us: int):
+        self.wait_us = wait_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "session long, us long, final boolean, text string, n long")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, kind string, text string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            if len(part):
+                self.waiting.appendList(list(zip(part["us"].tolist(), part["event_id"].tolist(), part["kind"].tolist(), part["text"].tolist(), strict=True)))
+                self.handle.registerTimer(int(part["us"].min()) // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        session, us, final, text, n = self.state.get() if self.state.exists() else (0, 0, True, None, 0)
+        for at, _, kind, said in sorted((e for e in waiting if e[0] <= passed), key=lambda e: e[:2]):
+            if final or at - us > self.wait_us:
+                if n:
+                    out.append((session, text, "timeout", n))
+                session, text, n = session + 1, None, 0
+            us, final = at, kind == "final"
+            if kind != "error":
+                text, n = said, n + 1
+            if final:
+                out.append((session, text, "final", n))
+                n = 0
+        if n and passed > us + self.wait_us:
+            out.append((session, text, "timeout", n))
+            final, n = True, 0  # whatever comes begins another
+        self.state.update((session, us, final, text, n))
+        rest = [tuple(e) for e in waiting if e[0] > passed]
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(min(e[0] for e in rest) // 1000 + 1)
+        if n:
+            self.handle.registerTimer((us + self.wait_us) // 1000 + 1)
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["key", "session", "text", "ended_by", "n_events"])
+
+    def close(self) -> None:
+        pass
+
+
+def finish_by_event_time(stream: DataFrame, gap_seconds: float, late: str = "0 seconds") -> DataFrame:
+    """A stream of finished transcripts, those of transcripts(): stream(key, event_id, ts, kind, text, code).
+
+    Events may be late by so much; a session without a final event ends once the watermark is a gap
+    beyond its last event. Needs the RocksDB state store (see use_rocksdb).
+    """
+    seen = meaningful(stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    rows = seen.select(ordered.key_text(["key"]).alias("key"), "ts", "us", "event_id", "kind", "text")  # a text is never null
+    out = rows.groupBy("key").transformWithStateInPandas(EventFinisher(int(gap_seconds * 1e6)), "key string, session long, text string, ended_by string, n_events long", "Append", "EventTime")
+    return out.withColumn("key", F.from_json("key", "k0 string")["k0"].cast(stream.schema["key"].dataType))
+
+
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -113,6 +195,16 @@ def step(state: Column, event: Column) -> Column:
 
 
 def final_state(events: DataFrame) -> DataFrame:
-    """(key, state) after a key's events in order of ts, from idle."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event"))), lambda x: x["event"])
-    return events.groupBy("key").agg(F.aggregate(ordered, F.lit("idle"), step).alias("state"))
+    """(key, state) after a key's events in order of ts, from idle.
+
+    An event maps every state to another; maps are composed within ranges of a key's events first, then
+    across them, so a key may have any number of events.
+    """
+    states = sorted({*(s for s, _ in STATES), *STATES.values()})
+    kinds = sorted({e for _, e in STATES})
+    table = np.array([[states.index(STATES.get((s, e), s)) for s in states] for e in [*kinds, None]], np.int32)
+    maps = ordered.composed(ordered.by_ranges(events.select("key", "ts", "event"), ["key"], ["ts", "event"]), "event", table, kinds)
+    along = F.sort_array(F.collect_list(F.struct(ordered.RANGE, "map")))  # a row a range
+    at = F.aggregate(along, F.lit(states.index("idle")), lambda s, m: F.get(m["map"], s))
+    ended = maps.groupBy(ordered.KEY).agg(F.get(F.array(*map(F.lit, states)), at).alias("state"))
+    return ended.select(F.from_json(ordered.KEY, "k0 string")["k0"].cast(events.schema["key"].dataType).alias("key"), "state")
