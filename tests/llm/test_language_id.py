@@ -105,3 +105,11 @@ def test_a_run_of_unseen_script_spoils_no_language(spark):
     assert np.isfinite(model.probs).all() and np.allclose(model.probs.sum(axis=0), 1)
     got = li.predict(docs, model).collect()
     assert all(r.lang_pred == r.lang and r.score > 0.99 for r in got)
+
+
+def test_signs_that_become_letters_when_normalised_are_no_letters(spark):
+    model = li.Model(li.vocabulary_path(), ["aa", "bb"], np.random.default_rng(1).dirichlet(np.ones(li.pieces(li.vocabulary_path()).size), 2).T)
+    texts = ["™ 12", "℃ 3", "Ⓐ", "", None, "a ™"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in li.predict(docs, model).collect()}
+    assert [got[k] for k in range(5)] == [("und", 0.0)] * 5 and got[5][0] in ("aa", "bb") and got[5][1] >= 0.5

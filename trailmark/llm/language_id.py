@@ -218,10 +218,9 @@ class Scorer:
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.logs = np.zeros((0, self.probs.shape[1]))
-        self.letters = np.zeros(0, bool)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(log probabilities, whether a letter occurs) of texts."""
+        """(log probabilities, whether a letter occurs in the text as it is) of texts."""
         if len(self.known) > CACHE_WORDS:
             self._clear()
         known, index, counts, fresh = self.known, [], [], []
@@ -236,16 +235,14 @@ class Scorer:
         if fresh:
             new = [forward(self.vocabulary, fresh[part], self.probs)[0] for part in blocks(fresh)]
             self.logs = np.concatenate([self.logs, *new])
-            self.letters = np.concatenate([self.letters, np.array([any(map(str.isalpha, w)) for w in fresh], bool)])
         at = np.array(index, np.int64)
         ends = np.cumsum(counts)
         bounds = np.concatenate([[0], ends])
         logs = np.zeros((len(texts), self.probs.shape[1]))
-        letters = np.zeros(len(texts), bool)
+        letters = np.fromiter((any(map(str.isalpha, text or "")) for text in texts), bool, len(texts))  # normalising makes letters of some signs
         some = np.flatnonzero(np.diff(bounds))
         if len(some):
             logs[some] = np.add.reduceat(self.logs[at], bounds[some])
-            letters[some] = np.logical_or.reduceat(self.letters[at], bounds[some])
         return logs, letters
 
 
