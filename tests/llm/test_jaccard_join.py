@@ -62,3 +62,23 @@ def test_repeated_rows_null_ids_empty_table_and_long_text(spark):
     df = spark.createDataFrame([(None, "p q r s t u"), (9, "p q r s t u"), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in jj.join(df).collect()) == [("9", "9", 1), ("None", "9", 1), ("None", "None", 0)]
     assert jj.join(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_meet_only_their_own_text(spark):
+    base = " ".join(f"y{k}" for k in range(30))
+    rows = [(None, f"{base} {k // 2} end{k % 2}") for k in range(600)] + [(None, base)] * 300 + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS digest", "'x' AS class_id", "1 AS n_links", "2L AS text_hash", "3 AS leaves")
+    got = [r.n_links for r in jj.join(df).collect()]
+    texts = [t for _, t in rows]
+    sets = {t: shingles(t) for t in set(texts) if t}
+    near = {t: sum(texts.count(u) for u in sets if len(sets[t] & sets[u]) / len(sets[t] | sets[u]) >= 0.8) - 1 for t in list(sets)[:40]}
+    by_text = sorted(got)
+    assert by_text[:50] == [0] * 50 and len(got) == len(rows)
+    assert set(near.values()) <= set(got)
+
+
+def test_class_keys_tell_classes_of_one_id_apart(spark):
+    one, other = "a b c d e f g h i j k l m n", "q w e r t z u i o p a s d f"
+    df = spark.createDataFrame([(7, one, 1), (7, one + " tail", 2), (7, other, 3), (7, "", 4)], "doc_id long, text string, row long")
+    keys = {r["row"]: r["class_key"] for r in jj.join(df, class_key=True).collect()}
+    assert keys[1] == keys[2] != keys[3] and keys[4] is None

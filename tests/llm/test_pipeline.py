@@ -66,3 +66,11 @@ def test_names_that_clash_and_rows_of_one_id(spark):
     assert len(got) == 3 and got <= set(rows) and {r[1] for r in got} == {r[1] for r in rows}
     told = cp.language(spark, docs, SF).collect()
     assert all(r["_language"] == "x" and r["_posterior"] == 1.0 for r in told)
+
+
+def test_one_row_of_a_class_stays_whatever_its_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(7, a), (7, a + " tail"), (None, b), (None, b + " tail"), (9, c), (9, c.upper().replace(" ", "  ")), (11, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((str(r.doc_id), r.text[:1].lower()) for r in cp.near_duplicates(spark, docs, SF).collect()))
+    assert got == [("11", ""), ("7", "a"), ("9", "c"), ("None", ""), ("None", "b")]

@@ -88,9 +88,9 @@ def _digest(shingles: np.ndarray) -> bytes | None:
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, digest of the shingle set, signature); null for texts without words.
-    A column row (long) of docs is kept."""
+    Columns row and text_hash (long) of docs are kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    row = [c for c in docs.columns if c == "row"]
+    row = [c for c in ("row", "text_hash") if c in docs.columns]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sig = [signature(s).astype(np.int32) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in row), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", *row, "digest", "sig"])
 
-    return docs.select("doc_id", *row, "text").mapInArrow(each, f"doc_id {kind}, {'row long, ' if row else ''}digest binary, sig array<int>")
+    return docs.select("doc_id", *row, "text").mapInArrow(each, f"doc_id {kind}, {''.join(f'{c} long, ' for c in row)}digest binary, sig array<int>")
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
@@ -276,20 +276,21 @@ def _compare_leaves(similarity: float):
     return each
 
 
-def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, class_key: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, class_id, n_links), a row for every row of docs.
 
     n_links: other documents whose shingle sets have at least the similarity; class_id: the
     least doc_id that links lead to, the document's own included. A column row (long) of docs
-    is kept, to tell rows of one doc_id apart.
+    is kept, to tell rows of one doc_id apart; class_key, if asked for, tells classes of one
+    class_id apart (null: a text without words).
     """
     # the merge hints keep one plan at every size: none of these sides is small where it matters
     scratch = Scratch(docs.sparkSession, "jaccard")
     kind = docs.schema["doc_id"].dataType.simpleString()
     row = [c for c in docs.columns if c == "row"]
-    docs = docs.select("doc_id", *row, "text")
+    docs = docs.select("doc_id", *row, "text", F.xxhash64("text").alias("text_hash"))
     signed = scratch.save(signatures(docs, words), "signed")
-    sets = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    sets = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
     sets = scratch.save(sets, "sets")
     members = leaves(sets, similarity, target_recall, scratch)
     dealt = block_pairs(members.join(sets.select("digest", "sig").hint("merge"), "digest"), "node", "digest", "c", SIGNATURE_BLOCK)
@@ -299,15 +300,21 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
     sizes = scratch.save(alike.groupBy("node").agg(F.count("*").alias("c")), "sizes")
     members = scratch.save(alike.join(sizes, "node"), "members")
     own = members.groupBy("digest").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    candidates = scratch.save(own.join(sets.select("digest", "rep", "n").hint("merge"), "digest"), "candidates")
-    texts = docs.hint("merge").join(candidates, docs["doc_id"].eqNullSafe(candidates["rep"])).select("digest", "n", "leaves", "text")
+    candidates = scratch.save(own.join(sets.select("digest", "one", "n").hint("merge"), "digest"), "candidates")
+    # one text of each set, by its hash and doc_id: neither repeated ids nor rows without one meet others' texts
+    there = docs.where("text is not null").hint("merge")
+    texts = there.join(candidates, (F.col("text_hash") == F.col("one.text_hash")) & F.col("doc_id").eqNullSafe(F.col("one.doc_id"))).select("digest", "n", "leaves", "text")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
+                digests = b["digest"].to_pylist()
+                b = b.filter(pa.array([d != x for d, x in zip(digests, [last, *digests[:-1]], strict=True)], pa.bool_()))  # repeated rows follow one another
+                last = digests[-1]
                 found = shingle_sets(b["text"].to_pylist(), words)
-                same = [_digest(s) == d for s, d in zip(found, b["digest"].to_pylist(), strict=True)]  # a doc_id may stand for several texts
+                same = [_digest(s) == d for s, d in zip(found, b["digest"].to_pylist(), strict=True)]  # hashes of texts may be equal
                 kept = b.filter(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept["digest"], kept["n"], kept["leaves"], pa.array([s.tobytes() for s, x in zip(found, same, strict=True) if x], pa.binary())], ["digest", "n", "leaves", "shingles"])
 
@@ -319,12 +326,13 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
     reached = roots.join(sets.select(F.col("digest").alias("node"), "rep"), "node")
     least = scratch.save(reached.groupBy("root").agg(F.min("rep").alias("class_id")), "classes")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    classes = roots.join(least, "root").select(F.col("node").alias("digest"), "class_id")
+    classes = roots.join(least, "root").select(F.col("node").alias("digest"), "class_id", "root")
     result = sets.join(links, "digest", "left").join(classes, "digest", "left")
-    result = result.select("digest", F.coalesce("class_id", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    keyed = [F.coalesce("root", "digest").alias("class_key")] if class_key else []
+    result = result.select("digest", *keyed, F.coalesce("class_id", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     result = scratch.save(result, "result")
     out = signed.select("doc_id", *row, "digest").join(result, "digest", "left")
-    return out.select(F.col("doc_id").cast(kind), *row, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(F.col("doc_id").cast(kind), *row, *["class_key"] * class_key, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
