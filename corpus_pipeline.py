@@ -2,14 +2,15 @@
 
 1. language: documents without a letter, and those whose language the model can't tell, go.
 2. quality: documents whose perplexity under the model of trusted text is too high go.
-3. near_duplicates: of every group of documents linked by 5-word shingles at 0.8, that of the
-   least doc_id stays.
+3. near_duplicates: of every group of documents linked by 5-word shingles at 0.8, one row stays:
+   that of the least doc_id (rows without one come last).
 4. packing: what is left becomes sequences of 4096 tokens.
 
 Each stage is written as Parquet and read again. Rows that share doc_id and text are one
 document to the stage of near-duplicates; rows that share a doc_id alone are documents of their
-own in every stage, as are rows without one. A null text goes in the first stage. Extra columns
-are carried by all stages but the last, whatever their names.
+own in every stage, as are rows without one. A null text goes in the first stage; texts of any
+length are judged whole; an empty table stays empty. Extra columns are carried by all stages but
+the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, and one row of a document that stands in several."""
-    found = jaccard_join.join(docs.select("doc_id", "text", _row().alias("row")))
-    left = _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    """Keeps one row of each class; a text without words is a class of its own."""
+    found = Scratch(spark, "near").save(jaccard_join.join(docs.select("doc_id", "text", _row().alias("row")), class_key=True), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = found.where("class_key is not null").groupBy("class_key").agg(first.alias("s")).select("s.doc_id", "s.row")
+    left = _without(docs, stay.unionByName(found.where("class_key is null").select("doc_id", "row").distinct()), "left_semi")
     again = found.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
     many = _without(left, again, "left_semi")
     # of rows that share doc_id and text the one whose columns hash to the least
