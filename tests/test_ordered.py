@@ -87,3 +87,34 @@ def test_more_queries_than_are_broadcast(spark, monkeypatch):
     assert set(q for q, _ in got) == set(range(50))
     monkeypatch.setattr(search, "QUERY_BLOCK", 4_096)
     assert {(r.query_id, r["rank"]): r.id for r in search.top_k(corpus, queries, 4, skip_self=True).collect()} == got
+
+
+def test_documents_of_many_segments_are_chunked_as_in_one_piece(spark, monkeypatch):
+    from trailmark.operators import chunking
+
+    monkeypatch.setattr(chunking, "SEGMENT", 150)
+    rng = random.Random(6)
+
+    def line():
+        x = rng.random()
+        if x < 0.02:
+            return f"{rng.randint(1, 9)}.{rng.randint(1, 9)} Wound Care"
+        return " ".join(rng.choice(["salve", "wrap", "rest", "cool", "lift"]) + str(rng.randint(0, 99)) for _ in range(250 if x < 0.03 else rng.randint(1, 30)))
+
+    docs = {"long": 60, "short": 2, "plain": 25, "none": 1}
+    pages = [(d, p + 1, "" if d == "none" else "\n".join("head of all" if n == 0 and p % 2 else line() if d != "plain" else "word " * 20 + str(rng.random()) for n in range(rng.randint(5, 40)))) for d, n in docs.items() for p in range(n)]
+    pages += [("even", p + 1, "\n".join("alike words stand here always the same ones" + f" {p} {n}" for n in range(40))) for p in range(20)]
+    df = spark.createDataFrame(pages, "doc string, page int, text string")
+    whole = df.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]).alias("pages"))
+    want = sorted(map(tuple, chunking.chunk_documents(whole).collect()))
+    got = sorted(tuple(r) for r in chunking.chunk_pages(df).select("doc", "seq", "text", "section", "page_start", "page_end", "token_count").collect())
+    assert got == want and len(want) > 60
+    assert chunking.chunk_pages(df.limit(0)).count() == 0
+
+
+def test_row_numbers_of_a_key_over_many_ranges(spark, small_ranges):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), k) for k in rng.sample(range(100_000), 5_000)]
+    got = {(r.k, r.v): r.n for r in ordered.number(spark.createDataFrame(rows, "k string, v long"), ["k"], ["v"], "n").collect()}
+    for key in ("a", "b", None):
+        assert [got[key, v] for v in sorted(v for k, v in rows if k == key)] == list(range(sum(k == key for k, _ in rows)))

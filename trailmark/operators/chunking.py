@@ -12,11 +12,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
 from ..functions import text as tx
+from . import ordered
+from .corpus import dense_ids
 
 CHUNK_TOKENS, OVERLAP_TOKENS, LEAST_TOKENS, RATIO, SECTION_SPAN = 220, 48, 24, 0.2, 10
 
@@ -66,42 +69,58 @@ class _Buffer:
         self.lines, self.tokens, self.section = kept, tokens, section
 
 
-def fold(lines: list[tuple[int, str, str | None, int]], budget: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, least: int = LEAST_TOKENS, span: int = SECTION_SPAN) -> Iterator[tuple]:
-    """Chunks (text, section, page_start, page_end, tokens) of lines (page, text, heading, tokens) in order.
+class Fold:
+    """The fold over a document's lines, a line at a time."""
 
-    A heading ends a chunk and is no part of one. What is carried over keeps the section of
-    the time it was carried, so a chunk behind a heading bears the section before it unless
-    nothing was carried. A line over the budget is a chunk of its own. A chunk below the least
-    size is dropped, its end still carried. A section holds for ``span`` pages, looked at where a
-    page begins.
-    """
-    held, section, since, page = _Buffer(overlap, least), None, 0, 0
-    for at, text, heading, tokens in lines:
-        if at != page:
-            page = at
-            if section and page - since > span:
-                section = None
+    def __init__(self, budget: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, least: int = LEAST_TOKENS, span: int = SECTION_SPAN, section: str | None = None, since: int = 0):
+        self.budget, self.span = budget, span
+        self.held, self.section, self.since, self.page = _Buffer(overlap, least), section, since, 0
+
+    def feed(self, at: int, text: str, heading: str | None, tokens: int) -> Iterator[tuple]:
+        """The chunks that a line completes."""
+        held = self.held
+        if at != self.page:
+            self.page = at
+            if self.section and at - self.since > self.span:
+                self.section = None
         if heading:
             if (done := held.chunk()) is not None:
                 yield done
-            held.carry(section)
-            section, since = heading, page
+            held.carry(self.section)
+            self.section, self.since = heading, at
             if not held.lines:
-                held.section = section
-            continue
-        if tokens > budget or held.tokens + tokens > budget:
+                held.section = heading
+            return
+        if tokens > self.budget or held.tokens + tokens > self.budget:
             if (done := held.chunk()) is not None:
                 yield done
-            held.carry(section)
-        if tokens > budget:
-            yield text, section, page, page, tokens
-            continue
+            held.carry(self.section)
+        if tokens > self.budget:
+            yield text, self.section, at, at, tokens
+            return
         if not held.lines:
-            held.section = section
-        held.lines.append((text, tokens, page))
+            held.section = self.section
+        held.lines.append((text, tokens, at))
         held.tokens += tokens
-    if (done := held.chunk()) is not None:
-        yield done
+
+    def end(self) -> Iterator[tuple]:
+        if (done := self.held.chunk()) is not None:
+            yield done
+
+
+def fold(lines: list[tuple[int, str, str | None, int]], **limits) -> Iterator[tuple]:
+    """Chunks (text, section, page_start, page_end, tokens) of lines (page, text, heading, tokens) in order.
+
+    A heading ends a chunk and is no part of one. What is carried over keeps the section of
+    the time it was carried, so a chunk behind a heading bears the section before it unless
+    nothing was carried. A line over the budget is a chunk of its own. A chunk below the least
+    size is dropped, its end still carried. A section holds for ``span`` pages, looked at where a
+    page begins.
+    """
+    state = Fold(**limits)
+    for line in lines:
+        yield from state.feed(*line)
+    yield from state.end()
 
 
 def fold_documents(docs: DataFrame, count: Callable[[str], int] | None = None, **limits) -> DataFrame:
@@ -152,3 +171,103 @@ def chunk_documents(docs: DataFrame, count: Callable[[str], int] | None = None,
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfkc_pages(pages: pd.Series) -> pd.Series:
     return pages.map(lambda ps: None if ps is None else [p if p.isascii() else unicodedata.normalize("NFKC", p) for p in ps])
+
+
+#: Lines of a segment; a task folds one and as much of the next as it takes to meet that one's own fold.
+SEGMENT = 5_000
+#: A chunk's place: four times the number of the line that completed it, and which of the line's it is.
+PLACES, AT_END = 4, 2
+
+
+def fold_segment(lines: list[tuple], start: int, sections: dict[int, tuple[str, int]], last: bool, **limits) -> tuple[list[tuple], int | None]:
+    """(chunks, where the next segment's own fold is met) of a segment's lines and those of the next.
+
+    lines: (number, doc, page, text, heading, tokens) in order; start: the next segment's first number;
+    sections: the section and its page that hold where a segment begins, by number. A chunk is (doc,
+    place, chunk).
+
+    Two folds are alike once their buffers begin with the same line under the same section: which section
+    a line stands in doesn't depend on where the fold began.
+    """
+
+    def run(rows: list[tuple], own: dict[int, tuple] | None) -> tuple[list[tuple], dict[int, tuple], int | None]:
+        doc, state, held, out, states, before = None, None, [], [], {}, 0
+        for number, of, *line in rows:
+            if state is None or of != doc:
+                if state is not None:
+                    out += [(doc, PLACES * before + AT_END, c) for c in state.end()]
+                section, since = sections.get(number, (None, 0)) if state is None else (None, 0)
+                doc, state, held = of, Fold(**limits, section=section, since=since), []
+            states[number] = (held[0], state.held.section) if held else None
+            if own is not None and number >= start and own[number] == states[number]:
+                return out, states, number
+            out += [(doc, PLACES * number + k, c) for k, c in enumerate(state.feed(*line))]
+            _, _, heading, tokens = line
+            if not heading and tokens <= state.budget:
+                held.append(number)
+            held = held[len(held) - len(state.held.lines) :]  # what is carried are the last lines
+            before = number
+        if last and state is not None:
+            out += [(doc, PLACES * before + AT_END, c) for c in state.end()]
+        return out, states, None
+
+    following = [r for r in lines if r[0] >= start]
+    chunks, _, met = run(lines, run(following, None)[1] if following else None)
+    return chunks, met
+
+
+def chunk_pages(pages: DataFrame, ratio: float = RATIO, **limits) -> DataFrame:
+    """pages(doc, page, text) -> chunks as of chunk_documents, of documents of any size.
+
+    Lines are numbered through, and cut into segments that are folded at once: each from an empty
+    buffer and on into the next segment until its buffer is that of the next segment's own fold,
+    from where on that one's chunks are right. A document whose folds don't meet within a segment is
+    folded in one piece.
+    """
+    lines = strip_boilerplate(clean_pages(pages), ratio)
+    marked = lines.select("doc", "page", "line_no", "line", tx.heading(F.col("line")).alias("heading"), tx.word_count(F.col("line")).alias("tokens"))
+    size = SEGMENT
+    numbered = dense_ids(marked, "doc", "page", "line_no", name="number").withColumn("segment", F.floor((F.col("number") - 1) / size))
+    # the last heading before each segment of a document: a row a segment and document
+    of = numbered.groupBy("doc", "segment").agg(F.min("number").alias("number"), F.max(F.when(F.col("heading").isNotNull(), F.struct("number", "heading", "page"))).alias("h"))
+    earlier = F.last("h", ignorenulls=True).over(Window.partitionBy("doc").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    open_ = of.withColumn("h", earlier).where("h is not null").select("segment", F.struct("number", F.col("h.heading").alias("heading"), F.col("h.page").alias("page")).alias("s"))
+    both = lambda df: df.withColumn("owner", F.explode(F.array("segment", F.col("segment") - 1))).where("owner >= 0")
+    found = both(numbered).join(both(open_).groupBy("owner").agg(F.collect_list("s").alias("sections")), "owner", "left")
+    found = found.select("owner", "number", "doc", "page", "line", "heading", "tokens", "sections").repartition("owner").sortWithinPartitions("owner", "number")
+    kind = pages.schema["doc"].dataType.simpleString()
+    names = ["doc", "at", "text", "section", "page_start", "page_end", "token_count", "owner", "met", "broken"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, rows, doc_type = None, [], None
+
+        def folded() -> Iterator[pa.RecordBatch]:
+            start = (owner + 1) * size + 1
+            sections = {x["number"]: (x["heading"], x["page"]) for x in rows[0]["sections"] or []}
+            last = rows[-1]["number"] < start
+            chunks, met = fold_segment([(r["number"], r["doc"], r["page"], r["line"], r["heading"], r["tokens"]) for r in rows], start, sections, last, **limits)
+            broken = None if last or met is not None else rows[-1]["doc"]
+            table = [(doc, at, *c, owner, None, None) for doc, at, c in chunks] + [(None,) * 7 + (owner + 1, met, broken)]
+            kinds = [doc_type, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), doc_type]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table, strict=True), kinds, strict=True)], names)
+
+        for b in batches:
+            doc_type = b.schema.field("doc").type
+            for r in b.to_pylist():
+                if r["owner"] != owner:
+                    if rows:
+                        yield from folded()
+                    owner, rows = r["owner"], []
+                rows.append(r)
+        if rows:
+            yield from folded()
+
+    made = shared.written(found.mapInArrow(each, f"doc {kind}, at long, text string, section string, page_start int, page_end int, token_count int, owner long, met long, broken {kind}"), "folded")
+    marks = made.where("at is null").select("owner", F.col("met").alias("_met"))  # a row a segment
+    broken = made.where("broken is not null").select(F.col("broken").alias("doc")).distinct()
+    right = made.where("at is not null").join(marks, "owner", "left").where(F.coalesce(F.col("at") >= PLACES * F.col("_met"), F.lit(True)))
+    columns = ["doc", "seq", "text", "section", "page_start", "page_end", "token_count"]
+    out = ordered.number(right.join(broken, "doc", "left_anti"), ["doc"], ["at"], "seq").withColumn("seq", F.col("seq").cast("int")).select(columns)
+    line = F.struct("number", "page", "line", "heading", "tokens")
+    pieces = numbered.join(broken, "doc", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return out.unionByName(fold_documents(pieces, **limits).select(columns))

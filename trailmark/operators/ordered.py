@@ -13,14 +13,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
+
 #: Rows of a range, about.
 RANGE_ROWS = 2_000_000
 #: Names of the columns that are added: the range, and the key as text.
-RANGE, KEY = "_range", "_key"
+RANGE, KEY, KEY_LENGTH = "_range", "_key", "_key_length"
 
 
 def key_text(by: list[str]) -> Column:
@@ -31,7 +33,7 @@ def key_text(by: list[str]) -> Column:
 def by_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """df with its key as text, in ranges sorted by key and order."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / RANGE_ROWS))
-    keyed = df.withColumn(KEY, key_text(by))
+    keyed = df.withColumn(KEY, key_text(by)).withColumn(KEY_LENGTH, F.length(KEY))
     return keyed.repartitionByRange(n, KEY, *order).sortWithinPartitions(KEY, *order)
 
 
@@ -78,6 +80,16 @@ def border_runs(placed: DataFrame, order: list[str], *measures: Column) -> DataF
     return placed.join(F.broadcast(edge), [RANGE, KEY]).groupBy(RANGE, KEY).agg(*measures)
 
 
+def number(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """df with each row's place among its key's, from 0."""
+    placed = shared.written(count_begins(by_ranges(df, by, order), lambda now, before: np.ones(len(now[KEY_LENGTH]), bool), [KEY_LENGTH], "_local"), "numbered")
+    edges = border_runs(placed, order, F.max("_local").alias("n"))
+    along = Window.partitionBy(KEY).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = F.broadcast(edges.select(RANGE, KEY, F.sum(F.col("n") + 1).over(along).alias("_offset")))
+    out = placed.join(offsets, [RANGE, KEY], "left").withColumn(name, F.coalesce("_offset", F.lit(0)) + F.col("_local"))
+    return out.select(*(c for c in df.columns if c != name), name)
+
+
 def composed(ranged: DataFrame, column: str, table: np.ndarray, kinds: list[str]) -> DataFrame:
     """(range, key, map array<int>): the maps of a key's rows in a range, one after another.
 
