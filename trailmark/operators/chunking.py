@@ -7,11 +7,12 @@ found and lines counted as columns, then a fold over the document's lines cuts t
 from __future__ import annotations
 
 import unicodedata
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +32,50 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(doc, line) of short lines on max(3, floor(pages * ratio)) pages at least, in documents of four pages with content."""
-    once = lines.select("doc", "page", "line").distinct()
-    pages = once.groupBy("doc").agg(F.countDistinct("page").alias("pages")).where("pages >= 4")
-    counts = once.where(F.length("line") <= tx.BOILERPLATE_LENGTH).groupBy("doc", "line").agg(F.count("*").alias("n"))
-    return counts.join(pages, "doc").where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") * ratio))).select("doc", "line")
+    """(doc, line) of short lines on max(3, floor(pages * ratio)) pages at least, in documents of four pages with content.
+
+    Every task first counts the lines of what it reads, and writes the counts. A line that is on so
+    many pages is on its share of them in at least one task, so only lines that reach that share
+    somewhere are candidates. Only candidates' lines are then shuffled and counted exactly: what is rare
+    everywhere stays where it is.
+    """
+    kind = lines.schema["doc"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, found, held = TaskContext.get().partitionId(), {}, [None, None, set()]
+
+        def close() -> None:  # a page's distinct lines
+            doc, page, seen = held
+            if page is not None or seen:
+                counts = found.setdefault(doc, Counter())
+                counts[None] += 1  # the document is in this task
+                counts.update(seen)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for doc, counts in found.items():
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([doc] * n, doc_type), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["part", "doc", "line", "n"])
+
+        for b in batches:
+            doc_type = b.schema.field("doc").type
+            for doc, page, line in zip(b["doc"].to_pylist(), b["page"].to_pylist(), b["line"].to_pylist(), strict=True):
+                if doc != held[0] or page != held[1]:
+                    close()
+                    held[:] = doc, page, set()
+                if len(line) <= tx.BOILERPLATE_LENGTH:
+                    held[2].add(line)
+        close()
+        yield from rows()
+
+    # at least the pages that a line is on: more, where a page's lines don't stand together
+    counts = shared.written(lines.select("doc", "page", "line").mapInArrow(each, f"part int, doc {kind}, line string, n long"), "lines")
+    pages = lines.select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("pages")).where("pages >= 4")
+    sizes = pages.join(counts.where("line is null").groupBy("doc").agg(F.count("*").alias("parts")), "doc")
+    least = F.greatest(F.lit(3), F.floor(F.col("pages") * ratio))
+    some = counts.where("line is not null").join(sizes.select("doc", least.alias("least"), F.ceil(least / F.col("parts")).alias("share")), "doc")
+    some = shared.written(some.where(F.col("n") >= F.col("share")).select("doc", "line", "least").distinct(), "candidates")
+    once = lines.select("doc", "page", "line").join(some, ["doc", "line"]).distinct()
+    return once.groupBy("doc", "line", "least").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least")).select("doc", "line")
 
 
 def strip_boilerplate(lines: DataFrame, ratio: float = RATIO) -> DataFrame:

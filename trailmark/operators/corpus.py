@@ -175,3 +175,55 @@ def write(spark: SparkSession, base: str, **tables: DataFrame) -> None:
     """Each table as Parquet at base/name, in place of what was there."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{name}")
+
+
+def write_by_source(chunks: DataFrame, path: str, source: str = "filename") -> None:
+    """chunks as a table with a folder for each source."""
+    chunks.repartition(source).write.mode("overwrite").partitionBy(source).parquet(path)
+
+
+def rebuild_source(spark: SparkSession, path: str, filename: str, pack: DataFrame, *order: str, source: str = "filename") -> int:
+    """A source's chunks in a table of write_by_source replaced by a pack; how many there are now.
+
+    Ids go on from the greatest of all other sources, in the given order, so a pack that is built
+    again gets the same ones. Only the source's own folder is written: files of others stay as they
+    are, and readers of them aren't disturbed. An empty pack removes the source.
+    """
+    there = spark.read.parquet(path)
+    top = there.where(F.col(source) != filename).agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    numbered = dense_ids(pack, *order).withColumn("id", F.col("id") + top).withColumn(source, F.lit(filename))
+    kinds = {f.name: f.dataType for f in there.schema}
+    made = shared.written(numbered.select(*(F.col(c).cast(kinds[c]).alias(c) for c in there.columns)), "pack")
+    n = made.count()
+    if n:
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)
+    else:
+        shared.remove(spark, f"{path.rstrip('/')}/{source}={filename}")
+    return n
+
+
+class ById:
+    """Rows that are looked up by id: a table in buckets of ids, each sorted by them.
+
+    A lookup deals only the wanted ids to the buckets; the table is read where it lies.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int):
+        self.spark, self.name, self.buckets = spark, name, buckets
+
+    @classmethod
+    def write(cls, rows: DataFrame, name: str, buckets: int, path: str | None = None) -> ById:
+        """rows(id, ...) as table name, at a path or where the catalogue keeps tables."""
+        made = rows.repartition(buckets, "id").write.mode("overwrite").bucketBy(buckets, "id").sortBy("id")
+        (made.option("path", path) if path else made).saveAsTable(name)
+        return cls(rows.sparkSession, name, buckets)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def find(self, wanted: DataFrame) -> DataFrame:
+        """wanted(id, ...) with the columns of their rows; ids that aren't there are left out."""
+        return wanted.hint("shuffle_hash").join(self.rows(), "id")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -25,3 +25,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     schema, path = df.schema, folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """The folder at a path goes, wherever Spark's file systems reach."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schema
 from ..functions import vectors as vc
@@ -43,6 +45,43 @@ def page_texts(files: DataFrame, extract: Callable[[bytes], list[Callable[[], st
     return files.select("filename", "content").mapInArrow(each, "doc string, pages array<string>")
 
 
+def page_rows(df: DataFrame, content: str, extract: Callable[[bytes | str], list[Callable[[], str] | str]], keep: list[str]) -> DataFrame:
+    """A row for every page of every document: the columns to keep, page (from 1) and text.
+
+    A table function in a lateral join, so a document's pages needn't stand in one row. A page whose
+    function fails is empty and the others stand; a document that can't be opened has no pages.
+    """
+
+    class Pages:
+        def eval(self, raw) -> Iterator[tuple[int, str]]:
+            try:
+                listed = extract(raw) if raw is not None else []
+            except Exception:  # an extractor may fail in any way of its own
+                return
+            for n, p in enumerate(listed):
+                try:
+                    text = (p() if callable(p) else p) or ""
+                except Exception:
+                    text = ""
+                yield n + 1, text
+
+    pages = F.udtf(Pages, returnType="page int, text string")
+    return df.lateralJoin(pages(F.col(content).outer())).select(*keep, "page", "text")
+
+
+def html_pages(html: str) -> list[Callable[[], str]]:
+    """Paragraphs of an HTML article as pages; one that isn't closed can't be read."""
+
+    def page(part: str) -> str:
+        inside, closed, _ = part.partition("</p>")
+        if not closed:
+            raise ValueError("a paragraph isn't closed")
+        return " ".join(re.sub("<[^>]+>", "", inside).split())
+
+    body = html.partition("<article>")[2].partition("</article>")[0]
+    return [partial(page, part) for part in body.split("<p>")[1:]]
+
+
 def first_success(df: DataFrame, *contents: str) -> DataFrame:
     """df with content: the first of the columns that is a PDF; null if none is."""
     return df.withColumn("content", F.coalesce(*(F.when(vc.is_pdf(F.col(c)), F.col(c)) for c in contents)))
@@ -53,6 +92,21 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.RECORD).json(path)
 
 
+def sorted_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) of the lines of a JSONL file: together they are all of its lines.
+
+    kept(messages) are chat records of three messages; quarantined(line, reason) are blank lines, lines
+    that are no JSON, and JSON that is no such record. Each line is parsed once.
+    """
+    kind = StructType([*schema.RECORD.fields, StructField("_corrupt", StringType())])
+    lines = spark.read.text(path)
+    read = lines.select("value", F.inline(F.array(F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"}))))
+    blank, good = F.trim("value") == "", F.coalesce(F.size("messages") == 3, F.lit(False)) & F.col("_corrupt").isNull()
+    reason = F.when(blank, "blank").when(F.col("_corrupt").isNotNull(), "no JSON").when(~good, "no record of three messages")
+    told = read.withColumn("reason", reason)
+    return told.where("reason is null").select("messages"), told.where("reason is not null").select(F.col("value").alias("line"), "reason")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
