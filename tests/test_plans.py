@@ -23,7 +23,7 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert re.search(r"ReadSchema: struct<id:bigint,token_count:int>", text)
 
 
-@pytest.mark.parametrize("name,columns", [("html_clean", {"page_id", "html"}), ("vector_norms", {"vec_id", "embedding"}), ("chunk_greedy", {"doc_id", "text"}), ("citation_format", set())])
+@pytest.mark.parametrize("name,columns", [("html_clean", {"page_id", "html"}), ("vector_norms", {"vec_id", "embedding"}), ("chunk_greedy", {"doc_id", "text"}), ("citation_format", {"doc_id", "source"})])
 def test_scans_read_what_a_query_needs(spark, name, columns):
     read = re.findall(r"ReadSchema: struct<([^\n]*)>", plan(catalog.QUERIES[name](spark, SF)))
     assert all({re.sub(r":.*", "", c) for c in re.split(r",(?=\w+:)", r)} <= columns for r in read)

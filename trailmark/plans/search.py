@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions import vectors as vc
 from ..functions import wordpiece
 from ..operators import prompts, search, validation
+from . import derived
 from . import fixtures as fx
 
 
@@ -53,30 +54,33 @@ def prompt_assembly(spark: SparkSession, sf: str) -> DataFrame:
     queries, texts = _queries(spark, sf), _texts(spark, sf)
     gated = shared.written(search.gate(search.top_k(_corpus(spark, sf), queries, 3), queries), "gated")
     hits = search.show(gated, texts)
-    asked = queries.join(texts, queries["query_id"] == texts["id"]).select("query_id", tx.snippet(F.col("text"), 40).alias("question"))
+    asked = queries.join(texts, queries["query_id"] == texts["id"]).select("query_id", F.col("text").alias("question"))
     out = prompts.build(asked, gated, hits)
     return out.select("query_id", "result", "citation", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
 
 
 def excerpt_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    store = fx.STORE.frame(spark)
-    queries = spark.createDataFrame([(1, [0.9, 0.4, 0.1, 0.0]), (2, [0.0, 0.0, 0.0, 1.0])], "query_id long, vector array<double>")
-    asked = spark.createDataFrame([(1, " wound on the arm "), (2, "engine noise"), (3, "  ")], "query_id long, question string")
-    corpus = store.select("id", "vector")
-    hits = search.search(corpus, store, queries, 2)
-    return prompts.build(asked, search.gate(search.top_k(corpus, queries, 2), queries), hits, prompts.excerpt_prompt)
+    """Numbered excerpts of the two best hits of every search, asked with the whole text."""
+    queries, texts = _queries(spark, sf), _texts(spark, sf)
+    gated = shared.written(search.gate(search.top_k(_corpus(spark, sf), queries, 2, skip_self=True), queries, 0.6), "gated")
+    asked = queries.join(texts, queries["query_id"] == texts["id"]).select("query_id", F.col("text").alias("question"))
+    out = prompts.build(asked, gated, search.show(gated, texts), prompts.excerpt_prompt)
+    return out.select("query_id", "result", "citation", F.md5("prompt").alias("prompt_md5"))
+
+
+#: What searches are asked with: (case, k, threshold). A threshold over one is reached by none, k below one finds none.
+CASES = [(1, 3, 0.35), (2, 1, 0.6), (3, 0, -1.0), (4, 2, -1.0), (5, 3, 1.1)]
 
 
 def fixture_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The store of three orthogonal vectors, asked with each fixture query, k and threshold."""
-    corpus = fx.STORE.frame(spark).select("id", "vector")
-    cases = [(1, [1.0, 0, 0, 0], 3, 0.35), (2, [0.9, 0.4, 0.1, 0], 3, -1.0), (3, [0.5, 0.5, 0.5, 0], 2, -1.0), (4, [0.5, 0.5, 0.5, 0], 10, -1.0), (5, [0, 0, 0, 1.0], 3, 0.35), (6, [1.0, 0, 0, 0], 1, 1.0), (7, [1.0, 0, 0, 0], 0, -1.0), (8, [0.1] * 384, 3, -1.0)]
+    """Every search with other numbers of hits and thresholds."""
     out = None
-    for name, vector, k, threshold in cases:
-        q = spark.createDataFrame([(name, [float(x) for x in vector])], "query_id long, vector array<double>")
-        one = search.gate(search.top_k(corpus, q, k), q, threshold).select("query_id", "result", F.inline_outer("chunks"))
+    for case, k, threshold in CASES:
+        queries = _queries(spark, sf)
+        gated = search.gate(search.top_k(_corpus(spark, sf), queries, k, skip_self=True), queries, threshold)
+        one = gated.select(F.lit(case).alias("case_id"), "query_id", "result", F.inline_outer("chunks"))
         out = one if out is None else out.unionByName(one)
-    return out.select("query_id", "result", "rank", "id", search.rounded().alias("similarity"))
+    return out.select("case_id", "query_id", "result", "rank", "id", search.rounded().alias("similarity"))
 
 
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,16 +111,26 @@ def vector_codec_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("id", F.length("raw").alias("n_bytes"), (F.col("back") == F.col("vector")).alias("same"))
 
 
+#: The fixture's vocabulary with all letters as words and as ends of words.
+PIECES = [*fx.VOCABULARY, *"abcdefghijklmnopqrstuvwxyz", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz")]
+_LETTERS = "[a-z]{1,12}"
+
+
 def wordpiece_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixture's texts in its own vocabulary, and short words of all documents in one that has every letter."""
     config = wordpiece.Config(16, cls_token_id=2, sep_token_id=3, pad_token_id=0, unk_token_id=1)
-    rows = wordpiece.encode_column(fx.WORDPIECE.frame(spark).select("text"), {t: k for k, t in enumerate(fx.VOCABULARY)}, config)
+    words = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(_LETTERS), 0)).alias("text")).distinct()
+    vocabulary = lambda listed: {t: k for k, t in enumerate(listed)}
+    rows = wordpiece.encode_column(fx.WORDPIECE.frame(spark).select("text"), vocabulary(fx.VOCABULARY), config).unionByName(wordpiece.encode_column(words, vocabulary(PIECES), config))
     used = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x)
     return rows.select("text", F.array_join(F.slice("input_ids", F.lit(1), used).cast("array<string>"), " ").alias("ids"), F.size("input_ids").alias("n"))
 
 
 def images_for_hits(spark: SparkSession, sf: str) -> DataFrame:
-    images = fx.HIT_IMAGES.frame(spark).withColumn("bytes", F.expr("cast(repeat('x', size) as binary)"))
-    hits = spark.createDataFrame([(1,), (2,), (9999,)], "chunk_id long")
+    """Images of the chunks that searches hit, and of the fixture's."""
+    images = derived.hit_images(spark, sf).withColumnRenamed("payload", "bytes")
+    found = search.top_k(_corpus(spark, sf), _queries(spark, sf), 3, skip_self=True).select(F.col("id").alias("chunk_id"))
+    hits = spark.createDataFrame([(1,), (2,), (9999,)], "chunk_id long").unionByName(found)
     return search.images_for_hits(hits, images).select("chunk_id", "species_slug", "ordinal", "license", "attribution", "source_url", F.length("bytes").alias("n_bytes"))
 
 
@@ -139,17 +153,20 @@ ORACLE = {
     "prompt_assembly": f"""WITH {_ALL}, {_CITED},
         x AS (SELECT query_id, string_agg(citation || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS ctx, min_by(citation, rank) AS top FROM t JOIN d USING (id) JOIN b USING (query_id) WHERE best >= 0.35 GROUP BY 1),
         p AS (SELECT b.query_id, CASE WHEN best >= 0.35 THEN 'match' ELSE 'noConfidentMatch' END AS result, CASE WHEN best >= 0.35 THEN top END AS citation,
-              'Retrieved context:' || chr(10) || CASE WHEN best >= 0.35 THEN ctx ELSE 'NO_MATCHING_PROTOCOL_FOUND' END || chr(10) || chr(10) || 'User question: ' || trim(substr(flat, 1, 40)) AS prompt
-              FROM b JOIN d ON d.id = b.query_id LEFT JOIN x USING (query_id) WHERE trim(substr(flat, 1, 40)) <> '')
+              'Retrieved context:' || chr(10) || CASE WHEN best >= 0.35 THEN ctx ELSE 'NO_MATCHING_PROTOCOL_FOUND' END || chr(10) || chr(10) || 'User question: ' || trim(text) AS prompt
+              FROM b JOIN d ON d.id = b.query_id LEFT JOIN x USING (query_id) WHERE trim(text) <> '')
         SELECT query_id, result, citation, md5(prompt) AS prompt_md5, length(prompt)::INTEGER AS prompt_chars FROM p""",
-    "excerpt_prompts": f"""SELECT 1::BIGINT AS query_id, 'match' AS result, '{fx.STORE.rows[0][3]}' AS citation,
-        'Retrieved excerpts:' || chr(10) || chr(10) || '[EXCERPT 1] {fx.STORE.rows[0][3]}' || chr(10) || '{fx.STORE.rows[0][4]}' || chr(10) || chr(10)
-        || '[EXCERPT 2] {fx.STORE.rows[1][3]}' || chr(10) || '{fx.STORE.rows[1][4]}' || chr(10) || chr(10) || 'Responder asked: wound on the arm' || chr(10) || chr(10)
-        || 'If these excerpts genuinely cover the question, answer from them and open with the citation. If they do not, say that no matching protocol was found.' AS prompt
-        UNION ALL SELECT 2, 'noConfidentMatch', NULL, 'No protocol excerpt matched this question with sufficient confidence.' || chr(10) || chr(10) || 'Responder asked: engine noise'""",
-    "fixture_search": """SELECT * FROM (VALUES (1::BIGINT, 'match', 1::INTEGER, 1::BIGINT, 1.0::DOUBLE), (1, 'match', 2, 2, 0.0), (1, 'match', 3, 3, 0.0), (2, 'match', 1, 1, 0.9), (2, 'match', 2, 2, 0.4), (2, 'match', 3, 3, 0.1),
-        (3, 'match', 1, 1, 0.5), (3, 'match', 2, 2, 0.5), (4, 'match', 1, 1, 0.5), (4, 'match', 2, 2, 0.5), (4, 'match', 3, 3, 0.5), (5, 'noConfidentMatch', NULL, NULL, NULL), (6, 'match', 1, 1, 1.0),
-        (7, 'noConfidentMatch', NULL, NULL, NULL), (8, 'noConfidentMatch', NULL, NULL, NULL)) AS t(query_id, result, rank, id, similarity)""",
+    "excerpt_prompts": f"""WITH {_OTHERS}, {_CITED},
+        x AS (SELECT query_id, string_agg('[EXCERPT ' || rank || '] ' || citation || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS ctx, min_by(citation, rank) AS top FROM t JOIN d USING (id) WHERE rank <= 2 GROUP BY 1)
+        SELECT b.query_id, CASE WHEN best >= 0.6 THEN 'match' ELSE 'noConfidentMatch' END AS result, CASE WHEN best >= 0.6 THEN top END AS citation,
+        md5(CASE WHEN best >= 0.6 THEN 'Retrieved excerpts:' || chr(10) || chr(10) || ctx || chr(10) || chr(10) || 'Responder asked: ' || trim(text) || chr(10) || chr(10)
+        || 'If these excerpts genuinely cover the question, answer from them and open with the citation. If they do not, say that no matching protocol was found.'
+        ELSE 'No protocol excerpt matched this question with sufficient confidence.' || chr(10) || chr(10) || 'Responder asked: ' || trim(text) END) AS prompt_md5
+        FROM b JOIN d ON d.id = b.query_id LEFT JOIN x USING (query_id) WHERE trim(text) <> ''""",
+    "fixture_search": f"""WITH {_OTHERS}, cases(case_id, k, least) AS (VALUES {", ".join(f"({c}::INTEGER, {k}, {t}::DOUBLE)" for c, k, t in CASES)}),
+        q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0), m AS (SELECT * FROM cases, q LEFT JOIN b USING (query_id)),
+        y AS (SELECT *, coalesce(k > 0 AND best >= least, false) AS ok FROM m)
+        SELECT case_id, y.query_id, CASE WHEN ok THEN 'match' ELSE 'noConfidentMatch' END AS result, rank, id, round(sim, 4) AS similarity FROM y LEFT JOIN t ON t.query_id = y.query_id AND ok AND rank <= k""",
     "vector_norms": "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 1e-3 AS \"unit\" FROM embeddings",
     "vector_masked_mean": """WITH m AS (SELECT vec_id AS id, list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), lambda p: (p[1] + p[2]) / 2) AS m FROM embeddings)
         SELECT id, round(sqrt(list_dot_product(m, m)), 6) AS mean_norm, 1.0::DOUBLE AS unit_norm FROM m""",
@@ -157,6 +174,12 @@ ORACLE = {
     "vector_parity": """WITH v AS (SELECT vec_id::VARCHAR AS text, embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda x: round(x, 6)) AS b FROM embeddings)
         SELECT text, round(list_dot_product(a, b), 4) AS similarity, list_dot_product(a, b) >= 0.999 AS ok FROM v""",
     "vector_codec_roundtrip": "SELECT vec_id AS id, (4 * len(embedding))::INTEGER AS n_bytes, true AS same FROM embeddings",
-    "wordpiece_encode": f"WITH {fx.WORDPIECE.values('f')} SELECT text, ids, 16::INTEGER AS n FROM f",
-    "images_for_hits": f"WITH {fx.HIT_IMAGES.values('i')} SELECT chunk_id, species_slug, ordinal, license, attribution, source_url, size AS n_bytes FROM i WHERE size > 0 AND chunk_id IN (1, 2, 9999)",
+    "wordpiece_encode": f"""WITH RECURSIVE {fx.WORDPIECE.values('f')}, v(id, piece) AS (VALUES {", ".join(f"({k}, '{p}')" for k, p in enumerate(PIECES))}),
+        w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_LETTERS}')) AS text FROM documents),
+        st(text, rest, ids) AS (SELECT text, text, '2' FROM w UNION ALL
+            SELECT text, arg_max(substr(rest, length(replace(piece, '##', '')) + 1), length(piece)), ids || ' ' || arg_max(id, length(piece))
+            FROM st JOIN v ON CASE WHEN ids = '2' THEN starts_with(rest, piece) ELSE starts_with('##' || rest, piece) AND starts_with(piece, '##') END WHERE rest <> '' GROUP BY text, rest, ids)
+        SELECT text, ids, 16::INTEGER AS n FROM f UNION ALL SELECT text, ids || ' 3', 16 FROM st WHERE rest = ''""",
+    "images_for_hits": f"""WITH {fx.HIT_IMAGES.values('fi')}, i AS (SELECT * FROM fi UNION ALL {derived.HIT_IMAGES_SQL}), {_OTHERS}
+        SELECT chunk_id, species_slug, ordinal, license, attribution, source_url, size AS n_bytes FROM i WHERE size > 0 AND (chunk_id IN (1, 2, 9999) OR chunk_id IN (SELECT id FROM t))""",
 }

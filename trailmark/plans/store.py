@@ -63,7 +63,10 @@ def section_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def meta_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.upsert(fx.FACTS_OLD.frame(spark), fx.FACTS_NEW.frame(spark))
+    """The fixture's facts, and each source's documents counted, then the ids of every other source's last."""
+    by_source = _docs(spark, sf).groupBy(F.col("source").alias("key")).agg(F.count("*").cast("string").alias("n"), F.max("doc_id").alias("last"))
+    new = by_source.where("last % 2 = 1").select("key", F.col("last").cast("string").alias("value"))
+    return corpus.upsert(fx.FACTS_OLD.frame(spark).unionByName(by_source.select("key", F.col("n").alias("value"))), fx.FACTS_NEW.frame(spark).unionByName(new))
 
 
 def pack_replace(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,9 +115,8 @@ def training_deflect(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Every first question of a conversation as a record of three messages."""
-    talk = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
-    first = talk.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    """Every user's turn as a record of three messages."""
+    first = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").withColumnRenamed("text", "question")
     record = first.select("conv_id", F.to_json(F.struct(prompts.messages(F.lit(SYSTEM), F.col("question"), F.lit(training.NO_MATCH)).alias("messages"))).alias("json"))
     back = record.select("conv_id", F.from_json("json", "messages array<struct<role: string, content: string>>").alias("r"))
     return training.valid_records(back.select("conv_id", "r.messages")).select("conv_id", F.inline("messages"))
@@ -206,7 +208,9 @@ ORACLE = {
     "corpus_facts": f"""WITH {_DOCS} SELECT * FROM (VALUES ('schema_version', '1'), ('embeddings_normalized', '1'), ('embedding_dtype', 'float32_le'), ('built_at', '2024-01-01T00:00:00+00:00'), ('embedding_dim', '64'), ('chunk_tokens', '220'), ('overlap_tokens', '48')) AS t(key, value)
         UNION ALL SELECT 'chunk_count', count(*)::VARCHAR FROM c UNION ALL SELECT 'source_count', count(*)::VARCHAR FROM m""",
     "section_summary": f"WITH {_DOCS} SELECT count(*) AS chunk_count, count(*) FILTER (section <> '') AS sectioned, count(DISTINCT source_id) AS source_count FROM c",
-    "meta_upsert": f"WITH {fx.FACTS_OLD.values('o')}, {fx.FACTS_NEW.values('n')} SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (key)",
+    "meta_upsert": f"""WITH {fx.FACTS_OLD.values('fo')}, {fx.FACTS_NEW.values('fn')}, s AS (SELECT source AS key, count(*)::VARCHAR AS n, max(doc_id) AS last FROM documents GROUP BY 1),
+        o AS (SELECT * FROM fo UNION ALL SELECT key, n FROM s), n AS (SELECT * FROM fn UNION ALL SELECT key, last::VARCHAR FROM s WHERE last % 2 = 1)
+        SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (key)""",
     "pack_replace": rf"""WITH {_DOCS}, {_CARD_ROWS}, kept AS (SELECT * FROM c WHERE source <> 'src0')
         SELECT id, source_id, citation, md5(text) AS text_md5, token_count FROM kept UNION ALL
         SELECT (SELECT max(id) FROM kept) + n, (SELECT max(id) FROM m WHERE filename <> 'src0') + 1, citation, md5(text), len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INTEGER FROM cd""",
@@ -232,7 +236,7 @@ ORACLE = {
         x AS (SELECT w.index, string_agg(citation || chr(10) || text, {_NL2} ORDER BY step) AS ctx FROM w JOIN pl ON pl.place = ({_CHOICE.format(seed=21, c="w.index")} + step) % pl.total GROUP BY 1)
         SELECT index, question, keyword, '{training.DEFLECTION.replace("'", "''")}' || CASE WHEN len(s) > 0 THEN {_NL2} || citation || chr(10) || array_to_string(list_transform(s, lambda v, i: i || '. ' || v), chr(10)) ELSE '' END AS answer,
           md5('Retrieved protocol excerpts:' || chr(10) || CASE WHEN text IS NOT NULL THEN citation || chr(10) || text || {_NL2} ELSE '' END || ctx || {_NL2} || 'Responder asked: ' || question) AS user_md5 FROM r JOIN x USING (index)""",
-    "messages_json": f"""WITH f AS (SELECT conv_id, min_by(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1)
+    "messages_json": f"""WITH f AS (SELECT conv_id, text AS question FROM conversations WHERE role = 'user')
         SELECT conv_id, 'system' AS role, '{SYSTEM}' AS content FROM f UNION ALL SELECT conv_id, 'user', question FROM f UNION ALL SELECT conv_id, 'assistant', '{training.NO_MATCH.replace("'", "''")}' FROM f""",
     "conversation_concat": "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS text_md5 FROM conversations GROUP BY 1",
     "keyword_chunks": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))",

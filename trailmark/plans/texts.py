@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import licensing, safety
 from ..functions import text as tx
 from ..operators import chunking
+from . import derived
 from . import fixtures as fx
 
 
@@ -44,11 +45,17 @@ def heading_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heading_fixture(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.HEADINGS.frame(spark).select("line", tx.heading(F.col("line")).alias("heading"))
+    """The fixture's lines, and a numbered one for every document."""
+    numbered = F.concat(F.lit("4."), F.col("doc_id") % 120, F.lit(" Notes In "), F.upper(F.coalesce("lang", F.lit("und"))))
+    lines = fx.HEADINGS.frame(spark).select("line").unionByName(_documents(spark, sf).select(numbered.alias("line")))
+    return lines.select("line", tx.heading(F.col("line")).alias("heading"))
 
 
 def citation_format(spark: SparkSession, sf: str) -> DataFrame:
-    f = fx.CITATIONS.frame(spark)
+    """The fixture's places, and pages of every document."""
+    first = (F.col("doc_id") + 1).cast("int")
+    docs = _documents(spark, sf).select(F.col("source").alias("prefix"), F.lit(None).cast("string").alias("section"), first.alias("page_start"), (first + F.col("doc_id") % 2).cast("int").alias("page_end"))
+    f = fx.CITATIONS.frame(spark).drop("expected").unionByName(docs)
     return f.select("section", "page_start", "page_end", tx.citation(F.col("prefix"), F.col("section"), F.col("page_start"), F.col("page_end")).alias("citation"))
 
 
@@ -87,14 +94,14 @@ def license_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image_pick(spark: SparkSession, sf: str) -> DataFrame:
-    images = fx.IMAGES.frame(spark)
+    images = derived.images(spark, sf)
     good = images.where(licensing.is_usable(F.col("title"), F.col("license"), F.col("width"), F.col("url")))
     return licensing.pick_images(good).select("slug", "ordinal", "title", "license")
 
 
 def image_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Image-info answers to the first admitted images of each card."""
-    found = licensing.pick_images(licensing.resolve_category(fx.ANSWERS.frame(spark)))
+    found = licensing.pick_images(licensing.resolve_category(derived.answers(spark, sf)))
     return found.select("slug", "ordinal", "title", "license", "attribution", "thumb_url", "width")
 
 
@@ -157,19 +164,20 @@ ch AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY i, o) - 1)::INT
   NULL::VARCHAR AS section, 1::INTEGER AS page_start, 1::INTEGER AS page_end, list_sum(list_transform(c, lambda x: x.t))::INTEGER AS token_count FROM outs)"""
 
 QUERIES = {f.__name__: f for f in (line_clean, boilerplate_lines, boilerplate_strip, html_clean, heading_detect, heading_fixture, citation_format, chunk_greedy, chunk_stats, safety_filter, safety_summary, license_gate, image_pick, image_resolve, license_report)}
-_PICK = rf"""{fx.IMAGES.values("i")},
-good AS (SELECT * FROM i WHERE regexp_matches(title, '(?i)\.(jpg|jpeg|png)$') AND NOT regexp_matches(title, '{licensing.NAME_DENYLIST.replace("(?iU)", "(?i)")}')
+_PICKED = rf"""good AS (SELECT * FROM i WHERE regexp_matches(title, '(?i)\.(jpg|jpeg|png)$') AND NOT regexp_matches(title, '{licensing.NAME_DENYLIST.replace("(?iU)", "(?i)")}')
   AND regexp_matches(trim(license), '(?i)^(public domain|cc0|cc[-\s]?pd|cc by[-\s]?(sa[-\s]?)?\d)') AND coalesce(width, 0) >= 800 AND url <> ''),
 once AS (SELECT slug, title, any_value(license) AS license, min(category_pos) AS category_pos FROM good GROUP BY 1, 2),
 pick AS (SELECT slug, (row_number() OVER (PARTITION BY slug ORDER BY category_pos, title) - 1)::INTEGER AS ordinal, title, license FROM once)"""
+_PICK = f"""{fx.IMAGES.values("fi")}, i AS (SELECT * FROM fi UNION ALL {derived.IMAGES_SQL}), {_PICKED}"""
 ORACLE = {
     "line_clean": f"WITH {_LINES} SELECT doc, page, line_no, line FROM ln",
     "boilerplate_lines": f"WITH {_LINES}, {_RUNNING} SELECT doc, line FROM bp",
     "boilerplate_strip": f"WITH {_LINES}, {_RUNNING} SELECT doc, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM ln ANTI JOIN bp USING (doc, line) GROUP BY 1",
     "html_clean": r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages",
     "heading_detect": f"WITH {_LINES}, {fx.HEADINGS.values('hf')}, src AS (SELECT line FROM ln UNION SELECT line FROM hf), {_HEADING} SELECT line, heading FROM hd",
-    "heading_fixture": f"WITH {fx.HEADINGS.values('hf')} SELECT line, expected AS heading FROM hf",
-    "citation_format": f"WITH {fx.CITATIONS.values('c')} SELECT section, page_start, page_end, expected AS citation FROM c",
+    "heading_fixture": f"WITH {fx.HEADINGS.values('hf')}, d AS (SELECT '4.' || (doc_id % 120) || ' Notes In ' || upper(coalesce(lang, 'und')) AS line FROM documents) SELECT line, expected AS heading FROM hf UNION ALL SELECT line, line FROM d",
+    "citation_format": f"""WITH {fx.CITATIONS.values('c')} SELECT section, page_start, page_end, expected AS citation FROM c UNION ALL
+        SELECT NULL, (doc_id + 1)::INTEGER, (doc_id + 1 + doc_id % 2)::INTEGER, '[Source: ' || source || CASE WHEN doc_id % 2 = 0 THEN ', p. ' || (doc_id + 1) ELSE ', pp. ' || (doc_id + 1) || '-' || (doc_id + 2) END || ']' FROM documents""",
     "chunk_greedy": f"WITH RECURSIVE {_FOLD} SELECT * FROM ch",
     "chunk_stats": f"WITH RECURSIVE {_FOLD} SELECT count(*) AS n_chunks, count(DISTINCT doc) AS n_docs, CAST(sum(token_count) AS BIGINT) AS n_tokens, max(token_count) AS max_tokens, count(*) FILTER (token_count > 220) AS over_budget FROM ch",
     "safety_filter": f"""WITH {fx.SAFETY.values("x")}, t AS (SELECT 'fixture' AS origin, text FROM x UNION ALL SELECT 'document', text FROM documents UNION ALL SELECT 'conversation', text FROM conversations), {_SAFE}
@@ -178,6 +186,7 @@ ORACLE = {
     "license_gate": f"""WITH {fx.LICENCES.values("l")}, n AS (SELECT unnest(regexp_extract_all(text, '{_LICENSE}', 1)) AS license FROM documents)
         SELECT license, allowed FROM l UNION ALL SELECT license, regexp_matches(license, '(?i)^(public domain|cc0|cc[-\\s]?pd|cc by[-\\s]?(sa[-\\s]?)?\\d)') AS allowed FROM n WHERE license <> ''""",
     "image_pick": f"WITH {_PICK} SELECT * FROM pick WHERE ordinal < 3",
-    "image_resolve": f"WITH {fx.RESOLVED.values('r')} SELECT * FROM r",
+    "image_resolve": f"""WITH {fx.RESOLVED.values('r')}, i AS ({derived.IMAGES_SQL}), {_PICKED}
+        SELECT * FROM r UNION ALL SELECT slug, ordinal, title, license, 'Some ' || slug, url, 640 FROM pick JOIN (SELECT slug, title, min(url) AS url FROM i GROUP BY 1, 2) USING (slug, title) WHERE ordinal < 3""",
     "license_report": f"WITH {_PICK} SELECT slug, count(*) AS n_images, string_agg(DISTINCT license, ', ' ORDER BY license) AS licenses FROM pick WHERE ordinal < 3 GROUP BY 1",
 }
