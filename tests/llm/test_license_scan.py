@@ -67,3 +67,13 @@ def test_sql_sees_the_same_lines(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
     told = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, digest FROM ({ls.oracle()})").fetchall()}
     assert {r.doc_id: r.digest for r in ls.scan(docs).collect()} == told
+
+
+def test_whole_licences_identifiers_and_holders_on_the_next_line(spark):
+    whole = {name: text for name, text in ls.known_licenses() if len(text) > 5_000}
+    texts = [*whole.values(), "Copyright (C) 2020\nAlice Smith\n\n" + ls.MIT, "/* Copyright 2019-2021\n * The Authors of It */\n\n" + ls.ISC]
+    texts += [f"x\n// SPDX-License-Identifier: {x}\ny" for x in ls.SPDX] + ["Copyright (C) 2020\n" + ls.MIT, "\n".join("> " + line for line in whole["GPL-2.0"].split("\n"))]
+    got, n = scan(spark, texts), len(whole)
+    assert [got[k].license_id for k in range(n)] == list(whole)
+    assert [got[n].license_id, got[n + 1].license_id, got[len(texts) - 2].license_id, got[len(texts) - 1].license_id] == ["MIT", "ISC", "MIT", "GPL-2.0"]
+    assert [got[n + 2 + k].line_licenses for k in range(len(ls.SPDX))] == [[x] for x in ls.SPDX]

@@ -13,15 +13,19 @@ stand on a line of their own within a document.
 
 Defined results: a null, empty or letterless text has no digest and no licence; repeated rows
 each get a row; very long texts are read whole; a licence listed twice counts once (the least
-id); extra columns are not carried, whatever their names.
+id); an empty table has no rows; extra columns are not carried, whatever their names.
 Only DataFrame functions run here.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Equivalent spellings after lower-casing, as whole words: (pattern, replacement), in order. Fixed values.
 SPELLINGS = [
     ("licence", "license"),
@@ -99,6 +103,34 @@ LICENSES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
+#: Whole licences, in files of this package: (licence id, file, where its terms end if a guide to their use follows). Fixed values.
+FULL_TEXTS = [
+    ("Apache-2.0", "Apache-2.0", "END OF TERMS AND CONDITIONS"),
+    ("GPL-2.0", "GPL-2", "END OF TERMS AND CONDITIONS"),
+    ("GPL-3.0", "GPL-3", "END OF TERMS AND CONDITIONS"),
+    ("LGPL-2.1", "LGPL-2.1", "END OF TERMS AND CONDITIONS"),
+    ("LGPL-3.0", "LGPL-3", None),
+    ("MPL-2.0", "MPL-2.0", None),
+    ("CC0-1.0", "CC0-1.0", None),
+]
+#: Identifiers that a line may state. Fixed values.
+SPDX = [
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+
+
+def known_licenses() -> list[tuple[str, str]]:
+    """All texts and statements that are looked up: the list's, whole licences with and without what follows their terms, identifiers."""
+    found = list(LICENSES)
+    for name, file, end in FULL_TEXTS:
+        text = resources.files(__package__).joinpath("licenses", f"{file}.txt").read_text(encoding="utf-8")
+        found.append((name, text))
+        if end and end in text:
+            found.append((name, text.partition(end)[0] + end))
+            found.append((name, text.partition(end)[0]))
+    return found + [(x, f"SPDX-License-Identifier: {x}") for x in SPDX]
 
 #: Words that don't begin a holder's name: what follows "copyright" in licences' own sentences. Fixed values.
 NOT_HOLDERS = [
@@ -113,9 +145,11 @@ _GAP = r"[^\p{L}\p{N}\n,;.)]+"
 def _copyright_line(holder: str) -> str:
     """The pattern of a copyright line without its line mode; holder is how a name's first character is told."""
     named = rf"{_GAP}{holder}(?:[^\n]*{_MARK}[^\n]*|[^ \t\n]*(?:[ \t]+[^ \t\n]+){{0,7}}[ \t]*)"
+    # a line that ends with the year: its holder, a short line, is the next one
+    bare = rf"(?:[^\p{{L}}\p{{N}}\n]*{_MARK})+[^\p{{L}}\p{{N}}\n]*\n[^\p{{L}}\p{{N}}\n]*[\p{{L}}\p{{N}}][^ \t\n]*(?:[ \t]+[^ \t\n]+){{0,7}}[ \t]*"
     marked = rf"[^\p{{L}}\p{{N}}\n]*{_MARK}[^\n]*"
     short = r"\(c\)(?:[ \t]*(?:copyright|[0-9]{4})[^\n]*|[^\n]*(?:all rights reserved|[0-9]{4})[ \t.]*)"
-    return rf"^[^\p{{L}}\p{{N}}\n]*(?:copyright(?:{marked}|{named})|{short}|©[^\n]*|all rights reserved[^\n]*)$"
+    return rf"^[^\p{{L}}\p{{N}}\n]*(?:copyright(?:{bare}|{marked}|{named})|{short}|©[^\n]*|all rights reserved[^\n]*)$"
 
 
 COPYRIGHT_LINE = "(?md)" + _copyright_line(rf"(?!{_SENTENCE}(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]")
@@ -146,7 +180,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id) of a list of licence texts; as many rows as texts, whatever the input."""
-    rows = F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in licenses or LICENSES))
+    rows = F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in licenses or known_licenses()))
     listed = spark.range(1).select(F.inline(rows))
     return listed.select(digest(F.col("text")).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
@@ -156,15 +190,17 @@ def scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None) -> Data
 
     license_id: of the licence whose text the entire text is, else null. line_licenses: sorted
     ids of licences whose canonical form is that of a line, none: empty. The licences are a
-    list in the program, which bounds the side that is broadcast.
+    list in the program, which bounds the side that is broadcast. Digests are worked out once
+    and written; texts and lines are then looked up by hash joins.
     """
-    licenses = licenses or LICENSES
-    known = known_digests(docs.sparkSession, licenses)
-    found = docs.select("doc_id", "text", digest(F.col("text")).alias("digest")).join(F.broadcast(known), "digest", "left")
+    scratch = Scratch(docs.sparkSession, "licenses")
+    known = scratch.save(known_digests(docs.sparkSession, licenses), "known")
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\r\n|[\r\n]"), lambda x: F.lower(x).rlike(HINT))
-    by_digest = lambda d: F.coalesce(*(F.when(d == digest(F.lit(text)), F.lit(name)) for name, text in sorted(licenses)))
-    hits = F.filter(F.transform(F.transform(lines, digest), by_digest), lambda x: x.isNotNull())
-    return found.select("doc_id", "digest", "license_id", F.array_sort(F.array_distinct(hits)).alias("line_licenses"))
+    told = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), F.transform(lines, digest).alias("lines"))
+    told = scratch.save(told, "digests")
+    hits = told.select("row", F.explode("lines").alias("digest")).join(F.broadcast(known), "digest").groupBy("row").agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
+    found = told.select("doc_id", "row", "digest").join(F.broadcast(known), "digest", "left").join(hits, "row", "left")
+    return found.select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +223,7 @@ def _sql_form(text: str) -> str:
 
 def oracle() -> str:
     """The same in DuckDB SQL."""
-    listed = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in LICENSES)
+    listed = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in known_licenses())
     return f"""
     WITH listed(license_id, text) AS (VALUES {listed}),
     known AS (SELECT sha256(form) AS digest, min(license_id) AS license_id
