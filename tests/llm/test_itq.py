@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from trailmark.llm import itq
 
@@ -72,3 +73,9 @@ def test_empty_table_and_null_ids(spark):
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     rows = itq.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in rows) == [("4", 2, 4, True), ("4", 2, 4, True), ("None", 2, 4, False)]
+
+
+def test_more_tables_than_a_byte_counts(spark):
+    assert 256 < itq.plan_tables(5_000_000, 64, 0.85, 0.98)[1] <= itq.TABLES
+    with pytest.raises(ValueError, match="tables"):
+        itq.plan_tables(1 << 24, 64, 0.5, 0.98)

@@ -13,7 +13,8 @@ in the first table only, so links are counted without listing pairs.
 
 Defined results: null, empty, zero and non-finite vectors link with nothing; vectors link only
 within one width; rows that share a vec_id are vectors of their own; a null vec_id is a
-component id only where there is no other; extra columns are not carried.
+component id only where there is no other; an empty table has no rows; extra columns are not carried.
+A similarity so low that it takes more than ``TABLES`` tables is refused.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import Scratch, block_pairs, components, local_roots, run_bounds, r
 SIMILARITY, TARGET_RECALL = 0.95, 0.98
 #: The rotations are learned on about so many vectors at most.
 SAMPLE, ITERATIONS = 10_000, 30
+#: More tables have no number of their own.
+TABLES = 1 << 12
 #: Vectors of a block, and those of them that are compared with the other block at once.
 BLOCK, STRIP = 1_024, 256
 
@@ -64,6 +67,8 @@ def plan_tables(n: int, width: int, similarity: float, target_recall: float) ->
     bits = min(width, 24, max(8, math.ceil(math.log2(max(n, 2)))))
     agree = (1 - math.acos(similarity) / math.pi) ** bits
     tables = math.ceil(math.log(1 - target_recall) / math.log(1 - agree))
+    if tables > TABLES:
+        raise ValueError(f"{tables} tables for {n} vectors at {similarity}: ask for fewer links or a lower recall")
     return bits, tables, math.ceil(tables / (width // bits))
 
 
@@ -130,7 +135,7 @@ def _coded(groups: DataFrame, coder: Coder, kind: str) -> DataFrame:
                     part = b.take(pa.array(at))
                     codes = coder.codes(np.stack([units[k] for k in at])).astype(np.int32)
                     table = np.arange(codes.shape[1], dtype=np.int64)
-                    buckets = (np.int64(width) << 40) + (table << 32) + codes
+                    buckets = (np.int64(width) << 44) + (table << 32) + codes
                     yield pa.RecordBatch.from_arrays([part["digest"], part["n"], part["vector"], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))], ["digest", "n", "vector", "codes", "buckets"])
 
     return groups.select("digest", "n", "vector").mapInArrow(each, "digest binary, n long, vector binary, codes binary, buckets array<long>")
@@ -167,7 +172,7 @@ def _linked(similarity: float, kind: str):
                 a, b = pairs(s, e, side, units)
                 if not len(a):
                     continue
-                at = int(bucket[s] >> 32 & 0xFF)  # an earlier table where both fall together has counted the pair
+                at = int(bucket[s] >> 32 & TABLES - 1)  # an earlier table where both fall together has counted the pair
                 mine = np.stack([np.frombuffer(codes[k].as_buffer(), np.int32, at) for k in range(s, e)])
                 first = np.ones(len(a), bool)
                 for t in range(at):
