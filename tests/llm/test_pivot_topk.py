@@ -67,3 +67,9 @@ def test_a_large_component_goes_its_way(spark):
     rng = np.random.default_rng(4)
     rows = [(k, (rng.standard_normal(4) * 10.0 ** rng.integers(0, 7)).tolist()) for k in range(120)]
     assert run(spark, rows) == brute(rows, 5, 10)
+
+
+def test_pivots_grow_and_no_rows(spark):
+    assert [pt.pivots_for(n) for n in (0, 10_000, 1_000_000, 10**9)] == [16, 16, 125, 256]
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert pt.search(df, F.col("vec_id") % 2 == 0, 3).count() == 0

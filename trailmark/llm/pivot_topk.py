@@ -9,7 +9,7 @@ annuli only whose triangle-inequality bound |d(q, p) - d(x, p)| still allows tha
 within an annulus it expands over slices of the sorted distances and leaves out the slices
 that the bound rules out.
 
-Pivots come from a bounded sample; every vector is indexed. An annulus of many vectors is
+Pivots come from a bounded sample, their number grows with the vectors'; every vector is indexed. An annulus of many vectors is
 dealt to several blocks by a hash, so no task holds it. Queries go to blocks by the annuli's
 summary (pivots times annuli, a bounded table).
 
@@ -17,11 +17,13 @@ Defined results: vectors that are null, empty or hold null or non-finite compone
 part; a vector is a candidate of queries of its width only; rows with the query's own id are
 not its candidates; repeated query ids are asked once (least vector), repeated candidates
 stand as often as they occur; a null id takes no part; scores are exact integers, those beyond a
-long are held at its limits.
+long are held at its limits; a component whose scaled value is beyond a double counts as not finite;
+an empty table has no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, uniform
 
-PIVOTS, SAMPLE, STEPS, BLOCK, SLICE = 16, 4_096, 256, 4_096, 512
+PIVOTS, MOST_PIVOTS, SAMPLE, STEPS, BLOCK, SLICE = 16, 256, 4_096, 256, 4_096, 512
 #: float64 sums of integers are exact below.
 EXACT = 2.0**52
 SLACK = 1e-9
@@ -60,6 +62,11 @@ def integers(vectors: DataFrame, scale: float) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(each, "vec_id long, v binary, norm2 double")
 
 
+def pivots_for(n: int) -> int:
+    """How many pivots n vectors have: an eighth of the root of n, within bounds."""
+    return min(max(PIVOTS, math.isqrt(n) // 8), MOST_PIVOTS)
+
+
 def choose_pivots(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
     """n centres of a sample: far points first, then a few rounds of means."""
     centres = [sample[0]]
@@ -206,7 +213,7 @@ def search(vectors: DataFrame, is_query, k: int, scale: float = 1024.0) -> DataF
     for r in rows.where(uniform("vec_id", "v") < min(1.0, SAMPLE / max(total, 1))).select("v", "norm2").toLocalIterator():
         x = np.frombuffer(r["v"])
         samples.setdefault(len(x), []).append(np.append(x, np.sqrt(max(top2 - r["norm2"], 0))))
-    pivots = {w: choose_pivots(np.stack(x), PIVOTS) for w, x in samples.items()}
+    pivots = {w: choose_pivots(np.stack(x), pivots_for(total)) for w, x in samples.items()}
     index = scratch.save(_keyed(rows, pivots, top2), "index")
     steps = index.groupBy("width", "pivot", "step").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()
     annuli = _annuli(steps)
