@@ -79,7 +79,9 @@ def pack_replace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def orphan_labels(spark: SparkSession, sf: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    """Labels, and those of twice their ids, that no document bears."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id")
+    labels = labels.unionByName(labels.select((2 * F.col("doc_id") + 1).alias("doc_id")))
     return validation.orphans(labels, "doc_id", _docs(spark, sf), "doc_id").select("doc_id")
 
 
@@ -214,7 +216,7 @@ ORACLE = {
     "pack_replace": rf"""WITH {_DOCS}, {_CARD_ROWS}, kept AS (SELECT * FROM c WHERE source <> 'src0')
         SELECT id, source_id, citation, md5(text) AS text_md5, token_count FROM kept UNION ALL
         SELECT (SELECT max(id) FROM kept) + n, (SELECT max(id) FROM m WHERE filename <> 'src0') + 1, citation, md5(text), len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INTEGER FROM cd""",
-    "orphan_labels": "SELECT doc_id FROM labels ANTI JOIN documents USING (doc_id)",
+    "orphan_labels": "SELECT doc_id FROM (SELECT doc_id FROM labels UNION ALL SELECT 2 * doc_id + 1 FROM labels) ANTI JOIN documents USING (doc_id)",
     "duplicate_texts": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "steps_extract": f"WITH {fx.STEPS.values('f')}, tx AS (SELECT -id AS id, text FROM f UNION ALL SELECT doc_id, text FROM documents), {_STEPS} s AS (SELECT id, {_TAKE.format(n=5)} AS s FROM lists) SELECT tx.id, coalesce(array_to_string(s, '|'), '') AS steps FROM tx LEFT JOIN s USING (id)",
     "training_grounded": f"""WITH {_TRAIN.replace("SEED", "17")}, {_STEPS} s AS (SELECT id, {_TAKE.format(n=5)} AS s FROM lists),
