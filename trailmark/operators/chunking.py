@@ -185,27 +185,34 @@ def fold_documents(docs: DataFrame, count: Callable[[str], int] | None = None, *
 
 def document_lines(pages: Column, tokens: Callable[[Column], Column] = tx.word_count, boilerplate_lines: Column | None = None) -> Column:
     """Array of line structs of an array of page texts; boilerplate lines are left out."""
-    cleaned = F.transform(pages, lambda p, i: F.transform(tx.clean_lines(p), lambda line: F.struct((i + 1).alias("page"), line.alias("line"))))
-    flat = F.flatten(cleaned)
+    return _line_structs(F.transform(pages, tx.clean_lines), tokens, boilerplate_lines)
+
+
+def _line_structs(lines: Column, tokens: Callable[[Column], Column], boilerplate_lines: Column | None) -> Column:
+    """The same of an array of pages' lines."""
+    flat = F.flatten(F.transform(lines, lambda p, i: F.transform(p, lambda line: F.struct((i + 1).alias("page"), line.alias("line")))))
     if boilerplate_lines is not None:
         flat = F.filter(flat, lambda x: ~F.array_contains(boilerplate_lines, x["line"]))
     return F.transform(flat, lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), tx.heading(x["line"]).alias("heading"), tokens(x["line"]).alias("tokens")))
 
 
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with a column that is worked out once a row, also where a lambda reads it for every element: a generator's output isn't inlined."""
+    return df.select("*", F.inline(F.array(F.struct(column.alias(name)))))
+
+
 def chunk_documents(docs: DataFrame, count: Callable[[str], int] | None = None, ratio: float = RATIO, **limits) -> DataFrame:
     """docs(doc, pages array<string>) -> chunks; running heads and feet are found within each document."""
     cleaned = docs.select("doc", F.transform("pages", lambda p: F.coalesce(p, F.lit(""))).alias("pages"))
-    normal = cleaned.withColumn("pages", _nfkc_pages("pages"))
-    sets = F.filter(F.transform("pages", lambda p: F.array_distinct(tx.clean_lines(p))), lambda x: F.size(x) > 0)
-    with_sets = normal.withColumn("_sets", sets)
+    found = _once(cleaned.withColumn("pages", _nfkc_pages("pages")), "_lines", F.transform("pages", tx.clean_lines))
+    found = _once(found, "_sets", F.filter(F.transform("_lines", F.array_distinct), lambda x: F.size(x) > 0))
     flat = F.filter(F.flatten("_sets"), lambda x: F.length(x) <= tx.BOILERPLATE_LENGTH)
     least = F.greatest(F.lit(3), F.floor(F.size("_sets") * F.lit(ratio)))
     # equal lines stand together once sorted: a line on at least `least` pages equals the one `least - 1` before it
-    ordered = F.array_sort(flat)
-    repeated = F.array_distinct(F.filter(ordered, lambda x, i: (i >= least - 1) & (x == F.get(F.col("_sorted"), (i - least + 1).cast("int")))))
-    found = with_sets.withColumn("_sorted", ordered)
-    found = found.withColumn("_running", F.when(F.size("_sets") >= 4, repeated).otherwise(F.array().cast("array<string>")))
-    return fold_documents(found.select("doc", document_lines(F.col("pages"), boilerplate_lines=F.col("_running")).alias("lines")), count, **limits)
+    found = _once(found, "_sorted", F.array_sort(flat))
+    repeated = F.array_distinct(F.filter("_sorted", lambda x, i: (i >= least - 1) & (x == F.get(F.col("_sorted"), (i - least + 1).cast("int")))))
+    found = _once(found, "_running", F.when(F.size("_sets") >= 4, repeated).otherwise(F.array().cast("array<string>")))
+    return fold_documents(found.select("doc", _line_structs(F.col("_lines"), tx.word_count, F.col("_running")).alias("lines")), count, **limits)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
