@@ -67,3 +67,14 @@ def test_like_documents_share_sequences(spark):
     for r in hp.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         by[r.sequence_id].add(r.doc_id % 2)
     assert sum(len(x) == 1 for x in by.values()) >= 0.7 * len(by)
+
+
+def test_cells_are_quantiles_of_all_documents(spark):
+    n = 20_000
+    table = spark.range(n).selectExpr("double(id) AS x0", "double(-id) AS x1", "double(id % 256) AS x2")
+    got, at = hp.fit_cells(table), np.arange(1, 256) / 256
+    assert got.shape == (3, 255)
+    for row, values in zip(got, (np.arange(n), -np.arange(n), np.arange(n) % 256), strict=True):
+        rank = [(np.mean(values < x), np.mean(values <= x)) for x in row]
+        assert all(low - 2e-4 <= q <= high + 2e-4 for q, (low, high) in zip(at, rank, strict=True))
+    assert not hp.fit_cells(table.limit(0)).any()

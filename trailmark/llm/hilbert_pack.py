@@ -6,8 +6,8 @@ key. Documents are range-sorted by it, so that like documents are neighbours, an
 is filled into sequences in that order: a document is cut where its sequence is full. What is
 left at the end of a range becomes sequences of powers of two, so nothing is padded.
 
-The quantiles come from a bounded sample of documents; every document gets a key. Equal texts
-share a key; a hash of doc_id behind it lets a range end among them.
+The quantiles are those of all documents, from a sketch that Spark merges (``percentile_approx``, ranks
+right to 1 / ``ACCURACY``). Equal texts share a key; a hash of doc_id behind it lets a range end among them.
 
 Defined results: null and empty texts are the end id alone; rows that share a doc_id each get
 their pieces; a null doc_id is kept; an empty table has no pieces; extra columns are not carried.
@@ -18,15 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, trim, uniform
+from .common import Scratch, trim
 from .wordbpe import encoder, vocabulary_path
 
 LENGTH, END_ID = 4096, 2
-BUCKETS, DIMENSIONS, BITS, SAMPLE = 256, 3, 8, 2_000
+BUCKETS, DIMENSIONS, BITS, ACCURACY = 256, 3, 8, 10_000
+#: Columns of a document's projection.
+_AXES = [f"x{k}" for k in range(DIMENSIONS)]
 #: Tokens of a range, on average.
 RANGE_TOKENS = 4_000_000
 _PROJECT = np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
@@ -70,22 +73,13 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def fit_cells(docs: DataFrame, path: str) -> np.ndarray:
-    """Quantiles (dimensions, cells - 1) of a bounded sample's projections."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for b in batches:
-            points = project(*e.encode(b["text"], END_ID))
-            yield pa.RecordBatch.from_arrays([pa.array(points.tolist(), pa.list_(pa.float64()))], ["p"])
-        trim()
-
-    n = docs.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    points = [r.p for r in docs.where(uniform("doc_id") < share).mapInArrow(each, "p array<double>").limit(4 * SAMPLE).collect()]
-    if not points:
-        return np.zeros((DIMENSIONS, (1 << BITS) - 1))
-    return np.quantile(np.array(points), np.arange(1, 1 << BITS) / (1 << BITS), axis=0).T
+def fit_cells(table: DataFrame) -> np.ndarray:
+    """Quantiles (dimensions, cells - 1) of the projections of all rows of table(x0, x1, ...)."""
+    at = [k / (1 << BITS) for k in range(1, 1 << BITS)]
+    found = table.agg(*(F.percentile_approx(c, at, ACCURACY).alias(c) for c in _AXES)).first()
+    if found[0] is None:
+        return np.zeros((DIMENSIONS, len(at)))
+    return np.array([found[c] for c in _AXES])
 
 
 class _Filler:
@@ -135,24 +129,28 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     scratch = Scratch(docs.sparkSession, "pack")
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    cells = fit_cells(rows, path)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
                 ids, bounds = e.encode(b["text"], END_ID)
                 points = project(ids, bounds)
-                key = hilbert(np.stack([np.searchsorted(c, p, "right") for c, p in zip(cells, points.T, strict=True)], axis=1), BITS)
                 small = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(key), pa.array(np.diff(bounds)), pa.array([small[s:t].tobytes() for s, t in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "key", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], *map(pa.array, points.T), pa.array(np.diff(bounds)), pa.array([small[s:t].tobytes() for s, t in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["doc_id", *_AXES, "n", "ids"])
         trim()
 
-    table = scratch.save(rows.mapInArrow(keyed, f"doc_id {kind}, key long, n long, ids binary"), "keyed")
+    table = scratch.save(rows.mapInArrow(encoded, f"doc_id {kind}, {''.join(f'{c} double, ' for c in _AXES)}n long, ids binary"), "encoded")
+    cells = fit_cells(table)
+
+    @F.pandas_udf("long")
+    def place(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(hilbert(np.stack([np.searchsorted(c, x[n], "right") for c, n in zip(cells, _AXES, strict=True)], axis=1), BITS))
+
     order = ["key", "tie", "doc_id", "n"]
     n_ranges = -(-(table.agg(F.sum("n").alias("n")).first()["n"] or 1) // RANGE_TOKENS)
-    ranged = table.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
+    ranged = table.withColumn("key", place(F.struct(*_AXES))).withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filler, part = _Filler(length), 0
