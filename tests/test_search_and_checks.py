@@ -80,6 +80,9 @@ def test_vector_arithmetic(spark):
     assert row.m == [2.0, 3.0] and row.n == pytest.approx([0.6, 0.8])
     none = df.select(vectors.masked_mean(F.col("rows"), F.array(F.lit(0), F.lit(0), F.lit(0))).alias("m")).first()
     assert none.m == [0.0, 0.0]
+    both = df.select(vectors.normalize(vectors.masked_mean(F.col("rows"), F.col("mask"))).alias("u"))
+    assert both.first().u == pytest.approx([2 / 13**0.5, 3 / 13**0.5])
+    assert both._jdf.queryExecution().analyzed().toString().count("filter(") == 1  # worked out once a row, not once an element
     raw = spark.createDataFrame([(bytearray(b"\xff\xd8\xff\xe0"), bytearray(b"%PDF-1.4")), (bytearray(b"\xff"), None)], "a binary, b binary")
     assert [tuple(r) for r in raw.select(vectors.is_jpeg(F.col("a")), vectors.is_pdf(F.col("b"))).collect()] == [(True, True), (False, False)]
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 
 @F.pandas_udf(T.BinaryType())
 def to_float32_le(vector: pd.Series) -> pd.Series:
@@ -35,16 +37,17 @@ def norm(v: Column) -> Column:
 
 def masked_mean(rows: Column, mask: Column) -> Column:
     """Mean of the vectors of rows whose mask is not 0; the divisor is at least 1e-9."""
-    kept = F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda x: x["m"] != 0)
-    width = F.size(F.element_at(rows, 1))
-    zero = F.array_repeat(F.lit(0.0), width)
-    total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, as_double(x["v"]), lambda p, q: p + q))
-    return F.transform(total, lambda x: x / F.greatest(F.size(kept).cast("double"), F.lit(1e-9)))
+
+    def mean(kept: Column) -> Column:
+        total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, as_double(x["v"]), lambda p, q: p + q))
+        return let(F.greatest(F.size(kept).cast("double"), F.lit(1e-9)), lambda n: F.transform(total, lambda x: x / n))
+
+    zero = F.array_repeat(F.lit(0.0), F.size(F.element_at(rows, 1)))
+    return let(F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda x: x["m"] != 0), mean)
 
 
 def normalize(v: Column) -> Column:
-    length = norm(v)
-    return F.transform(as_double(v), lambda x: x / length)
+    return let(as_double(v), lambda d: let(norm(d), lambda length: F.transform(d, lambda x: x / length)))
 
 
 def rounded(v: Column, digits: int) -> Column:
