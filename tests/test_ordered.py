@@ -89,6 +89,29 @@ def test_more_queries_than_are_broadcast(spark, monkeypatch):
     assert {(r.query_id, r["rank"]): r.id for r in search.top_k(corpus, queries, 4, skip_self=True).collect()} == got
 
 
+def test_many_queries_meet_the_vectors_in_many_cells(spark):
+    corpus = spark.range(70_000).selectExpr("id", "array(double(id % 7), 1.0D) AS vector")
+    queries = corpus.where("id < 5").select(F.col("id").alias("query_id"), "vector")
+    found = search.joined_top_k(corpus, queries, 1, skip_self=True).collect()
+    assert len(found) == 3 * 5  # a row a query and cell: no task has more than GROUP vectors
+
+
+def test_the_best_of_many_batches(monkeypatch):
+    monkeypatch.setattr(search, "BATCH", 16)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((200, 6)), 1) * 1e6
+    x[150:] = x[100:150]
+    x[5] = np.nan
+    x[6] = [-np.inf] + [0] * 5
+    best = search.Best(np.arange(0, 20), np.abs(x[:20]) + 1, 3, skip_self=True)
+    best.see(np.arange(200), x)
+    scores = np.round((np.abs(x[:20]) + 1) @ x.T, 12)
+    for k in range(20):
+        scores[k, k] = np.nan
+        order = [j for j in np.lexsort((np.arange(200), -scores[k])) if not np.isnan(scores[k, j])]
+        assert best.ids[best.query == k].tolist() == order[:3]
+
+
 def test_documents_of_many_segments_are_chunked_as_in_one_piece(spark, monkeypatch):
     from trailmark.operators import chunking
 
