@@ -75,3 +75,26 @@ def test_cleaning(spark):
 @pytest.mark.parametrize("text,ratio", [("The Quick brown", 2 / 3), ("", 0.0), ("12 34", 0.0), ("O'Neil's hand-Care", 0.5)])
 def test_title_case_ratio(spark, text, ratio):
     assert spark.createDataFrame([(text,)], "t string").select(tx.title_case_ratio(F.col("t"))).first()[0] == pytest.approx(ratio)
+
+
+def test_running_heads_are_the_same_in_parts_of_any_size(spark, monkeypatch):
+    pages = [(d, p, "\n".join(["Field Manual" if p % 3 else "other", f"only on {p}", *(f"{d} line {p} {k}" for k in range(20))])) for d in "ab" for p in range(1, 31)]
+    lines = chunking.clean_pages(spark.createDataFrame(pages, "doc string, page int, text string").coalesce(1))
+    want = {("a", "Field Manual"), ("a", "other"), ("b", "Field Manual"), ("b", "other")}
+    for size in (chunking.PART_LINES, 50, 1):
+        monkeypatch.setattr(chunking, "PART_LINES", size)
+        written, saved = [], chunking.shared.written
+        monkeypatch.setattr(chunking.shared, "written", lambda df, label: written.append((label, saved(df, label))) or written[-1][1])
+        assert {tuple(r) for r in chunking.boilerplate(lines).collect()} == want
+        monkeypatch.setattr(chunking.shared, "written", saved)
+        parts = dict(written)["lines"].where("line is null").groupBy("doc").count().agg(F.max("count")).first()[0]
+        assert parts == 1 if size > 50 else parts >= 8
+
+
+def test_nfkc_of_lists_and_texts(spark):
+    texts = ["plain", "ﬁne ½", None, "", "Ａ b", "é"]
+    df = spark.createDataFrame([(k, t, [t or "", "x", "ﬂ"] if t != "" else None) for k, t in enumerate(texts)], "k int, t string, p array<string>").coalesce(1)
+    got = df.select(tx.nfkc(F.col("t")).alias("t"), chunking._nfkc_pages("p").alias("p")).collect()
+    want = ["plain", "fine 1⁄2", None, "", "A b", "é"]
+    assert [r.t for r in got] == want
+    assert [r.p for r in got] == [None if w == "" else [w or "", "x", "fl"] for w in want]

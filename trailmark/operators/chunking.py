@@ -6,11 +6,10 @@ found and lines counted as columns, then a fold over the document's lines cuts t
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter, deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +22,8 @@ from . import ordered
 from .corpus import dense_ids
 
 CHUNK_TOKENS, OVERLAP_TOKENS, LEAST_TOKENS, RATIO, SECTION_SPAN = 220, 48, 24, 0.2, 10
+#: Distinct lines that a task counts before it hands them on, lines and documents that it makes Python objects of at once.
+PART_LINES, SLICE, DOCUMENTS = 100_000, 1_000, 50
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -34,41 +35,50 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 def boilerplate(lines: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(doc, line) of short lines on max(3, floor(pages * ratio)) pages at least, in documents of four pages with content.
 
-    Every task first counts the lines of what it reads, and writes the counts. A line that is on so
-    many pages is on its share of them in at least one task, so only lines that reach that share
-    somewhere are candidates. Only candidates' lines are then shuffled and counted exactly: what is rare
+    Every task first counts the lines of what it reads, a part of at most ``PART_LINES`` distinct lines
+    (and one page) at a time, and writes the counts. A line that is on so many pages is on its share of
+    them in at least one part, so only lines that reach that share somewhere are candidates. Only candidates' lines are then shuffled and counted exactly: what is rare
     everywhere stays where it is.
     """
     kind = lines.schema["doc"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found, held = TaskContext.get().partitionId(), {}, [None, None, set()]
+        found, held, size = {}, [None, None, set()], 0
 
-        def close() -> None:  # a page's distinct lines
+        def close() -> int:  # a page's distinct lines; how many are new
             doc, page, seen = held
-            if page is not None or seen:
-                counts = found.setdefault(doc, Counter())
-                counts[None] += 1  # the document is in this task
-                counts.update(seen)
+            if page is None and not seen:
+                return 0
+            counts = found.setdefault(doc, Counter())
+            before = len(counts)
+            counts[None] += 1  # the document is in this part
+            counts.update(seen)
+            return len(counts) - before
 
         def rows() -> Iterator[pa.RecordBatch]:
             for doc, counts in found.items():
                 n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([doc] * n, doc_type), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["part", "doc", "line", "n"])
-
-        for b in batches:
-            doc_type = b.schema.field("doc").type
-            for doc, page, line in zip(b["doc"].to_pylist(), b["page"].to_pylist(), b["line"].to_pylist(), strict=True):
-                if doc != held[0] or page != held[1]:
-                    close()
-                    held[:] = doc, page, set()
-                if len(line) <= tx.BOILERPLATE_LENGTH:
-                    held[2].add(line)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, doc_type), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["doc", "line", "n"])
+            found.clear()
+
+        for whole in batches:
+            doc_type = whole.schema.field("doc").type
+            for s in range(0, whole.num_rows, SLICE):
+                b = whole.slice(s, SLICE)
+                for doc, page, line in zip(b["doc"].to_pylist(), b["page"].to_pylist(), b["line"].to_pylist(), strict=True):
+                    if doc != held[0] or page != held[1]:
+                        size += close()
+                        held[:] = doc, page, set()
+                        if size >= PART_LINES:
+                            yield from rows()
+                            size = 0
+                    if len(line) <= tx.BOILERPLATE_LENGTH:
+                        held[2].add(line)
         close()
         yield from rows()
 
     # at least the pages that a line is on: more, where a page's lines don't stand together
-    counts = shared.written(lines.select("doc", "page", "line").mapInArrow(each, f"part int, doc {kind}, line string, n long"), "lines")
+    counts = shared.written(lines.select("doc", "page", "line").mapInArrow(each, f"doc {kind}, line string, n long"), "lines")
     pages = lines.select("doc", "page").distinct().groupBy("doc").agg(F.count("*").alias("pages")).where("pages >= 4")
     sizes = pages.join(counts.where("line is null").groupBy("doc").agg(F.count("*").alias("parts")), "doc")
     least = F.greatest(F.lit(3), F.floor(F.col("pages") * ratio))
@@ -148,7 +158,7 @@ class Fold:
             yield done
 
 
-def fold(lines: list[tuple[int, str, str | None, int]], **limits) -> Iterator[tuple]:
+def fold(lines: Iterable[tuple[int, str, str | None, int]], **limits) -> Iterator[tuple]:
     """Chunks (text, section, page_start, page_end, tokens) of lines (page, text, heading, tokens) in order.
 
     A heading ends a chunk and is no part of one. What is carried over keeps the section of
@@ -171,18 +181,26 @@ def fold_documents(docs: DataFrame, count: Callable[[str], int] | None = None, *
     kind = docs.schema["doc"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for doc, lines in zip(b["doc"].to_pylist(), b["lines"].to_pylist(), strict=True):
-                rows = [(x["page"], x["line"], x["heading"], count(x["line"]) if count else x["tokens"]) for x in lines or []]
-                out += [(doc, seq, *c) for seq, c in enumerate(fold(rows, **limits))]
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [b.schema.field("doc").type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "seq", "text", "section", "page_start", "page_end", "token_count"])
+        for whole in batches:
+            kinds = [whole.schema.field("doc").type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            for s in range(0, whole.num_rows, DOCUMENTS):
+                b = whole.slice(s, DOCUMENTS)
+                out: list[tuple] = []
+                for doc, lines in zip(b["doc"].to_pylist(), b["lines"], strict=True):
+                    out += [(doc, seq, *c) for seq, c in enumerate(fold(_line_rows(lines.values, count), **limits))]
+                columns = list(zip(*out, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "seq", "text", "section", "page_start", "page_end", "token_count"])
 
     return docs.select("doc", "lines").mapInArrow(each, f"doc {kind}, seq int, text string, section string, page_start int, page_end int, token_count int")
 
 
+def _line_rows(lines: pa.StructArray | None, count: Callable[[str], int] | None) -> Iterator[tuple[int, str, str | None, int]]:
+    """The structs of a document's lines as tuples, so many at once."""
+    for s in range(0, len(lines) if lines is not None else 0, SLICE):
+        page, line, heading, tokens = (f.to_pylist() for f in lines.slice(s, SLICE).flatten())
+        yield from zip(page, line, heading, map(count, line) if count else tokens, strict=True)
+
+
 def document_lines(pages: Column, tokens: Callable[[Column], Column] = tx.word_count, boilerplate_lines: Column | None = None) -> Column:
     """Array of line structs of an array of page texts; boilerplate lines are left out."""
     return _line_structs(F.transform(pages, tx.clean_lines), tokens, boilerplate_lines)
@@ -215,9 +233,15 @@ def chunk_documents(docs: DataFrame, count: Callable[[str], int] | None = None,
     return fold_documents(found.select("doc", _line_structs(F.col("_lines"), tx.word_count, F.col("_running")).alias("lines")), count, **limits)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkc_pages(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda ps: None if ps is None else [p if p.isascii() else unicodedata.normalize("NFKC", p) for p in ps])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfkc_pages(pages: pa.Array) -> pa.Array:
+    return type(pages).from_arrays(_offsets(pages), tx.nfkc_array(pages.flatten()), mask=pages.is_null() if pages.null_count else None)
+
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    """Where the lists of an array begin and end among its flattened values."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return pa.array(np.append(0, ends), pa.int64() if pa.types.is_large_list(lists.type) else pa.int32())
 
 
 #: Lines of a segment; a task folds one and as much of the next as it takes to meet that one's own fold.
@@ -286,26 +310,31 @@ def chunk_pages(pages: DataFrame, ratio: float = RATIO, **limits) -> DataFrame:
     names = ["doc", "at", "text", "section", "page_start", "page_end", "token_count", "owner", "met", "broken"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, rows, doc_type = None, [], None
+        owner, rows, sections, doc_type = None, [], {}, None
 
         def folded() -> Iterator[pa.RecordBatch]:
             start = (owner + 1) * size + 1
-            sections = {x["number"]: (x["heading"], x["page"]) for x in rows[0]["sections"] or []}
-            last = rows[-1]["number"] < start
-            chunks, met = fold_segment([(r["number"], r["doc"], r["page"], r["line"], r["heading"], r["tokens"]) for r in rows], start, sections, last, **limits)
-            broken = None if last or met is not None else rows[-1]["doc"]
+            last = rows[-1][0] < start
+            chunks, met = fold_segment(rows, start, sections, last, **limits)
+            broken = None if last or met is not None else rows[-1][1]
             table = [(doc, at, *c, owner, None, None) for doc, at, c in chunks] + [(None,) * 7 + (owner + 1, met, broken)]
             kinds = [doc_type, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), doc_type]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table, strict=True), kinds, strict=True)], names)
 
         for b in batches:
             doc_type = b.schema.field("doc").type
-            for r in b.to_pylist():
-                if r["owner"] != owner:
+            owners = b["owner"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(owners[1:] != owners[:-1]) + 1).tolist(), len(owners)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if owners[s] != owner:
                     if rows:
                         yield from folded()
-                    owner, rows = r["owner"], []
-                rows.append(r)
+                    owner, rows = int(owners[s]), []
+                    sections = {x["number"]: (x["heading"], x["page"]) for x in b["sections"][s].as_py() or []}  # every row of a segment has them
+                part = b.slice(s, e - s)
+                rows += zip(*(part[c].to_pylist() for c in ("number", "doc", "page", "line", "heading", "tokens")), strict=True)
         if rows:
             yield from folded()
 
