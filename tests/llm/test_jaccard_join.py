@@ -82,3 +82,25 @@ def test_class_keys_tell_classes_of_one_id_apart(spark):
     df = spark.createDataFrame([(7, one, 1), (7, one + " tail", 2), (7, other, 3), (7, "", 4)], "doc_id long, text string, row long")
     keys = {r["row"]: r["class_key"] for r in jj.join(df, class_key=True).collect()}
     assert keys[1] == keys[2] != keys[3] and keys[4] is None
+
+
+def test_near_copies_are_dealt_to_few_rows(spark, monkeypatch):
+    made, plain = [], jj.block_pairs
+
+    def counted(rows, *args):
+        made.append((rows.count(), (out := plain(rows, *args)).count()))
+        return out
+
+    monkeypatch.setattr(jj, "block_pairs", counted)
+    rng = random.Random(4)
+    rows = list(enumerate(varied(rng, [f"v{k}" for k in range(150)], 600, 3)))
+    assert run(spark, rows) == brute(rows)
+    assert len(made) == 2 and all(out == rows for rows, out in made)  # 600 sets are one block
+
+
+def test_long_texts_make_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "SET_BYTES", 64)
+    monkeypatch.setattr(jj, "BLOCK", 50)
+    rng = random.Random(5)
+    rows = list(enumerate(varied(rng, [f"v{k}" for k in range(80)], 120, 2)))
+    assert run(spark, rows) == brute(rows)

@@ -8,8 +8,9 @@ Nodes that stop are compared by brute force in blocks: first by signatures, whic
 with a partner that may reach the similarity, then these with their whole sets. Several runs with
 other coordinates bring the recall to the target; their number follows from the length of the
 paths (``runs_for``): a pair is lost more often the more splits it goes through, so sets that
-were still in a large node after ``SHALLOW`` splits have further runs among themselves. All
-runs advance together, level by level.
+were still in a large node after ``SHALLOW`` splits have further runs among themselves, each set as
+many as its own longest path takes (a pair has those that both have). All runs advance together,
+level by level.
 
 Equal sets are one class before the join. Leaves with the same members are compared once; a
 pair that meets in several leaves is counted in the least of them, so that links are counted
@@ -39,8 +40,10 @@ from .common import Scratch, block_pairs, components, local_roots, run_bounds, r
 
 WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.999
 COORDINATES, LEAF, DEPTH = 64, 96, 8
-#: Sets of a block: where signatures are compared, and where whole sets are.
-SIGNATURE_BLOCK, BLOCK = 1_024, 256
+#: Sets of a block: where signatures are compared, and where whole sets are; the bytes of a set of a full block, on average.
+SIGNATURE_BLOCK, BLOCK, SET_BYTES = 4_096, 1_024, 8_192
+#: Signatures that are compared with a block's at once.
+STRIP = 256
 #: Splits that most paths end within: all sets have the runs that these take, those whose paths are longer have more.
 SHALLOW = 2
 _MULTIPLY = np.random.default_rng(1).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,8 +136,12 @@ def runs_for(depth: int, similarity: float, target: float) -> int:
 
 
 def _walk(sets: DataFrame, total: int, numbers: range, similarity: float, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(rows (digest, node, parent) of each level, nodes (node, c, x, s) that stop there) of runs over sets(digest, sig)."""
-    start = sets.select("digest", "sig", F.lit(total).cast("long").alias("c"), F.explode(F.sequence(F.lit(numbers.start), F.lit(numbers.stop - 1))).alias("run"))
+    """(rows (digest, node, parent) of each level, nodes (node, c, x, s) that stop there) of runs over sets(digest, sig).
+
+    A column runs of sets, if there, is the number of the run that a set has no more.
+    """
+    stop = F.col("runs") if "runs" in sets.columns else F.lit(numbers.stop)
+    start = sets.select("digest", "sig", F.lit(total).cast("long").alias("c"), F.explode(F.sequence(F.lit(numbers.start), stop - 1)).alias("run"))
     rows = _children(start.withColumn("node", F.xxhash64(F.lit("root"), "run")), similarity)
     levels, ends = [], []
     for depth in range(1, DEPTH + 1):
@@ -158,9 +165,12 @@ def leaves(sets: DataFrame, similarity: float, target: float, scratch: Scratch)
     n_runs = runs_for(SHALLOW, similarity, target)
     levels, ends = _walk(sets, sets.count(), range(n_runs), similarity, scratch)
     if len(levels) > SHALLOW:
-        deep = scratch.save(union([r.select("digest") for r in levels[SHALLOW:]]).distinct(), "deep")
-        further = range(n_runs, runs_for(len(levels), similarity, target))
-        again = _walk(sets.join(deep.hint("merge"), "digest", "left_semi"), deep.count(), further, similarity, scratch)
+        # by the longest path of a set, never fewer than one more
+        by_depth = [max(n_runs + 1, runs_for(d, similarity, target)) for d in range(SHALLOW + 1, len(levels) + 1)]
+        reached = union([r.select("digest", F.lit(d).alias("depth")) for d, r in enumerate(levels[SHALLOW:])])
+        deep = reached.groupBy("digest").agg(F.max("depth").alias("depth"))
+        deep = scratch.save(deep.select("digest", F.get(F.array(*map(F.lit, by_depth)), F.col("depth")).alias("runs")), "deep")
+        again = _walk(sets.join(deep.hint("merge"), "digest"), deep.count(), range(n_runs, by_depth[-1]), similarity, scratch)
         levels, ends = levels + again[0], ends + again[1]
     kept = scratch.save(union(ends).groupBy("c", "x", "s").agg(F.min("node").alias("node")).select("node", "c"), "leaves")
     return scratch.save(union([r.select("digest", "node") for r in levels]).join(kept, "node"), "members")
@@ -188,14 +198,14 @@ def _plausible(similarity: float):
                     right = left
                 if not len(left) or not len(right):
                     continue
-                agree = np.zeros((len(left), len(right)), np.uint8)
-                for k in range(COORDINATES):
-                    agree += sig[left, k][:, None] == sig[right, k]
-                like = agree >= least
-                if pi[s] == pj[s]:
-                    np.fill_diagonal(like, False)
-                keep[left[like.any(axis=1)]] = True
-                keep[right[like.any(axis=0)]] = True
+                for at in range(0, len(left), STRIP):
+                    part = left[at : at + STRIP]
+                    agree = np.zeros((len(part), len(right)), np.uint8)
+                    for k in range(COORDINATES):
+                        agree += sig[part, k][:, None] == sig[right, k]
+                    like = (agree >= least) & (part[:, None] != right)
+                    keep[part[like.any(axis=1)]] = True
+                    keep[right[like.any(axis=0)]] = True
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([table["digest"].combine_chunks().take(at), pa.array(node[keep])], ["digest", "node"])
 
@@ -316,10 +326,14 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ta
                 found = shingle_sets(b["text"].to_pylist(), words)
                 same = [_digest(s) == d for s, d in zip(found, b["digest"].to_pylist(), strict=True)]  # hashes of texts may be equal
                 kept = b.filter(pa.array(same, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([kept["digest"], kept["n"], kept["leaves"], pa.array([s.tobytes() for s, x in zip(found, same, strict=True) if x], pa.binary())], ["digest", "n", "leaves", "shingles"])
-
-    whole = scratch.save(texts.mapInArrow(again, "digest binary, n long, leaves array<long>, shingles binary"), "shingles")
-    dealt = block_pairs(members.join(whole.hint("merge"), "digest"), "node", "digest", "c", BLOCK)
+                made = [s.tobytes() for s, x in zip(found, same, strict=True) if x]
+                yield pa.RecordBatch.from_arrays([kept["digest"], kept["n"], kept["leaves"], pa.array(made, pa.binary()), pa.array([len(x) for x in made], pa.int64())], ["digest", "n", "leaves", "shingles", "bytes"])
+
+    whole = scratch.save(texts.mapInArrow(again, "digest binary, n long, leaves array<long>, shingles binary, bytes long"), "shingles")
+    # a leaf of large sets has more blocks
+    large = whole.where(F.col("bytes") > SET_BYTES).select("bytes", F.explode("leaves").alias("node")).groupBy("node").agg(F.ceil(F.sum("bytes") / SET_BYTES).alias("of_large"))
+    weighed = members.join(scratch.save(large, "large"), "node", "left").select("digest", "node", (F.col("c") + F.coalesce("of_large", F.lit(0))).alias("c"))
+    dealt = block_pairs(weighed.join(whole.hint("merge"), "digest"), "node", "digest", "c", BLOCK)
     dealt = dealt.repartition("node", "pi", "pj").sortWithinPartitions("node", "pi", "pj")
     found = scratch.save(dealt.select("node", "pi", "pj", "side", "digest", "n", "leaves", "shingles").mapInArrow(_compare_leaves(similarity), "digest binary, links long, root binary"), "links")
     roots = components(scratch, found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
