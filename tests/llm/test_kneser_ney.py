@@ -92,3 +92,38 @@ def test_hard_rows(spark):
     none = kn.classify(docs, labels.limit(0)).collect()
     assert sum(r.kept for r in none) == len(rows) - 2
     assert sorted(r.doc_id for r in kn.trusted_ids(labels).collect() if r.doc_id < 7) == [0, 1, 2, 5, 6]
+
+
+def test_all_trusted_documents_are_learned_from_and_set_the_thresholds(spark, monkeypatch):
+    """Each is scored by the counts of the half that it isn't in, all others by the counts of all."""
+    held, learn = [], kn.learn
+    monkeypatch.setattr(kn, "learn", lambda texts, *a, **k: held.append((texts, learn(texts, *a, **k))) or held[-1][1])
+    texts = list(dict.fromkeys(TEXTS)) + [f"{a} the {b} sat on" for a in ("cat", "dog", "mat") for b in ("log", "cat", "dog")]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*texts, "a cat on the log", "the dog sat"])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kn.classify(docs, labels, shard_entries=30).collect()}
+    (learned, m), rows = held[0], held[0][0].collect()
+    assert sorted(bytes(r.text).decode() for r in rows) == sorted(texts) and {r.half for r in rows} == {1, 2}
+    assert m.n_shards > 1
+    half = {bytes(r.text).decode(): r.half for r in rows}
+    models = [plain([t for t in texts if not h or half[t] == h], m.vocabulary)[0] for h in (0, 1, 2)]
+    for r in docs.collect():
+        p = models[(0, 2, 1)[half.get(r.text, 0)]]
+        w = [m.vocabulary.get(kn.form(x), kn.UNKNOWN) for x in r.text.encode().split()] + [kn.END]
+        h = [kn.BEGIN, kn.BEGIN, *w]
+        spelled = sum(m.letters.get(c, m.strange) for x in r.text.split() if kn.form(x.encode()) not in m.vocabulary for c in [*kn.form(x.encode()).decode(), ""])
+        nats = -sum(math.log(p(*x)) for x in zip(h, h[1:], w, strict=False)) - spelled
+        assert math.log(got[r.doc_id].perplexity) == pytest.approx(nats / len(w), rel=1e-4), r.text
+    best = sorted(got[k].perplexity for k in range(len(texts)))
+    assert all(g.threshold == pytest.approx(best[-1] * math.exp(kn.SLACK)) for g in got.values())
+
+
+def test_a_frequent_word_has_several_shards(spark):
+    m = kn.learn(frame(spark, TEXTS), Scratch(spark, "test"), shard_entries=6)
+    assert m.split[m.vocabulary[b"the"]] > 1 and len(m.rates[0].wide[0])
+    p, _ = plain(TEXTS, m.vocabulary)
+    texts = ["the cat sat on the log", "on the mat the dog ran to the cat", "the the the"]
+    for t, r in zip(texts, kn.surprise(frame(spark, texts), m).collect(), strict=True):
+        w = [m.vocabulary[x] for x in t.encode().split()] + [kn.END]
+        h = [kn.BEGIN, kn.BEGIN, *w]
+        assert r.nats == pytest.approx(-sum(math.log(p(*x)) for x in zip(h, h[1:], w, strict=False)), rel=1e-4)
