@@ -161,3 +161,48 @@ def test_transcripts_in_a_stream(spark, tmp_path):
 def test_states(spark):
     df = spark.createDataFrame([("a", 1, "listen"), ("a", 2, "stop"), ("a", 3, "listen"), ("a", 4, "answer"), ("b", 1, "ask"), ("b", 2, "fail"), ("c", 1, "stop")], "key string, ts int, event string")
     assert {r.key: r.state for r in ts.final_state(df).collect()} == {"a": "speaking", "b": "error", "c": "idle"}
+
+
+def test_events_that_come_together_wait_as_one_row_of_the_state():
+    import types
+
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def exists(self):
+            return bool(self.rows)
+
+        def appendList(self, rows):  # noqa: N802
+            self.rows += rows
+
+        def appendValue(self, row):  # noqa: N802
+            self.rows.append(row)
+
+        put, clear = lambda self, rows: setattr(self, "rows", list(rows)), lambda self: setattr(self, "rows", [])
+
+    class Value:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+
+    waiting, timers = State(), []
+    handle = types.SimpleNamespace(getValueState=lambda *a: Value(), getListState=lambda *a: waiting, registerTimer=timers.append)
+    finisher = ts.EventFinisher(1_000_000)
+    finisher.init(handle)
+    at = lambda us: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: us // 1_000)
+    part = pd.DataFrame({"us": [1_000, 3_000, 2_000, 5_000_000], "event_id": [1, 3, 2, 4], "kind": ["partial", "final", "partial", "partial"], "text": ["a", None, "b", "d"]})
+    assert not list(finisher.handleInputRows(("k",), iter([part, part[:0]]), None))
+    assert len(waiting.rows) == 1 and timers == [2]
+    (out,) = finisher.handleExpiredTimer(("k",), at(4_000), None)
+    assert out.values.tolist() == [["k", 1, None, "final", 3]]
+    assert len(waiting.rows) == 1 and timers[1:] == [5_001]
+    assert not list(finisher.handleExpiredTimer(("k",), at(5_500_000), None)) and not waiting.rows
+    (out,) = finisher.handleExpiredTimer(("k",), at(7_000_000), None)
+    assert out.values.tolist() == [["k", 2, "d", "timeout", 1]]

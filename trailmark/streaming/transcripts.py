@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -112,11 +113,27 @@ def finish(stream: DataFrame, wait_ms: int = WAIT_MS) -> DataFrame:
     return meaningful(stream).groupBy("key").transformWithStateInPandas(Finisher(wait_ms), OUTPUT, "Append", "ProcessingTime")
 
 
+_WAITING = pa.schema([("us", pa.int64()), ("event_id", pa.int64()), ("kind", pa.string()), ("text", pa.string())])
+
+
+def _packed(*columns) -> tuple[bytes]:
+    """Events as one row of a list state: every row of a state is a call and a record of its own."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, _WAITING, strict=True)], schema=_WAITING)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _WAITING) as out:
+        out.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(rows) -> list[tuple]:
+    return [e for (blob,) in rows for e in zip(*(c.to_pylist() for c in pa.ipc.open_stream(bytes(blob)).read_next_batch().columns), strict=True)]
+
+
 class EventFinisher(StatefulProcessor):
     """Sessions of a key by event time: a final event ends one, or a gap that the next event or the watermark shows.
 
     Events wait until the watermark has passed them, as until then others may come before them; they
-    are then taken in order.
+    are then taken in order. Those that come together wait as one row of the state.
     """
 
     def __init__(self, wait_us: int):
@@ -125,19 +142,19 @@ class EventFinisher(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("session", "session long, us long, final boolean, text string, n long")
-        self.waiting = handle.getListState("waiting", "us long, event_id long, kind string, text string")
+        self.waiting = handle.getListState("waiting", "events binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for part in rows:
             if len(part):
-                self.waiting.appendList(list(zip(part["us"].tolist(), part["event_id"].tolist(), part["kind"].tolist(), part["text"].tolist(), strict=True)))
+                self.waiting.appendValue(_packed(*(part[c] for c in _WAITING.names)))
                 self.handle.registerTimer(int(part["us"].min()) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        session, us, final, text, n = self.state.get() if self.state.exists() else (0, 0, True, None, 0)
+        waiting = _unpacked(self.waiting.get())
+        session, us, final, text, n = self.state.get() or (0, 0, True, None, 0)
         for at, _, kind, said in sorted((e for e in waiting if e[0] <= passed), key=lambda e: e[:2]):
             if final or at - us > self.wait_us:
                 if n:
@@ -153,8 +170,11 @@ class EventFinisher(StatefulProcessor):
             out.append((session, text, "timeout", n))
             final, n = True, 0  # whatever comes begins another
         self.state.update((session, us, final, text, n))
-        rest = [tuple(e) for e in waiting if e[0] > passed]
-        self.waiting.put(rest) if rest else self.waiting.clear()
+        rest = [e for e in waiting if e[0] > passed]
+        if rest:
+            self.waiting.put([_packed(*zip(*rest, strict=True))])
+        elif waiting:
+            self.waiting.clear()
         if rest:
             self.handle.registerTimer(min(e[0] for e in rest) // 1000 + 1)
         if n:
