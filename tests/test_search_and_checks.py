@@ -167,3 +167,20 @@ def test_keywords_in_blocks(spark):
     for block in (1, 2, 100):
         rows = training.keyword_chunks(chunks, words, block).collect()
         assert {(r.keyword, r.id) for r in rows} == want and len(rows) == 4
+
+
+def test_contexts_shuffle_ids_without_the_texts(spark, monkeypatch):
+    """Only ids are put in order and written; texts are looked up for the records alone."""
+    from trailmark.operators import corpus
+
+    ordered, dense = [], corpus.dense_ids
+    monkeypatch.setattr(corpus, "dense_ids", lambda df, *a, **k: ordered.append(df.columns) or dense(df, *a, **k))
+    text = "1. Apply the dressing to the wound\n2. Hold it there for some minutes"
+    rows = [(k, f"2.{k} Wound Care", f"[c{k}]", f"{text} {k}", 90) for k in range(60)]
+    chunks = spark.createDataFrame(rows, "id long, section string, citation string, text string, token_count int")
+    got = training.dataset(chunks, "S", 5, 4, 3).collect()
+    assert len(got) == 12 and len(ordered) == 3
+    assert not any({"text", "citation"} & set(columns) for columns in ordered)
+    for r in got:  # two distractors with a chunk, three alone, one or two with a checklist
+        n = r.messages[1]["content"].count("[c")
+        assert n == {"grounded": 3, "refusal": 3, "deflection": n if n in (2, 3) else 0}[r.kind]
