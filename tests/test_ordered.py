@@ -112,6 +112,53 @@ def test_the_best_of_many_batches(monkeypatch):
         assert best.ids[best.query == k].tolist() == order[:3]
 
 
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_scores_of_odd_vectors_are_those_of_double_precision(monkeypatch):
+    monkeypatch.setattr(search, "BATCH", 64)
+    monkeypatch.setattr(search, "STRIP", 16)
+    monkeypatch.setattr(search, "RESCORED", 7)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 24))
+    x[100:200] = x[0] + 1e-9 * x[100:200]  # nearer to each other than single precision tells apart
+    x[200:250] = x[7]
+    x[250:255] *= np.array([1e9, 1e-9, 1e-300, 0, 1e200])[:, None]
+    x[300, 3], x[301, 4], x[302, 5], x[303] = np.nan, np.inf, -np.inf, np.nan
+    asked = np.r_[0:20, 110:120, 205:210, 250:256, 300:304]
+    names = rng.permutation(400)
+    best = search.Best(names[asked], x[asked], 5, skip_self=True)
+    for s in range(0, 400, 150):
+        best.see(names[s : s + 150], x[s : s + 150])
+    scores = np.round(np.einsum("ij,kj->ik", x[asked], x), 12)
+    for k, a in enumerate(asked):
+        exact = np.round([np.einsum("j,j", x[a], v) for v in x], 12)
+        assert np.allclose(exact, scores[k], rtol=1e-9, atol=1e-11, equal_nan=True)
+        order = [j for j in np.lexsort((names, -exact)) if not np.isnan(exact[j]) and j != a][:5]
+        got = best.ids[best.query == k].tolist()
+        assert len(got) == len(order)
+        place = {n: j for j, n in enumerate(names.tolist())}
+        assert np.allclose(exact[[place[n] for n in got]], exact[order], rtol=1e-12, atol=2e-12)
+        if a in (7, *range(200, 250)):  # equal vectors tie: the smaller ids
+            assert got == names[order].tolist() and len({7, *range(200, 250)} & set(order)) >= 2
+
+
+def test_copies_of_a_vector_are_not_all_compared(monkeypatch):
+    added, add = [], search.Best._add
+    monkeypatch.setattr(search.Best, "_add", lambda self, row, ids, scores: (added.append(len(row)), add(self, row, ids, scores)))
+    x = np.random.default_rng(2).standard_normal((3_000, 8))
+    x[:2_000] = x[0]
+    best = search.Best(np.arange(0, 3_000, 3), x[::3], 2, skip_self=True)
+    best.see(np.arange(3_000), x)
+    assert best.ids[best.query == 0].tolist() == [1, 2] and best.ids[best.query == 1].tolist() == [0, 1] and len(best.ids) == 2_000
+    assert sum(added) < 40_000  # of 2 million pairs
+
+
+def test_copies_with_one_id_count_as_before():
+    x = np.ones((30, 4))
+    best = search.Best(np.array([0]), x[:1], 3, skip_self=True)
+    best.see(np.r_[np.zeros(20, np.int64), 5, 5, 6, 7, 8, 9, 9, 9, 9, 9], x)
+    assert best.ids.tolist() == [5, 5, 6]
+
+
 def test_documents_of_many_segments_are_chunked_as_in_one_piece(spark, monkeypatch):
     from trailmark.operators import chunking
 

@@ -1,8 +1,10 @@
 """Stored corpora, pages and records: rebuilt in place, looked up without a shuffle, kept apart where they are bad."""
 
 import glob
+import hashlib
 import os
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,3 +110,37 @@ def test_learned_vectors_find_what_exact_hashed_cosines_find(spark, tmp_path):
     assert len(close) > 20 and np.mean([b in best[a] for a, b in close]) >= 0.95
     got = {r.id: r.vector for r in embedder.embed(docs, learned).collect()}
     assert len(got) == len(texts) and all(abs(sum(c * c for c in v) - 1) < 1e-9 for v in got.values())
+
+
+def test_features_are_hashed_as_md5_says():
+    rng = np.random.default_rng(9)
+    letters = "abcdefghijklmnopqrstuvwxyzÄİΣß€😀"
+    words = ["".join(rng.choice(list(letters), n)) for n in [*range(1, 70), 200, 5_000]]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(300)]
+    texts += [None, "", " \n\t", "a", "A  b\x0b\x0cc\r\nd\x1ce\x85f", "\0 \0", *words]
+    for buckets in (256, embedder.BUCKETS):
+        lengths, at, n = embedder.Hasher(buckets).counts(texts)
+        ends = np.cumsum(lengths)
+        assert len(lengths) == len(texts) and len(at) == len(n) == ends[-1]
+        for k, text in enumerate(texts):
+            own = text.lower().encode().split() if text else []
+            found = Counter(int(hashlib.md5(f).hexdigest()[:7], 16) % buckets for f in [*own, *map(b" ".join, zip(own, own[1:], strict=False))])
+            part = slice(ends[k] - lengths[k], ends[k])
+            assert list(zip(at[part].tolist(), n[part].tolist(), strict=True)) == sorted(found.items())
+    assert [len(c) for c in embedder.Hasher(256).counts([])] == [0, 0, 0]
+
+
+def test_an_embedder_hashes_texts_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "two three four"), (3, None), (4, " "), (5, "one two three")], "id long, text string")
+    calls, counted = [], embedder.counted
+    monkeypatch.setattr(embedder, "counted", lambda *a, **k: (calls.append(1), counted(*a, **k))[1])
+    learned = embedder.learn(docs, width=2, rounds=3)
+    assert len(calls) == 1
+    counts = embedder.counted(docs)
+    assert counts.columns == ["id", "at", "n"]
+    there = {r.id: r.vector for r in embedder.embed_counted(counts, learned).collect()}
+    assert there == {r.id: r.vector for r in embedder.embed(docs, learned).collect()}
+    assert there[3] is None and there[4] is None and there[1] == pytest.approx(there[5]) and len(there[2]) == 2
+    again = embedder.learn_counted(counts, width=2, rounds=3)
+    assert np.allclose(again.directions, learned.directions) and np.allclose(again.weights, learned.weights)
+    assert embedder.embed_counted(counts.limit(0), learned).count() == 0

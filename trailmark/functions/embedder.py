@@ -6,13 +6,15 @@ logarithm of its count, times the inverse document frequency where an embedder h
 most, the right singular vectors of its matrix of documents and buckets, by randomised subspace
 iteration: each round is one pass over the corpus, in which a task multiplies the rows it reads into
 a matrix of buckets and directions and hands on that; the driver orthogonalises the sum. What is
-sent and kept is of that fixed size, however large the corpus.
+sent and kept is of that fixed size, however large the corpus. Texts are hashed once: a table of their
+buckets and counts (``counted``) is written, and what goes over the corpus again reads that.
 
 Null and empty texts have no features and no vector.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -22,41 +24,139 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
+
 BUCKETS, WIDTH, SPARE, ROUNDS = 1 << 13, 64, 16, 3
-#: Features that a task keeps the bucket of, and texts multiplied at once.
-KEPT, STRIP = 1 << 18, 256
+#: Texts multiplied at once, characters hashed at once, features whose rounds of MD5 are worked out at once.
+STRIP, PIECE, LANES = 256, 1 << 20, 8_192
+#: MD5 (RFC 1321): additive constants and rotations of its steps, left and right, the state that a message begins with.
+SINES = [np.array(int(abs(math.sin(k + 1)) * 2**32), np.uint32) for k in range(64)]
+TURNS = [(np.array(t, np.uint32), np.array(32 - t, np.uint32)) for ts in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in ts * 4]
+STATE = [np.uint32(s) for s in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+#: What of a word belongs to a message, and its end mark, by the message's bytes from the word on, plus one.
+OWN, MARK = np.array([0, 0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32), np.array([0, 0x80, 0x8000, 0x800000, 0x80000000, 0], np.uint32)
+#: Words of messages that are hashed together: a message and its end mark fit into them. Longer than 55 bytes takes more than one block.
+BLOCKS = (4, 7, 14)
+
+
+def _md5_block(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The first four digest bytes, little-endian, of messages of one block: a row of words a place, the rest zero."""
+    a, b, c, d = (np.full(len(bits), s) for s in STATE)
+    f = np.empty_like(a)
+    for k in range(64):
+        if k < 16:
+            g = k
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif k < 32:
+            g = (5 * k + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif k < 48:
+            g = (3 * k + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            g = 7 * k % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        a += f
+        a += SINES[k]
+        if g < len(words):
+            a += words[g]
+        elif g == 14:
+            a += bits
+        np.left_shift(a, TURNS[k][0], out=f)
+        a >>= TURNS[k][1]
+        a |= f
+        a += b
+        a, b, c, d = d, a, b, c
+    return a + STATE[0]
+
+
+def _hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers that the first seven hex digits of the slices' MD5 are."""
+    raw, lengths = np.frombuffer(text + bytes(4 * BLOCKS[-1]), np.uint8).astype(np.uint32), ends - starts
+    at = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24  # the word from every byte on
+    out, least = np.zeros(len(starts), np.int64), 0
+    for size in BLOCKS:
+        some = np.flatnonzero((lengths >= least) & (lengths < 4 * size))
+        least = 4 * size
+        for s in range(0, len(some), LANES):
+            part = some[s : s + LANES]
+            begin, long = starts[part], lengths[part]
+            words = np.empty((size, len(part)), np.uint32)
+            for k in range(size):
+                left = np.clip(long - (4 * k - 1), 0, 5)
+                words[k] = at[begin + 4 * k] & OWN[left] | MARK[left]
+            out[part] = _md5_block(words, (8 * long).astype(np.uint32)).byteswap() >> 4
+    for k in np.flatnonzero(lengths >= least).tolist():
+        out[k] = int(md5(text[starts[k] : ends[k]], usedforsecurity=False).hexdigest()[:7], 16)
+    return out
 
 
 class Hasher:
-    """Features of texts as buckets; what was hashed is kept up to a bound."""
+    """Features of texts as buckets."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.known = buckets, {}
-
-    def bucket(self, feature: bytes) -> int:
-        found = self.known.get(feature)
-        if found is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            found = self.known[feature] = int(md5(feature, usedforsecurity=False).hexdigest()[:7], 16) % self.buckets
-        return found
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, logarithms of one and their counts), buckets ascending."""
-        words = text.lower().encode().split() if text else []
-        features = [*words, *(b" ".join(p) for p in zip(words, words[1:]))]  # noqa: B905
-        at, n = np.unique(np.fromiter(map(self.bucket, features), np.int64, len(features)), return_counts=True)
-        return at, np.log1p(n)
+        self.buckets = buckets
+
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many buckets each text has, these buckets, ascending in each, their counts)."""
+        parts, held, size = [(np.zeros(0, np.int64),) * 3], [], 0
+        for k, text in enumerate(texts):
+            held.append(text)
+            size += len(text or "")
+            if size >= PIECE or k == len(texts) - 1:
+                parts.append(self._piece(held))
+                held, size = [], 0
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+    def _piece(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lines = [b" ".join(t.lower().encode().split()) if t else b"" for t in texts]
+        joined = b"\n".join([*lines, b""])
+        raw = np.frombuffer(joined, np.uint8)
+        ends = np.flatnonzero((raw == ord(" ")) | (raw == ord("\n")))
+        starts, last = np.append(0, ends[:-1] + 1), raw[ends] == ord("\n")
+        row = np.append(0, np.cumsum(last[:-1]))
+        word, pair = np.flatnonzero(ends > starts), np.flatnonzero(~last)  # a pair is a word and the one behind it
+        found = _hashes(joined, np.append(starts[word], starts[pair]), np.append(ends[word], ends[pair + 1])) % self.buckets
+        keys, n = np.unique(np.append(row[word], row[pair]) * self.buckets + found, return_counts=True)
+        return np.bincount(keys // self.buckets, minlength=len(texts)), keys % self.buckets, n
+
+
+def _rows(lengths: np.ndarray, at: np.ndarray, n: np.ndarray, buckets: int, weights: np.ndarray | None) -> np.ndarray:
+    """A row a text, of unit length or of zeros, of their buckets and counts."""
+    row, w = np.repeat(np.arange(len(lengths)), lengths), np.log1p(n)
+    if weights is not None:
+        w *= weights[at]
+    length = np.sqrt(np.bincount(row, w * w, minlength=len(lengths)))[row]
+    out = np.zeros((len(lengths), buckets))
+    out[row, at] = np.divide(w, length, out=w, where=length > 0)
+    return out
 
 
 def _dense(hasher: Hasher, texts: list[str | None], weights: np.ndarray | None) -> np.ndarray:
     """Rows of unit length, or of zeros."""
-    out = np.zeros((len(texts), hasher.buckets))
-    for k, text in enumerate(texts):
-        at, w = hasher.counts(text)
-        out[k, at] = w if weights is None else w * weights[at]
-    length = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, length, out=out, where=length > 0)
+    return _rows(*hasher.counts(texts), hasher.buckets, weights)
+
+
+def _lists(values: np.ndarray, kind: pa.DataType, lengths: np.ndarray | None = None, there: np.ndarray | None = None) -> pa.Array:
+    """Rows of a matrix, or values behind each other, as an array of lists, null where nothing is there."""
+    if lengths is None:
+        lengths = np.full(len(values), values.shape[1])
+    ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(values.ravel(), kind), mask=None if there is None else pa.array(~there))
+
+
+def _counted_strips(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Strips of a batch of a counted table, and what Hasher.counts gave for their texts."""
+    for s in range(0, b.num_rows, STRIP):
+        part = b.slice(s, STRIP)
+        yield part, (part["at"].value_lengths().to_numpy().astype(np.int64), part["at"].flatten().to_numpy(), part["n"].flatten().to_numpy())
 
 
 class Embedder:
@@ -65,13 +165,19 @@ class Embedder:
     def __init__(self, weights: np.ndarray, directions: np.ndarray):
         self.weights, self.directions = weights, directions
 
+    def units(self, lengths: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors of counted texts, which of them there are)."""
+        x = _rows(lengths, at, n, len(self.weights), self.weights) @ self.directions
+        length = np.linalg.norm(x, axis=1)
+        there = length > 1e-12
+        return np.divide(x, length[:, None], out=x, where=there[:, None]), there
+
     def vectors(self, texts: list[str | None], hasher: Hasher | None = None) -> list[list[float] | None]:
         """A unit vector a text; None without features, or if no direction has to do with them."""
         hasher, out = hasher or Hasher(len(self.weights)), []
         for s in range(0, len(texts), STRIP):
-            x = _dense(hasher, texts[s : s + STRIP], self.weights) @ self.directions
-            length = np.linalg.norm(x, axis=1)
-            out += [(v / n).tolist() if n > 1e-12 else None for v, n in zip(x, length.tolist(), strict=True)]
+            x, there = self.units(*hasher.counts(texts[s : s + STRIP]))
+            out += [v if t else None for v, t in zip(x.tolist(), there.tolist(), strict=True)]
         return out
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -85,53 +191,73 @@ class Embedder:
         return Embedder(np.array([r["weight"] for r in rows]), np.array([r["direction"] for r in rows]))
 
 
+def counted(df: DataFrame, buckets: int = BUCKETS, text: str = "text") -> DataFrame:
+    """df with its texts' buckets and their counts in place of the texts: the columns at and n, of equal length."""
+    kept = [c for c in df.columns if c != text]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(buckets)
+        for whole in batches:
+            for s in range(0, whole.num_rows, STRIP):
+                b = whole.slice(s, STRIP)
+                lengths, at, n = hasher.counts(b[text].to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), _lists(at, pa.int32(), lengths), _lists(n, pa.int32(), lengths)], [*kept, "at", "n"])
+
+    lists = T.ArrayType(T.IntegerType())
+    return df.mapInArrow(each, T.StructType([*(df.schema[c] for c in kept), T.StructField("at", lists), T.StructField("n", lists)]))
+
+
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", vector: str = "vector") -> DataFrame:
     """df with the vectors of its texts, in batches."""
-    return _with_vectors(df, text, vector, len(embedder.weights), embedder.vectors, embedder)
+    held = df.sparkSession.sparkContext.broadcast(embedder)
+    return _with_vectors(df, text, vector, len(embedder.weights), lambda counts: held.value.units(*counts))
 
 
-def hashed(df: DataFrame, buckets: int, text: str = "text", vector: str = "vector") -> DataFrame:
-    """df with its texts' hashed weights themselves, at unit length."""
+def embed_counted(df: DataFrame, embedder: Embedder, vector: str = "vector") -> DataFrame:
+    """The same of a table of ``counted``, with vectors in place of the counts."""
+    held = df.sparkSession.sparkContext.broadcast(embedder)
+    kept = [c for c in df.columns if c not in ("at", "n", vector)]
 
-    def rows(texts: list, hasher: Hasher) -> list:
-        x = _dense(hasher, texts, None)
-        return [v.tolist() if v.any() else None for v in x]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b, counts in _counted_strips(whole):
+                x, there = held.value.units(*counts)
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), _lists(x, pa.float64(), there=there)], [*kept, vector])
 
-    return _with_vectors(df, text, vector, buckets, rows, None)
+    return df.mapInArrow(each, T.StructType([*(df.schema[c] for c in kept), T.StructField(vector, T.ArrayType(T.DoubleType()))]))
 
 
-def _with_vectors(df: DataFrame, text: str, vector: str, buckets: int, rows, embedder: Embedder | None) -> DataFrame:
-    if embedder is not None:
-        held = df.sparkSession.sparkContext.broadcast(embedder)
-        rows = lambda texts, hasher: held.value.vectors(texts, hasher)
+def hashed(df: DataFrame, buckets: int, text: str = "text", vector: str = "vector") -> DataFrame:
+    """df with its texts' hashed weights themselves, at unit length."""
+    return _with_vectors(df, text, vector, buckets, lambda counts: (_rows(*counts, buckets, None), counts[0] > 0))
 
+
+def _with_vectors(df: DataFrame, text: str, vector: str, buckets: int, rows) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(buckets)
         for whole in batches:
             for s in range(0, whole.num_rows, STRIP):
                 b = whole.slice(s, STRIP)
-                made = pa.array(rows(b[text].to_pylist(), hasher), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, vector])
+                x, there = rows(hasher.counts(b[text].to_pylist()))
+                yield pa.RecordBatch.from_arrays([*b.columns, _lists(x, pa.float64(), there=there)], [*b.schema.names, vector])
 
     kept = df.drop(vector)
     return kept.mapInArrow(each, T.StructType([*kept.schema.fields, T.StructField(vector, T.ArrayType(T.DoubleType()))]))
 
 
-def document_weights(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Inverse document frequencies of the buckets over texts(text)."""
+def document_weights(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Inverse document frequencies of the buckets over a table of ``counted``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found, n = Hasher(buckets), np.zeros(buckets, np.int64), 0
+        found, n = np.zeros(buckets, np.int64), 0
         for b in batches:
-            for text in b["text"].to_pylist():
-                at, _ = hasher.counts(text)
-                found[at] += 1
-                n += len(at) > 0
+            found += np.bincount(b["at"].flatten().to_numpy(), minlength=buckets)
+            n += int(np.count_nonzero(b["at"].value_lengths().to_numpy()))
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], ["bucket", "n"])
 
     frequency, total = np.zeros(buckets), 0
-    for r in texts.select("text").mapInArrow(each, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # as many as buckets
+    for r in counts.select("at").mapInArrow(each, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # as many as buckets
         if r["bucket"] < 0:
             total = r["n"]
         else:
@@ -139,22 +265,22 @@ def document_weights(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.log((1 + total) / (1 + frequency)) + 1
 
 
-def _multiplied(texts: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """The corpus' matrix, transposed, times itself times the basis: a pass over texts."""
+def _multiplied(counts: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The corpus' matrix, transposed, times itself times the basis: a pass over a table of ``counted``."""
     buckets, width = basis.shape
-    held = texts.sparkSession.sparkContext.broadcast((weights, basis))
+    held = counts.sparkSession.sparkContext.broadcast((weights, basis))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis = held.value
-        hasher, total = Hasher(buckets), np.zeros((buckets, width))
+        total = np.zeros((buckets, width))
         for b in batches:
-            for s in range(0, b.num_rows, STRIP):
-                x = _dense(hasher, b["text"].slice(s, STRIP).to_pylist(), weights)
+            for _, part in _counted_strips(b):
+                x = _rows(*part, buckets, weights)
                 total += x.T @ (x @ basis)
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["bucket", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), _lists(total[at], pa.float64())], ["bucket", "part"])
 
-    made = texts.select("text").mapInArrow(each, "bucket long, part array<double>")
+    made = counts.select("at", "n").mapInArrow(each, "bucket long, part array<double>")
     summed = made.groupBy("bucket").agg(*(F.sum(F.get("part", F.lit(k))).alias(f"p{k}") for k in range(width)))
     out = np.zeros((buckets, width))
     for r in summed.collect():  # as many as buckets
@@ -163,12 +289,17 @@ def _multiplied(texts: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.
     return out
 
 
-def learn(texts: DataFrame, width: int = WIDTH, buckets: int = BUCKETS, rounds: int = ROUNDS, seed: int = 11) -> Embedder:
+def learn(texts: DataFrame, **sizes) -> Embedder:
     """An embedder of the directions that texts(text) vary most in."""
-    weights = document_weights(texts, buckets)
+    return learn_counted(shared.written(counted(texts.select("text"), sizes.get("buckets", BUCKETS)), "counted"), **sizes)
+
+
+def learn_counted(counts: DataFrame, width: int = WIDTH, buckets: int = BUCKETS, rounds: int = ROUNDS, seed: int = 11) -> Embedder:
+    """The same of a table of ``counted``, which every round reads: written, so that no round hashes anew."""
+    weights = document_weights(counts, buckets)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((buckets, width + SPARE)))[0]
     for k in range(rounds):
-        product = _multiplied(texts, weights, basis)
+        product = _multiplied(counts, weights, basis)
         if k == rounds - 1:  # the directions within the basis, largest first
             values, turn = np.linalg.eigh(basis.T @ product)
             basis = basis @ turn[:, ::-1]

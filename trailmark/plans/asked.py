@@ -32,8 +32,8 @@ def text_search_hashed(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
     """The same with an embedder learned from all documents, gated, with citations."""
-    docs = _documents(spark, sf)
-    vectors = shared.written(embedder.embed(docs, embedder.learn(docs)).drop("text"), "embedded")
+    counts = shared.written(embedder.counted(_documents(spark, sf)), "counted")
+    vectors = shared.written(embedder.embed_counted(counts, embedder.learn_counted(counts)), "embedded")
     gated = search.gate(search.top_k(vectors, _asking(vectors), 3, skip_self=True), _asking(vectors))
     hits = search.show(gated, sq._texts(spark, sf))
     return hits.select("query_id", "rank", "id", "citation", tx.snippet(F.col("text"), 160).alias("snippet"), search.rounded().alias("similarity"))
