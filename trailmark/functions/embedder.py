@@ -144,19 +144,29 @@ def _dense(hasher: Hasher, texts: list[str | None], weights: np.ndarray | None)
     return _rows(*hasher.counts(texts), hasher.buckets, weights)
 
 
-def _lists(values: np.ndarray, kind: pa.DataType, lengths: np.ndarray | None = None, there: np.ndarray | None = None) -> pa.Array:
-    """Rows of a matrix, or values behind each other, as an array of lists, null where nothing is there."""
-    if lengths is None:
-        lengths = np.full(len(values), values.shape[1])
-    ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.array(values.ravel(), kind), mask=None if there is None else pa.array(~there))
+def _lists(rows: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """A matrix' rows as an array of lists, null where nothing is there."""
+    ends = pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(rows.ravel(), pa.float64()), mask=None if there is None else pa.array(~there))
+
+
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Whole numbers behind each other as bytes, so many a row: Spark copies these at once, lists by the element."""
+    ends = np.append(0, 4 * np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(values.astype("<i4"))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(how many numbers each row has, the numbers)."""
+    rows = column.to_pylist()
+    return np.fromiter(map(len, rows), np.int64, len(rows)) // 4, np.frombuffer(b"".join(rows), "<i4")
 
 
 def _counted_strips(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Strips of a batch of a counted table, and what Hasher.counts gave for their texts."""
     for s in range(0, b.num_rows, STRIP):
         part = b.slice(s, STRIP)
-        yield part, (part["at"].value_lengths().to_numpy().astype(np.int64), part["at"].flatten().to_numpy(), part["n"].flatten().to_numpy())
+        yield part, (*_unpacked(part["at"]), _unpacked(part["n"])[1])
 
 
 class Embedder:
@@ -192,7 +202,7 @@ class Embedder:
 
 
 def counted(df: DataFrame, buckets: int = BUCKETS, text: str = "text") -> DataFrame:
-    """df with its texts' buckets and their counts in place of the texts: the columns at and n, of equal length."""
+    """df with its texts' buckets and their counts in place of the texts: the columns at and n, packed numbers."""
     kept = [c for c in df.columns if c != text]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +211,9 @@ def counted(df: DataFrame, buckets: int = BUCKETS, text: str = "text") -> DataFr
             for s in range(0, whole.num_rows, STRIP):
                 b = whole.slice(s, STRIP)
                 lengths, at, n = hasher.counts(b[text].to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), _lists(at, pa.int32(), lengths), _lists(n, pa.int32(), lengths)], [*kept, "at", "n"])
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), _packed(at, lengths), _packed(n, lengths)], [*kept, "at", "n"])
 
-    lists = T.ArrayType(T.IntegerType())
-    return df.mapInArrow(each, T.StructType([*(df.schema[c] for c in kept), T.StructField("at", lists), T.StructField("n", lists)]))
+    return df.mapInArrow(each, T.StructType([*(df.schema[c] for c in kept), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())]))
 
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", vector: str = "vector") -> DataFrame:
@@ -222,7 +231,7 @@ def embed_counted(df: DataFrame, embedder: Embedder, vector: str = "vector") ->
         for whole in batches:
             for b, counts in _counted_strips(whole):
                 x, there = held.value.units(*counts)
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), _lists(x, pa.float64(), there=there)], [*kept, vector])
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), _lists(x, there)], [*kept, vector])
 
     return df.mapInArrow(each, T.StructType([*(df.schema[c] for c in kept), T.StructField(vector, T.ArrayType(T.DoubleType()))]))
 
@@ -239,7 +248,7 @@ def _with_vectors(df: DataFrame, text: str, vector: str, buckets: int, rows) ->
             for s in range(0, whole.num_rows, STRIP):
                 b = whole.slice(s, STRIP)
                 x, there = rows(hasher.counts(b[text].to_pylist()))
-                yield pa.RecordBatch.from_arrays([*b.columns, _lists(x, pa.float64(), there=there)], [*b.schema.names, vector])
+                yield pa.RecordBatch.from_arrays([*b.columns, _lists(x, there)], [*b.schema.names, vector])
 
     kept = df.drop(vector)
     return kept.mapInArrow(each, T.StructType([*kept.schema.fields, T.StructField(vector, T.ArrayType(T.DoubleType()))]))
@@ -251,8 +260,9 @@ def document_weights(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(buckets, np.int64), 0
         for b in batches:
-            found += np.bincount(b["at"].flatten().to_numpy(), minlength=buckets)
-            n += int(np.count_nonzero(b["at"].value_lengths().to_numpy()))
+            lengths, at = _unpacked(b["at"])
+            found += np.bincount(at, minlength=buckets)
+            n += int(np.count_nonzero(lengths))
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], ["bucket", "n"])
 
@@ -278,7 +288,7 @@ def _multiplied(counts: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np
                 x = _rows(*part, buckets, weights)
                 total += x.T @ (x @ basis)
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), _lists(total[at], pa.float64())], ["bucket", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), _lists(total[at])], ["bucket", "part"])
 
     made = counts.select("at", "n").mapInArrow(each, "bucket long, part array<double>")
     summed = made.groupBy("bucket").agg(*(F.sum(F.get("part", F.lit(k))).alias(f"p{k}") for k in range(width)))
