@@ -182,6 +182,16 @@ def test_documents_of_many_segments_are_chunked_as_in_one_piece(spark, monkeypat
     assert chunking.chunk_pages(df.limit(0)).count() == 0
 
 
+def test_lines_are_folded_by_their_fields_names(spark):
+    from trailmark.operators import chunking
+
+    line = "struct<page: int, line: string, heading: string, tokens: int>"
+    plain = spark.createDataFrame([("a", [(1, "2. Wound Care", "2. Wound Care", 3), (1, "cover it", None, 120), (2, "hold it", None, 130)]), ("b", [])], f"doc string, lines array<{line}>")
+    numbered = plain.withColumn("lines", F.transform("lines", lambda x, k: F.struct(k.alias("number"), x["tokens"].alias("tokens"), x["heading"].alias("heading"), x["line"].alias("line"), x["page"].alias("page"))))
+    want = sorted(map(tuple, chunking.fold_documents(plain).collect()))
+    assert sorted(map(tuple, chunking.fold_documents(numbered).collect())) == want and [w[2] for w in want] == ["cover it", "hold it"]
+
+
 def test_row_numbers_of_a_key_over_many_ranges(spark, small_ranges):
     rng = random.Random(7)
     rows = [(rng.choice(["a"] * 8 + ["b", None]), k) for k in rng.sample(range(100_000), 5_000)]

@@ -197,7 +197,8 @@ def fold_documents(docs: DataFrame, count: Callable[[str], int] | None = None, *
 def _line_rows(lines: pa.StructArray | None, count: Callable[[str], int] | None) -> Iterator[tuple[int, str, str | None, int]]:
     """The structs of a document's lines as tuples, so many at once."""
     for s in range(0, len(lines) if lines is not None else 0, SLICE):
-        page, line, heading, tokens = (f.to_pylist() for f in lines.slice(s, SLICE).flatten())
+        fields = dict(zip((f.name for f in lines.type), lines.slice(s, SLICE).flatten(), strict=True))
+        page, line, heading, tokens = (fields[c].to_pylist() for c in ("page", "line", "heading", "tokens"))
         yield from zip(page, line, heading, map(count, line) if count else tokens, strict=True)
 
 
